@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "minhash_dedup", "url_filter"]
+MODULES = ["exact_dedup", "minhash_dedup", "toxicity", "url_filter"]
 
 
 def registered(what: str) -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "minhash_dedup", "packing", "toxicity", "url_filter"]
+MODULES = ["decontaminate", "exact_dedup", "minhash_dedup", "packing", "toxicity", "url_filter"]
 
 
 def registered(what: str) -> dict:

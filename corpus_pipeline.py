@@ -1,8 +1,66 @@
-"""The corpus pipeline: five stages, each a filter or edit of the documents that the last one kept."""
+"""The corpus pipeline: five stages over the documents, each on what the last one kept.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next
+one's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import decontaminate, line_dedup, minhash_dedup, packing, toxicity
+from tempora.llm.common import shared_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the classifier, trained on the labelled rows of the input, predicts as toxic go."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: repeated chunks go from the texts; every document stays, with its new length."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near copies the document with the smallest id stays."""
+    gone = minhash_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that hold a benchmark item, or an edited copy of one, go."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the pieces of the documents, each with its sequence and its place there."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_repeated_passages),
+    ("near_dedup", keep_one_of_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pack", pack_sequences),
+]
+
+#: SQL can't express any of the stages: each is tested against brute force or held-out labels.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -1,7 +1,7 @@
 """Line de-duplication over content-defined chunks.
 
-A line is a physical line or a clause of one, since passages are also copied into the middle of
-a line.  A rolling hash over two neighbouring line hashes sets the chunk boundaries at its local
+A line is a physical line or a piece of one, since passages are also copied into the middle of
+a line: pieces end at points and at words chosen by their hash.  A rolling hash over two neighbouring line hashes sets the chunk boundaries at its local
 minima, so that they depend on nearby lines only and shift with them, and no chunk has one line.
 Of a chunk that occurs anywhere twice, the first occurrence stays, by document id and place.  The
 others are compared with it byte by byte, grown outwards word by word as far as both texts agree,
@@ -22,6 +22,8 @@ from .common import bounded_broadcast, table, write_table
 
 #: The least words of a removed run.
 MIN_WORDS = 20
+#: One word in so many ends a piece of a line.
+PIECE_WORDS = 10
 #: Bytes by which a repeated chunk can grow on either side.
 REACH = 4096
 BROADCAST_KEYS = 1_000_000
@@ -36,7 +38,7 @@ def chunks_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.append(words.doc[1:] != words.doc[:-1], True)
-    closes = last | _CLOSES[data[words.end - 1]]
+    closes = last | _CLOSES[data[words.end - 1]] | ((words.hash >> np.uint64(40)) % np.uint64(PIECE_WORDS) == 0)
     closes[:-1] |= breaks[words.start[1:]] > breaks[words.end[:-1]]
     end = np.flatnonzero(closes)
     begin = np.append(0, end[:-1] + 1)

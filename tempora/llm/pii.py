@@ -127,7 +127,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return value[:cut] + "".join(_like(c, next(bytes_)) for c in value[cut:])
     if kind == "iban":
         return value[:2] + "".join(_like(c, next(bytes_)) for c in value[2:])
-    keep = 1 if kind == "number" else 0
+    keep = 1 if kind in ("number", "phone") else 0
     digits = value[:keep] + "".join(str(next(bytes_) % 10) for _ in value[keep:])
     if kind == "number" and 13 <= len(value) <= 19 and luhn_valid(value):
         digits = next(x for d in "0123456789" if luhn_valid(x := digits[:-1] + d))

@@ -7,28 +7,10 @@ from pyspark.sql import functions as F
 from tempora.operators import inference as I
 from tempora.operators import resample as R
 from tempora.plans import views as V
+from tempora.plans.registry import registry
 
 B, SEED, CHANCE = 200, 42, 25.5
-F1 = "1|"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
+QUERIES, ORACLE_SQL, query, r6 = registry()
 BS = f"(SELECT unnest(range(0, {B + 1})) AS b)"
 _SIGNED = f"""SELECT b, tp, avg((CASE WHEN b = 0 OR {V.draw_sql(SEED, "b", "subject")} % 2 = 0 THEN 1.0 ELSE -1.0 END) * (y - {CHANCE})) AS stat
               FROM ({V.CURVE}) c, {BS} r GROUP BY b, tp"""

@@ -40,7 +40,9 @@ def v_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_log(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("ts").alias("t"), F.col("event_type").alias("code"), "value")
+    """(subject, t, code, value); t counts microseconds."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return read_table(spark, d, "events").select(F.col("user_id").alias("subject"), micros.alias("t"), F.col("event_type").alias("code"), "value")
 
 
 SIGNAL = "SELECT l_suppkey AS subject, l_returnflag AS condition, l_linenumber AS channel, month(l_shipdate)::INT AS tp, l_quantity AS value FROM lineitem"
@@ -49,7 +51,7 @@ CURVE_F = f"SELECT subject, tp, condition AS feature, avg(value) AS y, CASE WHEN
 UNITS = "SELECT l_linestatus AS cohort, l_returnflag AS feature, l_linenumber AS layer, l_suppkey AS unit, avg(l_discount - 0.05) AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL"
 FEAT = "SELECT vec_id AS stimulus, label AS class, CASE WHEN vec_id % 8 <= 5 THEN 'train' WHEN vec_id % 8 = 6 THEN 'val' ELSE 'test' END AS split, unnest(range(1, 65))::INT AS component, unnest(embedding)::DOUBLE AS value FROM embeddings"
 VECTORS = "SELECT vec_id AS stimulus, label AS class, CASE WHEN vec_id % 8 <= 5 THEN 'train' WHEN vec_id % 8 = 6 THEN 'val' ELSE 'test' END AS split, embedding::DOUBLE[] AS x FROM embeddings"
-LOG = "SELECT user_id AS subject, ts AS t, event_type AS code, value FROM events"
+LOG = "SELECT user_id AS subject, epoch_us(ts) AS t, event_type AS code, value FROM events"
 
 
 def draw_sql(*key: object) -> str:

@@ -122,7 +122,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     clashing column ``removed_words`` is replaced.
     """
     names = [c for c in docs.columns if c != "removed_words"]
-    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_rid"), F.xxhash64("text").alias("_key"))
+    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_rid"))
+    unique = rows.groupBy("_rid").count().filter("count > 1").isEmpty()
+    rows = rows.withColumn("_key", F.lit(0).cast("long") if unique else F.xxhash64("text"))  # tells texts of one id apart
     slim = rows.select(F.col("_rid").alias("rid"), F.col("_key").alias("key"), "text")
     chunks = write_table(slim.mapInArrow(_chunks, "rid long, key long, start long, size long, chunk long"), "chunks")
     often = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("holder")).filter("n > 1").drop("n")

@@ -20,8 +20,8 @@ def _coded(spark, d):
     return V.v_log(spark, d).select("subject", F.row_number().over(Window.partitionBy("subject").orderBy("t")).alias("ord"), code.alias("code"), "t", "value")
 
 
-@query(f"""SELECT subject, ord, printf('%02d%02d', hi, lo) AS trigger, at AS at_us FROM (
-             SELECT subject, (ord - 1) // 2 AS ord, max(CASE WHEN ord % 2 = 1 THEN d END) AS hi, max(CASE WHEN ord % 2 = 0 THEN d END) AS lo, min(t) AS at
+@query(f"""SELECT subject, ord, printf('%02d%02d', hi, lo) AS trigger, at_us FROM (
+             SELECT subject, (ord - 1) // 2 AS ord, max(CASE WHEN ord % 2 = 1 THEN d END) AS hi, max(CASE WHEN ord % 2 = 0 THEN d END) AS lo, min(t) AS at_us
              FROM (SELECT *, CASE WHEN code = 255 THEN 0 ELSE code END AS d FROM ({_NUMBERED})) GROUP BY 1, 2) WHERE lo IS NOT NULL""")
 def trigger_decode(spark, d):
     return E.decode_triggers(_coded(spark, d)).select("subject", "ord", "trigger", F.col("at").alias("at_us"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "exact_dedup", "license_scan", "line_dedup", "minhash_dedup", "packing", "pii", "toxicity", "url_filter"]
+MODULES = ["chat_format", "line_dedup", "minhash_dedup", "packing", "pii", "toxicity", "url_filter", "decontaminate", "license_scan", "exact_dedup"]
 
 
 def registered(what: str) -> dict:

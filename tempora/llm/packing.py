@@ -10,6 +10,7 @@ of each island moves on to the next island of its shard; the best packing of a s
 from __future__ import annotations
 
 import random
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,7 @@ from .common import BLANKS, table, write_table
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_PIECES = 8192
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 6
-_WORDS_KEPT = 350_000
-_TO_SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
+_WORDS_KEPT = 700_000
 
 
 def default_tokenizer() -> str:
@@ -51,12 +51,12 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.kept, self.older = self.tokenizer.model, kept, {}
         self.letters = dict(enumerate(_byte_letters()))
-        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+        self.ends = {c: _packed(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self._ids(word), "<u4").tobytes()
+            ids = self._ids(word)
         if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
@@ -64,14 +64,20 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def _ids(self, word: str) -> list[int]:
-        """Plain words go straight to the BPE model; any other word takes the tokenizer's whole way."""
-        end = self.ends.get(word[-1], [])
+    def _ids(self, word: str) -> bytes:
+        """Plain words go straight to the BPE model, once for all their cases and ends; any other takes the tokenizer's whole way."""
+        end = self.ends.get(word[-1], b"")
         core = word[:-1] if end else word
         low = core.lower()
         if not (core.isalpha() and low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))] + end
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if low != word:
+            return self[low] + end
+        return _packed([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
@@ -82,7 +88,10 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.words.__getitem__, (text or "").translate(_TO_SPACE).split(" ")))
+        text = text or ""
+        for blank in BLANKS[1:]:
+            text = text.replace(blank, " ")
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 
 _encoders: dict[str, WordEncoder] = {}

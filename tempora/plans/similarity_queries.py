@@ -177,6 +177,9 @@ _BY_MONTH = "SELECT month(l_shipdate)::INT AS feature, l_linenumber AS tp, {} AS
 _P1, _P2 = _PEAKS.format(_BY_MONTH.format("l_quantity")), _PEAKS.format(_BY_MONTH.format("l_discount"))
 
 
+_PEAK_PAIR = (_P1, _P2)
+
+
 def month_peaks(spark, d, value, name):
     rows = V.read_table(spark, d, "lineitem").groupBy(F.month("l_shipdate").alias("feature"), F.col("l_linenumber").alias("tp")).agg(F.avg(value).alias("stat"))
     return I.peak(rows, ["feature"]).withColumnRenamed("peak", name)

@@ -26,10 +26,10 @@ LENGTHS, ENDS = 12, ("?", ".", ":", ",")
 MARKERS = {"system": ["system", "instruction", "instructions"], "user": ["user", "human", "question", "customer", "prompter", "q"], "assistant": ["assistant", "ai", "bot", "gpt", "answer", "agent", "model", "a"]}
 _NAMES = "|".join(n for names in MARKERS.values() for n in sorted(names, key=len, reverse=True))
 MARKER = rf"(?i)^\s*(?:[#>*\[<|]+\s*)?({_NAMES})\s*(?:[\]>|*]+\s*:?|:)\s*"
-#: Lines that a marker counts as, for its own role, before any are seen.
-MARKER_PRIOR = 200.0
-#: Lines of either kind that count for each state before any are seen: turns may open inside a record.
-HEAD_PRIOR = 50.0
+#: The share of a role's opening lines that its own marker counts as beforehand, seen or not.
+MARKER_SHARE = 0.1
+#: The share of each state's lines that count beforehand as first and as later lines of a record: turns may open inside one.
+HEAD_SHARE = 0.02
 
 
 def observed(lines: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ class TurnModel:
     """Log probabilities: ``start`` (state), ``move`` (state, state), and of the four features by state."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, mark: np.ndarray, size: np.ndarray, ending: np.ndarray, head: np.ndarray):
-        prior = np.full((STATES, 4), 0.5)
+        prior = np.full((STATES, 4), 0.0005)
         for r in range(len(ROLES)):
-            prior[2 * r, r + 1] = MARKER_PRIOR
+            prior[2 * r, r + 1] = max(1.0, MARKER_SHARE * mark[2 * r].sum())
         allowed = np.ones((STATES, STATES))
         for r in range(len(ROLES)):
             allowed[:, 2 * r + 1] = 0
@@ -72,7 +72,7 @@ class TurnModel:
         with np.errstate(divide="ignore"):
             self.move = np.maximum(logs((move + 0.5) * allowed), -1e9)
             self.start = np.maximum(logs((start + 0.5) * (np.arange(STATES) % 2 == 0)), -1e9)
-        self.mark, self.size, self.ending, self.head = logs(mark + prior), logs(size + 0.5), logs(ending + 0.5), logs(head + HEAD_PRIOR)
+        self.mark, self.size, self.ending, self.head = logs(mark + prior), logs(size + 0.5), logs(ending + 0.5), logs(head + np.maximum(0.5, HEAD_SHARE * head.sum(axis=1, keepdims=True)))
 
     def emissions(self, pdf: pd.DataFrame) -> np.ndarray:
         return self.mark[:, pdf["mark"]].T + self.size[:, pdf["size"]].T + self.ending[:, pdf["ending"]].T + self.head[:, pdf["head"]].T

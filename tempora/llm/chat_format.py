@@ -61,7 +61,7 @@ class TurnModel:
     """Log probabilities: ``start`` (state), ``move`` (state, state), and of the four features by state."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, mark: np.ndarray, size: np.ndarray, ending: np.ndarray, head: np.ndarray):
-        prior = np.full((STATES, 4), 0.0005)
+        prior = np.full((STATES, 4), 1e-6)
         for r in range(len(ROLES)):
             prior[2 * r, r + 1] = max(1.0, MARKER_SHARE * mark[2 * r].sum())
         allowed = np.ones((STATES, STATES))

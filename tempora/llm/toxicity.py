@@ -77,7 +77,7 @@ class SubwordSoftmax:
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordSoftmax:
         """Adaptive gradient descent on mini-batches over the texts' first ``SAMPLE_WORDS`` words."""
         ids, shares, lengths = [], [], []
-        for _, _, data, bounds in K.text_slices(pa.array(texts, pa.string())):
+        for _, _, data, bounds in K.text_slices(pa.array(texts, pa.string()), 1 << 17):  # small, as the driver is
             words = K.words_of(data, bounds)
             kept = np.arange(len(words.doc)) - words.first()[words.doc] < SAMPLE_WORDS
             padded, start, which = distinct_words(words)

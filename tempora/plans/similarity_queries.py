@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tempora.functions.rng import draw
 from tempora.operators import inference as I
-from tempora.operators import resample as R
 from tempora.operators import similarity as S
 from tempora.plans import views as V
 from tempora.plans.registry import registry

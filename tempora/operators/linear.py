@@ -222,3 +222,32 @@ def _column_sums(df: DataFrame, x: str, of) -> np.ndarray:
     rows = df.select(F.col(x).alias("_x")).mapInPandas(block, "r long, v array<double>")
     summed = rows.select("r", F.posexplode("v")).groupBy("r", "pos").agg(F.sum("col").alias("s")).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("all"))
     return np.array([[p["s"] for p in r["all"]] for r in summed.orderBy("r").collect()])
+
+
+def kernel_components(df: DataFrame, train: Column, x: str, k: int, degree: int = 4, landmarks: int = 256, seed: int = 42) -> DataFrame:
+    """``df`` with ``x`` replaced by its coordinates in polynomial kernel PCA (Nyström).
+
+    Kernel values are taken against ``landmarks`` training rows drawn by a keyed order, a bounded
+    number; with as many landmarks as training rows the result is exact.  The kernel is
+    (x.y / width + 1) to the ``degree``.
+    """
+    from tempora.functions.rng import draw
+
+    key = draw(seed, F.to_json(F.struct(x)))
+    marks = np.array([r["_x"] for r in df.filter(train).select(F.col(x).alias("_x")).orderBy(key).limit(landmarks).collect()])
+    width, m = marks.shape[1], len(marks)
+    gram = (marks @ marks.T / width + 1) ** degree
+    values, vectors = np.linalg.eigh(gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean())
+    axes = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    kind = dict(df.dtypes)
+    others = [c for c in df.columns if c != x]
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                z = (np.stack(pdf[x]) @ marks.T / width + 1) ** degree
+                z = z - z.mean(axis=1)[:, None] - gram.mean(axis=0) + gram.mean()
+                yield pdf.assign(**{x: list(z @ axes)})
+
+    return df.select(*others, x).mapInPandas(project, "".join(f"{c} {kind[c]}, " for c in others) + f"{x} array<double>")

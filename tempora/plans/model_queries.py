@@ -194,3 +194,10 @@ def decode_svm(spark, d):
 def decoding_curve(spark, d):
     """The mean over all pairs at each timepoint."""
     return r6(decode_centroid(spark, d).groupBy("tp").agg(F.avg("accuracy").alias("accuracy")), "accuracy")
+
+
+@query()
+def kernel_pca(spark, d):
+    """Ten components of a polynomial kernel of degree four over all stimuli."""
+    rows = V.v_vectors(spark, d).select("stimulus", "split", "x")
+    return L.kernel_components(rows, F.col("split") == "train", "x", 10)

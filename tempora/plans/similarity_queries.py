@@ -230,3 +230,10 @@ def feature_concat(spark, d):
 def loo_sets(spark, d):
     names = [r[0] for r in V.read_table(spark, d, "part").select("p_type").distinct().orderBy("p_type").collect()]  # six types
     return S.leave_one_out(names, spark)
+
+
+@query()
+def rsa_kendall(spark, d):
+    """Kendall's tau-b of the two halves' dissimilarities."""
+    one, two = _half_rdms(spark, d)
+    return spark.createDataFrame([(round(S.kendall(one, two), 6),)], "similarity double")

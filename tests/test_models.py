@@ -105,3 +105,21 @@ def test_randomness_ignores_partitions(spark):
 
     one = spark.range(200, numPartitions=1).select(F.sum(draw(1, F.col("id")))).first()[0]
     assert one == spark.range(200, numPartitions=7).select(F.sum(draw(1, F.col("id")))).first()[0]
+
+
+def test_kernel_components_match_the_dense_solution(spark, xy):
+    x, _, df = xy
+    got = np.array([r["x"] for r in L.kernel_components(df.select("half", "x"), F.lit(True), "x", 3, degree=2, landmarks=80).collect()])
+    gram = (x @ x.T / 5 + 1) ** 2
+    values = np.linalg.eigvalsh(gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean())[::-1][:3]
+    assert np.allclose((got**2).sum(axis=0), values, rtol=1e-6) and np.allclose(got.T @ got, np.diag(values), atol=1e-6 * values[0])
+
+
+def test_kendall_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 9, 60), rng.integers(0, 9, 60)
+    a[:2], b[:2] = (0, 8), (0, 8)
+    frames = [spark.createDataFrame([(k, 0, float(v)) for k, v in enumerate(c)], "i int, j int, d double") for c in (a, b)]
+    s = np.array([np.sign(a[p] - a[q]) * np.sign(b[p] - b[q]) for p in range(60) for q in range(p)])
+    ta, tb = (sum(c[p] == c[q] for p in range(60) for q in range(p)) for c in (a, b))
+    assert abs(S.kendall(*frames) - s.sum() / np.sqrt((1770 - ta) * (1770 - tb))) < 1e-9

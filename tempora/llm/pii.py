@@ -50,7 +50,7 @@ PATTERN = re.compile(
     re.X,
 )
 #: Cheap test for rows that can hold an entity.
-SUSPECT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(AKIA|ghp_|sk-)|(token|secret|key|password) = \"|({_TITLE})"
+SUSPECT = rf"[0-9@]|\b(?:AKIA|ghp_|sk-)|\b(?:token|secret|key|password) = \"|\b(?:{_TITLE})[. ]"
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -183,8 +183,8 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "n_entities"]
     rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_rid"), F.xxhash64("text").alias("_key"))
-    suspects = rows.filter(F.col("text").rlike(SUSPECT)).select(F.col("_rid").alias("rid"), F.col("_key").alias("key"), "text")
-    found = write_table(suspects.mapInArrow(_found, "rid long, key long, start int, stop int, kind string, value string"), "mentions")
+    slim = rows.select(F.col("_rid").alias("rid"), F.col("_key").alias("key"), "text")
+    found = write_table(slim.filter(F.col("text").rlike(SUSPECT)).mapInArrow(_found, "rid long, key long, start int, stop int, kind string, value string"), "mentions")
     entities = write_table(found.select("kind", "value").distinct(), "entities")
     known = found.join(choose_surrogates(entities, key).drop("attempt"), ["kind", "value"])
     edits = known.groupBy("rid", "key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind", "chosen"))).alias("edits"))  # bounded by the text
@@ -202,7 +202,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     touched = write_table(found.select("rid", "key").distinct(), "touched")
     hinted = bounded_broadcast(touched, touched.count(), BROADCAST_KEYS)
-    mine = suspects.join(hinted, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"])
+    mine = slim.join(hinted, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"])
     changed = mine.join(edits, ["rid", "key"]).select("rid", "key", "text", "edits").mapInArrow(applied, "rid long, key long, new_text string, n_entities long")
     on = (F.col("_rid") == F.col("rid")) & (F.col("_key") == F.col("key"))
     whole = rows.join(hinted, on, "left_anti").select(*names, F.lit(0).cast("long").alias("n_entities"))

@@ -50,7 +50,7 @@ PATTERN = re.compile(
     re.X,
 )
 #: Cheap test for rows that can hold an entity.
-SUSPECT = rf"[0-9@]|\b(?:AKIA|ghp_|sk-)|\b(?:token|secret|key|password) = \"|\b(?:{_TITLE})[. ]"
+SUSPECT = rf"[0-9@]|\b(?:AKIA|ghp_|sk-)|\b(?:token|secret|key|password) = \"|(?:^|\P{{L}})(?:{_TITLE})[. ]"
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:

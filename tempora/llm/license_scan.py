@@ -76,10 +76,10 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> Data
     """
     digests = F.broadcast(known_digests(docs.sparkSession, known))
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("normal"))
-    texts = normal.select("doc_id", F.lit("text").alias("scope"), F.array(whole(F.col("normal"))).alias("parts"))
-    lines = normal.select("doc_id", F.lit("line").alias("scope"), F.split("normal", "\n").alias("parts"))
-    found = [x.select("doc_id", "scope", F.explode("parts").alias("part")).select("doc_id", "scope", F.sha2(F.trim("part"), 256).alias("digest")).join(digests, "digest") for x in (texts, lines)]
-    return found[0].unionByName(found[1]).groupBy("doc_id", "license", "scope").agg(F.count(F.lit(1)).alias("matches"))
+    part = lambda scope, text: F.struct(F.lit(scope).alias("scope"), text.alias("part"))
+    parts = F.concat(F.array(part("text", whole(F.col("normal")))), F.transform(F.split("normal", "\n"), lambda line: part("line", line)))
+    found = normal.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.scope", F.sha2(F.trim("p.part"), 256).alias("digest"))
+    return found.join(digests, "digest").groupBy("doc_id", "license", "scope").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,10 +168,12 @@ def whiten_apply(spark, d):
 _TRIALS = f"SELECT f.class, p.block, (component - 1) // 8 AS tp, (component - 1) % 8 AS i, avg(value) AS v FROM ({V.FEAT}) f JOIN (SELECT class, stimulus, (rep - 1) // 5 AS block FROM ({_REPS})) p USING (class, stimulus) GROUP BY ALL"
 
 
-def v_pseudo(spark, d):
-    """(class, block, tp, x): six pseudo-trials of five repetitions for each condition."""
+def v_pseudo(spark, d, whole=False):
+    """(class, block, tp, x): six pseudo-trials for each condition, of five repetitions, or of about a sixth of them all."""
     at = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("x", 8 * t + 1, 8))
-    reps = v_reps(spark, d).select("class", F.floor((F.col("rep") - 1) / 5).cast("int").alias("block"), F.posexplode(at).alias("tp", "x"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("class")) / 6 if whole else F.lit(5)
+    blocks = v_reps(spark, d, None if whole else 30).withColumn("block", F.floor((F.col("rep") - 1) / size).cast("int"))
+    reps = blocks.select("class", "block", F.posexplode(at).alias("tp", "x"))
     long = reps.select("class", "block", "tp", F.posexplode("x").alias("i", "v")).groupBy("class", "block", "tp", "i").agg(F.avg("v").alias("v"))
     return long.groupBy("class", "block", "tp").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("all")).select("class", "block", "tp", F.col("all.v").alias("x"))
 
@@ -185,9 +187,15 @@ def decode_centroid(spark, d):
     return r6(D.decode_centroid(v_pseudo(spark, d), "class", "block", "tp", "x"), "accuracy")
 
 
+@query()
+def decode_centroid_whole(spark, d):
+    """Over all repetitions; the SQL of ``decode_centroid`` has thirty of each condition."""
+    return r6(D.decode_centroid(v_pseudo(spark, d, True), "class", "block", "tp", "x"), "accuracy")
+
+
 @query()
 def decode_svm(spark, d):
-    return D.decode_svm(v_pseudo(spark, d), "class", "block", "tp", "x", folds=6)
+    return D.decode_svm(v_pseudo(spark, d, True), "class", "block", "tp", "x", folds=6)
 
 
 @query(f"SELECT tp, round(avg(accuracy), 6) AS accuracy FROM ({ORACLE_SQL['decode_centroid']}) GROUP BY tp")
@@ -196,6 +204,11 @@ def decoding_curve(spark, d):
     return r6(decode_centroid(spark, d).groupBy("tp").agg(F.avg("accuracy").alias("accuracy")), "accuracy")
 
 
+@query()
+def decoding_curve_whole(spark, d):
+    return r6(decode_centroid_whole(spark, d).groupBy("tp").agg(F.avg("accuracy").alias("accuracy")), "accuracy")
+
+
 @query()
 def kernel_pca(spark, d):
     """Ten components of a polynomial kernel of degree four over all stimuli."""

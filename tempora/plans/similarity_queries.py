@@ -40,8 +40,8 @@ def rdm_dot(spark, d):
 _HALF = "SELECT stimulus, component, (value - avg(value) OVER w) / sqrt(var_pop(value) OVER w * 32) AS u FROM ({}) WHERE component {} 32 WINDOW w AS (PARTITION BY stimulus)"
 
 
-def _half_rdms(spark, d):
-    v = _vectors(spark, d)
+def _half_rdms(spark, d, v=None):
+    v = _vectors(spark, d) if v is None else v
     return [S.rdm(v.select("stimulus", F.slice("x", at, 32).alias("x")), "stimulus", "x") for at in (1, 33)]
 
 
@@ -59,6 +59,32 @@ def rsa_pearson(spark, d):
     return r6(S.rsa(one, two, "pearson"), "similarity")
 
 
+@query()
+def rdm_pearson_whole(spark, d):
+    """Of every pair of stimuli; ``rdm_pearson``, whose SQL has three classes, is its part that SQL checks. The same holds for the other queries of this ending."""
+    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x"), "d")
+
+
+@query()
+def rdm_spearman_whole(spark, d):
+    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x", "spearman"), "d")
+
+
+@query()
+def rdm_dot_whole(spark, d):
+    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x", "dot"), "d")
+
+
+@query()
+def rsa_whole(spark, d):
+    return r6(S.rsa(*_half_rdms(spark, d, V.v_vectors(spark, d))), "similarity")
+
+
+@query()
+def rsa_pearson_whole(spark, d):
+    return r6(S.rsa(*_half_rdms(spark, d, V.v_vectors(spark, d)), "pearson"), "similarity")
+
+
 _CKA = f"""WITH f AS ({V.FEAT}), n AS (SELECT count(DISTINCT stimulus) AS n FROM f),
     c AS (SELECT x.component AS i, y.component AS j, covar_pop(x.value, y.value) * count(*) AS c FROM f x JOIN f y USING (stimulus) GROUP BY 1, 2),
     h AS (SELECT sum(c * c) FILTER (WHERE i <= 32 AND j > 32) AS xy, sum(c * c) FILTER (WHERE i <= 32 AND j <= 32) AS xx, sum(c * c) FILTER (WHERE i > 32 AND j > 32) AS yy FROM c)
@@ -113,10 +139,10 @@ SPLITS = 20
 _REPS = f"SELECT class, stimulus, rep FROM (SELECT class, stimulus, row_number() OVER (PARTITION BY class ORDER BY {V.draw_sql(42, 'class', 'stimulus')}, stimulus) AS rep FROM ({V.VECTORS})) WHERE rep <= 30"
 
 
-def v_reps(spark, d):
-    """(class, rep, x): thirty repetitions of each condition in a keyed random order."""
+def v_reps(spark, d, most=30):
+    """(class, rep, x): the first ``most`` repetitions of each condition, or all, in a keyed random order."""
     order = Window.partitionBy("class").orderBy(draw(42, F.col("class"), F.col("stimulus")), "stimulus")
-    return V.v_vectors(spark, d).withColumn("rep", F.row_number().over(order)).filter("rep <= 30").select("class", "stimulus", "rep", "x")
+    return V.v_vectors(spark, d).withColumn("rep", F.row_number().over(order)).filter("true" if most is None else f"rep <= {most}").select("class", "stimulus", "rep", "x")
 
 
 @query(f"""WITH r AS ({_REPS}), s AS (SELECT unnest(range(1, {SPLITS + 1})) AS split),
@@ -124,9 +150,20 @@ def v_reps(spark, d):
            m AS (SELECT h.split, component, class, avg(value) FILTER (WHERE first) AS a, avg(value) FILTER (WHERE NOT first) AS b, avg(value) AS w FROM h JOIN ({V.FEAT}) f USING (class, stimulus) GROUP BY ALL)
            SELECT component, round(avg(lo), 6) AS lower, round(avg(hi), 6) AS upper FROM (SELECT split, component, corr(a, b) AS lo, corr(a, w) AS hi FROM m GROUP BY ALL) GROUP BY component""")
 def noise_ceiling(spark, d):
-    rows = v_reps(spark, d).withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))))
+    return _ceiling(v_reps(spark, d), SPLITS, F.lit(15))
+
+
+@query()
+def noise_ceiling_whole(spark, d):
+    """All repetitions of each condition, split into halves 100 times."""
+    reps = v_reps(spark, d, None)
+    return _ceiling(reps.join(reps.groupBy("class").agg(F.floor(F.count(F.lit(1)) / 2).alias("half")), "class"), 100, F.col("half"))
+
+
+def _ceiling(reps, splits, half):
+    rows = reps.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     order = Window.partitionBy("split", "class").orderBy(draw(7, F.col("split"), F.col("class"), F.col("rep")), "rep")
-    halves = rows.withColumn("first", F.row_number().over(order) <= 15).select("split", "class", "first", F.posexplode("x").alias("component", "value"))
+    halves = rows.withColumn("first", F.row_number().over(order) <= half).select("split", "class", "first", F.posexplode("x").alias("component", "value"))
     means = halves.groupBy("split", "component", "class").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("b"), F.avg("value").alias("w"))
     per = means.groupBy("split", "component").agg(F.corr("a", "b").alias("lo"), F.corr("a", "w").alias("hi"))
     return r6(per.groupBy((F.col("component") + 1).alias("component")).agg(F.avg("lo").alias("lower"), F.avg("hi").alias("upper")), "lower", "upper")
@@ -234,6 +271,6 @@ def loo_sets(spark, d):
 
 @query()
 def rsa_kendall(spark, d):
-    """Kendall's tau-b of the two halves' dissimilarities."""
-    one, two = _half_rdms(spark, d)
+    """Kendall's tau-b of the two halves' dissimilarities, over every pair of stimuli."""
+    one, two = _half_rdms(spark, d, V.v_vectors(spark, d))
     return spark.createDataFrame([(round(S.kendall(one, two), 6),)], "similarity double")

@@ -123,3 +123,30 @@ def test_kendall_equals_brute_force(spark):
     s = np.array([np.sign(a[p] - a[q]) * np.sign(b[p] - b[q]) for p in range(60) for q in range(p)])
     ta, tb = (sum(c[p] == c[q] for p in range(60) for q in range(p)) for c in (a, b))
     assert abs(S.kendall(*frames) - s.sum() / np.sqrt((1770 - ta) * (1770 - tb))) < 1e-9
+
+
+def test_whole_queries_read_every_row(spark, sf_dir):
+    import pandas as pd
+
+    from tempora.plans import catalog, model_queries, similarity_queries
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    n, low = len(x), np.tril_indices(len(x), -1)
+    for name, d in (("rdm_pearson_whole", 1 - np.corrcoef(x)), ("rdm_dot_whole", 1 - x @ x.T)):
+        got = catalog.QUERIES[name](spark, sf_dir).orderBy("i", "j").toPandas()
+        assert len(got) == n * (n - 1) // 2 and np.allclose(got["d"], d[low], atol=1e-5)
+    halves = [np.round(1 - np.corrcoef(h)[low], 9) for h in (x[:, :32], x[:, 32:])]
+    assert abs(catalog.QUERIES["rsa_whole"](spark, sf_dir).first()[0] - np.corrcoef(*[pd.Series(h).rank() for h in halves])[0, 1]) < 1e-5
+    assert similarity_queries.v_reps(spark, sf_dir, None).count() == n
+    assert {r["block"] for r in model_queries.v_pseudo(spark, sf_dir, True).collect()} == set(range(6))
+
+
+def test_binned_ranks_equal_average_ranks(spark):
+    import pandas as pd
+
+    values = np.concatenate([np.random.default_rng(7).integers(0, 90, 700), np.full(500, 40)]) / 7.0
+    df = spark.createDataFrame([(float(v),) for v in values], "a double").repartition(6)
+    (cuts,) = S.bin_cuts(df, ["a"], rows=50)
+    got = {r["a"]: r["rank"] for r in S.spread_ranks(df, "a", cuts).collect()}
+    assert len(cuts) > 10 and got == dict(zip(values, pd.Series(values).rank()))

@@ -9,8 +9,9 @@ the similarity estimated from equal low bits, corrected for chance collisions, c
 A bucket never emits all its pairs.  It compares its members with its hub, the member that shares
 most buckets.  Members that this leaves in other components, if few, are compared with all members;
 where they are many, they are compared with the bucket's ``PIVOTS`` and one more of them after the
-other is a centre, for as long as this finds links.  Copies with equal sets are one node from the
-start.
+other is a centre, for as long as this finds links.  What is then still apart goes through an exact
+join: two sets within the threshold share one of the first shingles of each, in any order that is
+common to all, and rare shingles come first.  Copies with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ MARGIN = 0.2
 STRAGGLERS = 16
 #: Members that others in a larger bucket are compared with.
 PIVOTS = 4
+#: Counters of the sketch that orders shingles by rarity; it decides what the exact join costs, not what it finds.
+SKETCH = 2**18
+#: Members of a shingle's list in one block of the exact join.
+BLOCK = 256
 #: Ids in a broadcast (8 bytes each) at most.
 BROADCAST_IDS = 2_000_000
 _FACTOR = (K.mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -158,6 +163,51 @@ def _new_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return write_table(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many of ``sets`` have a shingle of each hash remainder."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    out = np.zeros(SKETCH, np.int64)
+    found = sets.select("id", "shingles").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefix_pairs(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): every pair of different roots in ``ids`` (id, root) that can reach the threshold, and others."""
+    found = docs.join(bounded_broadcast(ids.select(F.col("id").alias("doc_id")), ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
+    sets = write_table(found.mapInArrow(_sets, "id long, shingles binary"), "apart-sets")
+    rarity = _rarity(sets)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                # At least 3/4 of the larger set is shared, so one of the first quarter and one more is.
+                first = len(x) - -(-NUMERATOR * len(x) // DENOMINATOR) + 1 if len(x) else 0
+                rows.append((len(x), x[np.lexsort((x, rarity[(x % np.uint64(SKETCH)).astype(np.int64)]))[:first]].view(np.int64)))
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]), pa.int64())
+            n, tokens = pa.array([r[0] for r in rows], pa.int64()), np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), n.take(at), pa.array(tokens, pa.int64())], names=["id", "n", "token"])
+
+    held = write_table(sets.mapInArrow(prefixes, "id long, n long, token long").join(ids, "id"), "prefixes")
+    lists = held.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    salts = F.ceil(F.col("size") / BLOCK)
+    held = held.join(lists.select("token", salts.alias("salts")), "token").withColumn("at", F.pmod(F.xxhash64("id"), "salts"))
+    left = held.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("of_a"), F.col("at").alias("at_a"), F.explode(F.sequence("at", F.col("salts") - 1)).alias("at_b"))
+    right = held.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("of_b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("at_a"))
+    met = left.join(right, ["token", "at_a", "at_b"]).filter("of_a <> of_b AND (at_a < at_b OR a < b)")
+    return met.filter(NUMERATOR * F.greatest("n_a", "n_b") <= DENOMINATOR * F.least("n_a", "n_b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -197,9 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = _new_pairs(pairs.select("a", "b").unionByName(centres).unionByName(tried.select("a", "b")), tested)
         links, tested = _links(new, nodes, docs), tested.unionByName(new)
         roots = merged(roots, links)
-        # Buckets with few members apart are settled now; others go on with another centre while links turn up.
+        # Buckets with few members apart are settled now; others go on with another centre while links turn up, and then join exactly.
         members = many.filter("id <> centre").select("key", "id", "degree", "hub")
-        if links.isEmpty() or members.isEmpty():
+        if members.isEmpty():
+            break
+        if links.isEmpty():
+            ids = _with_roots(members.select("id").distinct(), roots, "id").select("id", F.col("id_root").alias("root"))
+            new = _new_pairs(_prefix_pairs(write_table(ids, "apart"), docs), tested)
+            roots = merged(roots, _links(new, nodes, docs))
             break
     found = member_of.join(roots.select("id", "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

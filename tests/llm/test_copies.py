@@ -80,6 +80,17 @@ def test_near_copies(spark, rows):
     assert minhash_dedup.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_copies_that_meet_in_giant_buckets_only(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = new(400), []
+    for k in range(200):  # two texts of a pair have 0.76 of their shingles in common, others 0.73
+        own = new(4)
+        docs += [(2 * k + j, " ".join(template[:100] + own + template[104:200] + new(50) + template[250:])) for j in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {k: k - k % 2 for k in range(400)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)]

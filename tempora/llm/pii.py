@@ -49,12 +49,38 @@ PATTERN = re.compile(
     |(?P<person>(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<names>[^\W\d_][\w'’-]*(?:[ ][^\W\d_a-zà-öø-ÿа-я][\w'’-]*)?))""",
     re.X,
 )
-#: Cheap test for rows that can hold an entity.
-SUSPECT = rf"[0-9@]|\b(?:AKIA|ghp_|sk-)|\b(?:token|secret|key|password) = \"|(?:^|\P{{L}})(?:{_TITLE})[. ]"
+#: Cheap test for rows that can hold an entity: wider than PATTERN, whatever it finds. Three ranges are digits that older JVMs don't know.
+SUSPECT = rf"[0-9@\p{{Nd}}\x{{16AC0}}-\x{{16AC9}}\x{{11F50}}-\x{{11F59}}\x{{1E4F0}}-\x{{1E4F9}}]|(?:AKIA|ghp_|sk-)\S{{12}}|(?:token|secret|key|password) = \"|(?:^|\P{{L}})(?:{_TITLE})[. ]"
+_WORD = re.compile(r"(?<!\w)[^\W\d_][\w'’-]*")
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, canonical value) of the entities of a text, in order and apart."""
+    """(start, end, type, canonical value) of the entities of a text, in order and apart: those of PATTERN, and later bare mentions of its names."""
+    found = list(_matched(text))
+    names: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if (kind == "surname" or kind.startswith("given_")) and len(value) > 1:  # initials aren't looked for
+            names.setdefault(value, kind)
+    if not names:
+        yield from found
+        return
+    k, seen, at = 0, set(), 0
+    for m in _WORD.finditer(text, next(f[0] for f in found if f[3] in names and f[2] == names[f[3]])):
+        while k < len(found) and found[k][1] <= m.start():
+            seen.add(found[k][3])
+            yield found[k]
+            at, k = found[k][1], k + 1
+        if not m.group()[0].isupper() or m.start() < at:
+            continue
+        for word in (m.group(), re.split("['’]", m.group())[0]):
+            end = m.start() + len(word)
+            if word.lower() in names and word.lower() in seen and (k == len(found) or end <= found[k][0]):
+                yield m.start(), end, names[word.lower()], word.lower()
+                break
+    yield from found[k:]
+
+
+def _matched(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("title", "names") else "person"
         kind = next(k for k in ("email", "secret", "ip", "ssn", "phone", "iban", "number", "person") if m.group(k) is not None)

@@ -85,6 +85,20 @@ def test_surrogates(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[3]) and out[3] != texts[3]
 
 
+def test_cheap_test_sees_what_the_pattern_sees(spark):
+    digits = [chr(c) for c in range(0x110000) if re.match(r"\d", chr(c))]
+    texts = [f"{d * 9}" for d in digits] + ['api_key = "CorrectHorseBattery"', 'db_password = "hunterhunter"', "+٩٦٦ ٥٥ ١٢٣ ٤٥٦٧", "²sk-abcdefghijklm", "-AKIAABCDEFGHIJKL", "ghp_abcdefghijklm", "a@b.cc", "Mrs. Holt", "x\nHerr Holt", "(Госпожа Белова)", "192.0.2.1", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "(030) 1234 5678"]
+    seen = {r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").filter(F.col("t").rlike(pii.SUSPECT)).collect()}
+    assert [t for t in texts if list(pii.mentions(t)) and t not in seen] == []
+    assert {'api_key = "CorrectHorseBattery"', 'db_password = "hunterhunter"', "+٩٦٦ ٥٥ ١٢٣ ٤٥٦٧"} <= seen
+
+
+def test_later_bare_names_are_found():
+    text = "Holt wrote a@b.cc. Mr Adam Holt met Dr Fox. HOLT's friend Adam, Holton and holt left; Fox@holt.com too."
+    got = [(text[a:b], kind) for a, b, kind, _ in pii.mentions(text)]
+    assert got == [("a@b.cc", "email"), ("Adam", "given_m"), ("Holt", "surname"), ("Fox", "surname"), ("HOLT", "surname"), ("Adam", "given_m"), ("Fox@holt.com", "email")]
+
+
 def test_no_two_entities_share_a_surrogate(spark):
     entities = spark.createDataFrame([("surname", f"name{k}") for k in range(700)] + [("ip", "1.2.3.4")], "kind string, value string")
     rows = pii.choose_surrogates(entities).collect()

@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 #: The six white-space characters of the contracts, ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand Python at most ``BATCH_BYTES`` of rows at a time: whole texts vary widely in length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18  # with some ten 8-byte numbers for each byte, a slice takes about 20 MB
 _BASE = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8, so that powers differ early
 _U = np.uint64
 
@@ -30,6 +30,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE = np.arange(256)
 BLANK = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
 _CODE = mixed(np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(_U) + _U(0x51ED270B))
+_EXACT_CODE = mixed(_BYTE.astype(_U) + _U(0x51ED270B))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
@@ -59,11 +60,11 @@ class Words(NamedTuple):
         return np.searchsorted(self.doc, np.arange(len(self.bounds)))
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, alike for equal ranges (A-Z lower-cased) wherever they stand."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Hashes of byte ranges, alike for equal ranges wherever they stand; A-Z count as lower-case unless ``exact``."""
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_CODE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_EXACT_CODE if exact else _CODE)[data] * up[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
 
 

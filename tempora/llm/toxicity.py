@@ -2,25 +2,29 @@
 
 A word is the bag of its character n-grams with word marks, hashed to ``BUCKETS`` vectors; a word
 is the mean of its bag and a text the mean of its words.  Misspelt or unseen words share the
-n-grams of the words they resemble.  The model is fitted on the driver from a bounded sample of
-labelled rows and has a fixed size; scoring reads all rows in their tasks.
+n-grams of the words they resemble.  The model is fitted on the driver from the bags of a bounded
+sample of labelled rows and has a fixed size; scoring reads all rows in their tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BLANKS, table
+from .common import table, whole_batches
 
 BUCKETS, DIMENSIONS = 1 << 17, 6
 #: Lengths in bytes of a word's n-grams, its two marks included.
 LENGTHS = (3, 4, 5, 6)
-#: Labelled rows of each class in the training sample, and words of each that are read, at most.
-SAMPLE_PER_CLASS, SAMPLE_WORDS = 1500, 400
+#: Labelled rows of each class in the training sample at most; their texts are read whole.
+SAMPLE_PER_CLASS = 1500
+#: Words without any effect that every text has besides its own, so that a few words don't decide.
+NEUTRAL_WORDS = 20
 #: The weight of class 1 in training, whatever its share in the sample.
 PRIOR = 0.2
 EPOCHS, RATE, BATCH, SEED = 12, 0.1, 32, 11
@@ -66,6 +70,32 @@ def word_grams(padded: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(word), np.concatenate(bucket).astype(np.int64)
 
 
+#: Of a text: the buckets of its n-grams, the share of each in the text, and the number of words.
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
+def text_bags(data: np.ndarray, bounds: np.ndarray) -> Iterator[Bag]:
+    """The bags of a slice's texts."""
+    words = K.words_of(data, bounds)
+    if not len(words.doc):
+        yield from [(np.zeros(0, np.int32), np.zeros(0, np.float32), 0)] * (len(bounds) - 1)
+        return
+    padded, start, which = distinct_words(words)
+    word, bucket = word_grams(padded, start)
+    order = np.argsort(word, kind="stable")
+    bucket, sizes = bucket[order], np.bincount(word, minlength=len(start))
+    edge, counted = np.cumsum(sizes) - sizes, np.bincount(words.doc, minlength=len(bounds) - 1)
+    # Each document's distinct words and how often it has them, then their n-grams.
+    pair, times = np.unique(words.doc * len(start) + which, return_counts=True)
+    of, many = pair % len(start), sizes[pair % len(start)]
+    place = np.repeat(edge[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    key, inverse = np.unique(np.repeat(pair // len(start), many) * BUCKETS + bucket[place], return_inverse=True)
+    value = np.bincount(inverse, np.repeat(times / many, many), len(key)) / (counted[key // BUCKETS] + NEUTRAL_WORDS)
+    edges = np.searchsorted(key, np.arange(len(bounds)) * BUCKETS)
+    for d, (a, b) in enumerate(zip(edges, edges[1:])):
+        yield (key[a:b] % BUCKETS).astype(np.int32), value[a:b].astype(np.float32), int(counted[d])
+
+
 class SubwordSoftmax:
     """The model: ``vectors`` (buckets x dimensions), ``weights`` (dimensions x 2) and ``bias`` (2)."""
 
@@ -74,26 +104,9 @@ class SubwordSoftmax:
         self.vectors = rng.normal(0, INIT, (BUCKETS, DIMENSIONS))
         self.weights, self.bias, self.gain = rng.normal(0, 1, (DIMENSIONS, 2)), np.zeros(2), 1.0
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordSoftmax:
-        """Adaptive gradient descent on mini-batches over the texts' first ``SAMPLE_WORDS`` words."""
-        ids, shares, lengths = [], [], []
-        for _, _, data, bounds in K.text_slices(pa.array(texts, pa.string()), 1 << 17):  # small, as the driver is
-            words = K.words_of(data, bounds)
-            kept = np.arange(len(words.doc)) - words.first()[words.doc] < SAMPLE_WORDS
-            padded, start, which = distinct_words(words)
-            word, bucket = word_grams(padded, start)
-            order = np.argsort(word, kind="stable")
-            bucket, sizes = bucket[order], np.bincount(word, minlength=len(start))
-            edge, of = np.cumsum(sizes) - sizes, which[kept]
-            doc, many = np.repeat(words.doc[kept], sizes[of]), sizes[of]
-            place = np.repeat(edge[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            key, inverse = np.unique(doc * BUCKETS + bucket[place], return_inverse=True)
-            counted = np.minimum(np.bincount(words.doc, minlength=len(bounds) - 1), SAMPLE_WORDS)
-            value = np.bincount(inverse, np.repeat(1 / many, many), len(key)) / counted[key // BUCKETS]
-            edges = np.searchsorted(key, np.arange(len(bounds)) * BUCKETS)
-            ids += [(key[a:b] % BUCKETS).astype(np.int32) for a, b in zip(edges, edges[1:])]
-            shares += [value[a:b].astype(np.float32) for a, b in zip(edges, edges[1:])]
-            lengths += counted.tolist()
+    def fit(self, bags: list[Bag], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordSoftmax:
+        """Adaptive gradient descent on mini-batches of whole texts' bags."""
+        ids, shares, lengths = zip(*bags) if bags else ((), (), ())
         y, used = np.array(labels), [i for i, x in enumerate(ids) if len(x)]
         if not used:
             return self
@@ -128,26 +141,38 @@ class SubwordSoftmax:
 def text_logits(texts: pa.Array, buckets: np.ndarray, bias: float) -> np.ndarray:
     """The logit of each whole text: the mean over its words of the mean over their n-grams."""
     out = [np.zeros(0)]
-    for _, _, data, bounds in K.text_slices(texts, 4 * K.SLICE):
+    for _, _, data, bounds in K.text_slices(texts):
         words = K.words_of(data, bounds)
         padded, start, which = distinct_words(words)
         word, bucket = word_grams(padded, start)
         values = np.bincount(word, buckets[bucket], len(start)) / np.maximum(np.bincount(word, minlength=len(start)), 1)
         total = np.bincount(words.doc, values[which], len(bounds) - 1)
-        out.append(total / np.maximum(np.bincount(words.doc, minlength=len(bounds) - 1), 1) + bias)
+        out.append(total / (np.bincount(words.doc, minlength=len(bounds) - 1) + NEUTRAL_WORDS) + bias)
     return np.concatenate(out)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, int]]:
-    """A sample bounded by ``per_class`` of the labelled rows outside the held-out fold, by a hash of the id."""
+def training_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[Bag, int]]:
+    """The bags of whole texts of a sample bounded by ``per_class`` of the labelled rows outside the held-out fold, by a hash of the id.
+
+    Tasks turn the texts into bags of at most ``BUCKETS`` entries; only these reach the driver.
+    """
     known = labels.filter("toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(SEED))
     picked = [known.filter(F.col("toxic") == k).groupBy("doc_id", "toxic").agg(F.lit(1)).orderBy(order, "doc_id").limit(per_class).select("doc_id", "toxic") for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    cut = F.array_join(F.slice(F.split("text", f"[{BLANKS}]+"), 1, SAMPLE_WORDS), " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", cut.alias("text"))
-    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()  # at most 2 * per_class texts of SAMPLE_WORDS words
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [x for slice_ in K.text_slices(batch.column(2)) for x in text_bags(*slice_[2:])]
+            columns = [K.binary_rows([b[k] for b in bags]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *columns, pa.array([b[2] for b in bags], pa.int64())], names=["doc_id", "toxic", "ids", "shares", "words"])
+
+    found = rows.mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary, words long").toArrow()  # at most 2 * per_class rows
+    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    columns = [found.column(n) for n in ("ids", "shares", "words", "toxic")]
+    return [((np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), n.as_py()), y.as_py()) for i, x, n, y in zip(*columns)]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -155,15 +180,16 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> SubwordSoftmax:
-    rows = training_rows(docs, labels)
-    return SubwordSoftmax().fit([t or "" for t, _ in rows], [y for _, y in rows])
+    rows = training_bags(whole_batches(docs), labels)
+    return SubwordSoftmax().fit([b for b, _ in rows], [y for _, y in rows])
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 from 0.5 on).
 
     A text is scored whole.  Null and empty texts get the score of the bias, like every text
-    without words; repeated rows get equal scores; clashing columns are replaced.
+    without words; repeated rows get equal scores; clashing columns are replaced; an empty table
+    gives no rows.
     """
     buckets, bias = model.bucket_logits()
     shared = docs.sparkSession.sparkContext.broadcast(buckets)
@@ -173,7 +199,7 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text
 
     scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     score = F.arrow_udf(scored, "double")
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return whole_batches(docs).withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

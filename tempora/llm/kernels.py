@@ -60,15 +60,24 @@ class Words(NamedTuple):
         return np.searchsorted(self.doc, np.arange(len(self.bounds)))
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, exact: bool = False) -> np.ndarray:
-    """Hashes of byte ranges, alike for equal ranges wherever they stand; A-Z count as lower-case unless ``exact``."""
-    up, down = _power(len(data) + 1)
+def sums_of(data: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Running sums that give the hash of any byte range; A-Z count as lower-case unless ``exact``."""
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_EXACT_CODE if exact else _CODE)[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    np.cumsum((_EXACT_CODE if exact else _CODE)[data] * _power(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
+def hashes_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, alike for equal ranges wherever they stand."""
+    return mixed((sums[end] - sums[start]) * _power(len(sums))[1][start] + (end - start).astype(_U))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return hashes_of(sums_of(data), start, end)
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, one past the last byte) of all words."""
     solid = ~BLANK[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
@@ -77,7 +86,12 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     opens[inner] = solid[inner]
     closes[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(data, bounds, np.searchsorted(bounds, start, "right") - 1, start, end, span_hash(data, start, end))
+    return np.searchsorted(bounds, start, "right") - 1, start, end
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
+    doc, start, end = word_spans(data, bounds)
+    return Words(data, bounds, doc, start, end, span_hash(data, start, end))
 
 
 def place_factors(n: int) -> np.ndarray:

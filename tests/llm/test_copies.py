@@ -120,3 +120,59 @@ def test_line_dedup(spark):
         assert f"host{k}" in text_ and f"tail{k}" in text_
     assert got[40][0] is None and got[41][0] == "" and got[42][0] == "one line"
     assert line_dedup.dedup_lines(frame(spark, []).limit(0)).count() == 0
+
+
+def sentences(rng, n, sep=" "):
+    return sep.join(" ".join(words(rng.randrange(4, 9), rng)).capitalize() + rng.choice([".", ",", "."]) for _ in range(n))
+
+
+def test_line_dedup_tells_letter_cases_apart(spark):
+    """A copy in capitals with the smallest id hides no copies of the other case."""
+    rng = random.Random(8)
+    passage = sentences(rng, 14)
+    docs = [(1, passage.upper() + " " + sentences(rng, 9)), (2, passage + " " + sentences(rng, 9)), (3, sentences(rng, 9) + " " + passage)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got[1]["removed_words"] == got[2]["removed_words"] == 0
+    assert got[3]["removed_words"] >= len(passage.split()) - 2 and "clash" == got[3]["keep_id"]
+
+
+def test_line_dedup_inside_one_text(spark):
+    """Repeats inside one text go but for the first, whole; nothing of the first goes, even where copies touch."""
+    rng = random.Random(21)
+    passage = sentences(rng, 10)
+    docs = [(1, sentences(rng, 7) + " one " + passage + " two " + sentences(rng, 7) + " three " + passage + " four"), (2, passage.replace("a", "u") * 3 + "."), (3, "word " * 2000), (4, "ab cd, " * 300)]
+    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got[1][0].count(passage) == 1 and len(passage.split()) - 2 <= got[1][1] <= len(passage.split()) + 1
+    assert got[1][0].endswith(" four") and " three " in got[1][0]
+    once = docs[1][1].split()
+    assert got[2][0].split()[: len(once) // 3] == once[: len(once) // 3] and got[2][1] > len(once) // 3
+    assert got[4][0].startswith("ab cd, ab cd") and got[3][0].startswith("word word")
+
+
+def test_line_dedup_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(13)
+    passage, long = sentences(rng, 14), sentences(rng, 3000)
+    docs = [(1, passage), (1, sentences(rng, 5) + " " + passage), (1, passage), (None, sentences(rng, 3) + " " + passage), (2, long), (3, sentences(rng, 40) + " " + long)]
+    rows = line_dedup.dedup_lines(frame(spark, docs)).collect()
+    assert len(rows) == 6 and sum(passage in r["text"] for r in rows) == 1  # the null id comes first
+    assert next(r for r in rows if r["doc_id"] == 2)["removed_words"] == 0
+    assert next(r for r in rows if r["doc_id"] == 3)["removed_words"] >= len(long.split()) - 2
+
+
+def repeated_runs(texts, n):
+    """How many runs of ``n`` words stand in two texts or more: by brute force."""
+    seen, where = {}, []
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        where += [(d, hash(tuple(w[k : k + n]))) for k in range(len(w) - n + 1)]
+    for d, h in where:
+        seen[h] = d if seen.get(h, d) == d else -1
+    return sum(seen[h] == -1 for _, h in where)
+
+
+def test_line_dedup_against_all_repeated_runs(spark, sf_dir):
+    """Of all runs of fifty words that repeat over the table's texts, next to none are left."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    runs = repeated_runs([r["text"] for r in docs.collect()], 50)
+    left = repeated_runs([r["text"] for r in line_dedup.dedup_lines(docs).collect()], 50)
+    assert runs > 1000 and left <= 0.01 * runs

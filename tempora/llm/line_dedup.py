@@ -218,6 +218,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     source = [f"source{c}" for c in ids]
     first = found.filter("_rid = holder").groupBy("chunk").agg(F.min(F.struct(*ids, "start", "before", "after")).alias("f"))
     first = first.select("chunk", *[F.col(f"f.{c}").alias(s) for c, s in zip(ids, source)], F.col("f.start").alias("there"), "f.before", "f.after")
+    first = write_table(first, "first-holders")  # a join of two plain tables can split a hot chunk
     again = found.drop("before", "after", "holder").join(first, "chunk").filter(" OR ".join(f"{c} <> {s}" for c, s in zip([*ids, "start"], [*source, "there"])))
     spans = again.groupBy(*ids, *source, F.floor(F.col("there") / REGION).alias("region")).agg(
         F.min(F.col("there") - F.col("before")).alias("base"), F.max(F.col("there") + F.col("size") + F.col("after")).alias("upto"), F.sort_array(F.collect_set(F.struct("start", "size", "there"))).alias("spans")

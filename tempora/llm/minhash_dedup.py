@@ -11,7 +11,8 @@ most buckets.  Members that this leaves in other components, if few, are compare
 where they are many, they are compared with the bucket's ``PIVOTS`` and one more of them after the
 other is a centre, for as long as this finds links.  What is then still apart goes through an exact
 join: two sets within the threshold share one of the first shingles of each, in any order that is
-common to all, and rare shingles come first.  Copies with equal sets are one node from the start.
+common to all, and rare shingles come first.  Copies with equal sets, known by their size and two
+64-bit sums of their hashes, are one node from the start.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded_broadcast, table, write_table
+from .common import bounded_broadcast, table, whole_batches, write_table
 from .components import merged
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
@@ -217,14 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null component and is kept.  Rows with the same id are one node; all of them are rows of the
     result.  Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = whole_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_table(docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
     sets = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    member_of = write_table(sets.select("doc_id", *same).join(classes, same).select("doc_id", "id", "n_shingles"), "classes")
-    nodes = sets.join(classes, same).filter("doc_id = id").dropDuplicates(["id", *same])
-    nodes = write_table(nodes.select("id", "bands", *[f"s{k}" for k in range(_WORDS)]), "nodes")
+    # Classes of one row need no join; of two plain tables, Spark splits a hot class.
+    classes = write_table(sets.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "classes")
+    member_of = write_table(sets.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.coalesce("least", "doc_id").alias("id")), "members")
+    nodes = sets.join(classes, same, "left").filter("least IS NULL OR doc_id = least").select(F.col("doc_id").alias("id"), *same, "bands", *[f"s{k}" for k in range(_WORDS)])
+    nodes = write_table(nodes.dropDuplicates(["id", *same]).drop(*same), "nodes")
     if not signed.groupBy("doc_id").count().filter("count > 1").isEmpty():
         docs = docs.distinct()
     members = _hubs(nodes)

@@ -1,16 +1,18 @@
 """Exact de-duplication by skew-safe combining, in DataFrame operations only.
 
-A text is compared without its white space.  Its SHA-256 digest only routes rows: the
+A text is compared without its white space.  Two 64-bit hashes of it only route rows: the
 whole squeezed text is part of every grouping key, so equality is decided on content.
 
-1. each task combines its own rows (the partial aggregate of step 2);
-2. rows meet by (digest, salt, text), so that a group holding a third of all rows is
+1. each task combines its own rows: the salt is the task's number, so that it ships one row for
+   each text (the partial aggregate of step 2);
+2. these meet by (hashes, salt, text), so that a group holding a third of all rows is
    spread over ``salts`` tasks;
-3. the salt winners, at most ``salts`` for each text, meet by (digest, text).
+3. the salt winners, at most ``salts`` for each text, meet by (hashes, text).  Only here, once for
+   each text, is the SHA-256 digest made.
 
-Rows then fetch their group's winner by the digest, without any text; Spark's adaptive
-skew join splits a hot digest there, since only the side of the rows is large.  Should two
-texts ever share a digest, their rows fetch by the text too.
+Rows then fetch their group's winner by the hashes, without any text; Spark's adaptive
+skew join splits a hot pair there, since only the side of the rows is large.  Should two
+texts ever share both hashes, their rows fetch by the digest.
 """
 
 from __future__ import annotations
@@ -37,26 +39,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("doc_id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(38,0)").alias("points"),
         squeeze(F.col(text_col)).alias("body"),
-    ).withColumn("digest", F.sha2("body", 256))
+    ).withColumns({"a": F.xxhash64("body"), "b": F.xxhash64("body", F.lit(1))})
     # One number orders (points descending, id ascending): a plain maximum keeps these hash aggregates.
     points, order = F.col("points") * F.lit(str(2**64)).cast("decimal(38,0)"), F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("decimal(38,0)")
+    route = ["a", "b"]
     salted = (
-        rows.withColumns({"salt": F.pmod(F.xxhash64("doc_id", "points"), F.lit(salts)), "rank": (points - order).cast("decimal(38,0)")})
-        .groupBy("digest", "salt", "body")
+        rows.withColumns({"salt": F.pmod(F.spark_partition_id(), F.lit(salts)), "rank": (points - order).cast("decimal(38,0)")})
+        .groupBy(*route, "salt", "body")
         .agg(F.max("rank").alias("rank"), F.max("points").alias("points"), F.count(F.lit(1)).alias("n"))
     )
-    groups = salted.groupBy("digest", "body").agg(F.max("rank").alias("rank"), F.max("points").alias("points"), F.sum("n").alias("group_size"))
+    groups = salted.groupBy(*route, "body").agg(F.max("rank").alias("rank"), F.max("points").alias("points"), F.sum("n").alias("group_size"))
     best = F.nullif((points - F.col("rank")).cast("long"), F.lit(_NO_ID))
-    winners = write_table(groups.select("digest", best.alias("keep_id"), "group_size"), "exact-winners")
-    shared = winners.groupBy("digest").count().filter("count > 1").select("digest")
-    plain = rows.select("doc_id", "digest")
+    winners = write_table(groups.select(*route, F.sha2("body", 256).alias("digest"), best.alias("keep_id"), "group_size"), "exact-winners")
+    shared = write_table(winners.groupBy(*route).count().filter("count > 1").select(*route), "exact-shared")
+    plain = rows.select("doc_id", *route)
     if shared.isEmpty():
-        return _fetched(plain, winners, ["digest"])
-    odd = rows.join(shared, "digest", "left_semi")
-    texts = odd.join(winners, "digest").groupBy("digest", "body").agg(F.max(points - order).alias("rank"), F.max("points").alias("points"), F.countDistinct("keep_id").alias("texts"), F.count(F.lit(1)).alias("n"))
-    texts = texts.select("digest", "body", best.alias("keep_id"), (F.col("n") / F.col("texts")).cast("long").alias("group_size"))
-    even = _fetched(plain.join(shared, "digest", "left_anti"), winners.join(shared, "digest", "left_anti"), ["digest"])
-    return even.unionByName(_fetched(odd.select("doc_id", "digest", "body"), texts, ["digest", "body"]))
+        return _fetched(plain, winners, route)
+    odd = rows.join(shared, route, "left_semi").withColumn("digest", F.sha2("body", 256))
+    even = _fetched(plain.join(shared, route, "left_anti"), winners, route)
+    return even.unionByName(_fetched(odd.select("doc_id", "digest"), winners.join(shared, route, "left_semi").drop(*route), ["digest"]))
 
 
 def _fetched(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """PII: keyed, type-consistent surrogates for detected entities.
 
 Entities are e-mail addresses, telephone numbers, IP addresses, card, account and social security
-numbers, secrets, and names after a title.  A surrogate comes from a keyed hash of the entity's
+numbers, secrets, names after a title, and the same names anywhere else in the text.  A surrogate comes from a keyed hash of the entity's
 type and canonical value, so that an entity gets the same one wherever and however it is written.
 It keeps length, layout, letter case and script, a card number's check digit, and a name's gender.
 All surrogates of the corpus are checked: none may be shared by two entities or equal to a real one;
@@ -19,34 +19,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, table, write_table
+from .common import bounded_broadcast, table, whole_batches, write_table
 
+#: Used where neither an argument nor the session's ``tempora.pii.key`` gives a key: results then are only as secret as this file.
 KEY = b"a key for tests; production passes its own"
+#: From this attempt on a surrogate may leave its length and layout, so that there are always more surrogates than entities.
+CROWDED = 4
 BROADCAST_KEYS = 1_000_000
 _NO_ID = -(2**63)
 
-# Titles that precede a name, by gender, and given names and surname parts for surrogates.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Doña", "Госпожа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин"], "x": ["Dr", "Prof"]}
-GIVEN = {
-    "f": ["Anna", "Clara", "Edith", "Flora", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sofia", "Vera"],
-    "m": ["Adam", "Boris", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Oscar", "Paul", "Victor"],
-    "x": ["Alex", "Billie", "Charlie", "Dana", "Eden", "Frankie", "Jamie", "Kim", "Lee", "Morgan", "Noel", "Robin", "Sam", "Sasha", "Toni", "Val"],
+# Titles that precede a name, by gender, and the syllables that surrogate names are made of, by script.
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Doña", "Госпожа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"], "x": ["Dr", "Prof"]}
+#: Of a script: given-name stems, their endings by gender, and the two halves of surnames.
+NAMES = {
+    "latin": (["adal", "bern", "cor", "dani", "emil", "flor", "gabri", "hel", "isid", "jul", "klar", "leon", "marc", "nor", "oliv", "paul", "rob", "silv", "tob", "valer"], {"f": ["a", "ina", "ia", "ette", "ene"], "m": ["o", "us", "in", "ert", "ias"], "x": ["i", "e", "ey", "is", "en"]}, ["al", "bar", "cor", "dor", "el", "fer", "gal", "hol", "kar", "lin", "mar", "nor", "pel", "ros", "sal", "tor", "ul", "ven", "wal", "zel"], ["berg", "den", "field", "ford", "hart", "land", "ley", "man", "mer", "ner", "rick", "sen", "son", "stein", "ton", "veld", "well", "wood"]),
+    "cyrillic": (["ад", "бор", "вал", "ген", "ев", "зин", "ир", "лад", "мар", "ник", "ол", "рост", "свет", "юл"], {"f": ["а", "ина", "ия"], "m": ["ей", "ий", "ислав"], "x": ["я", "и"]}, ["бел", "вол", "гор", "дуб", "зор", "кар", "лес", "мар", "нев", "пет", "сид", "тих"], ["ин", "ов", "ский", "енко", "ев", "ак"]),
+    "greek": (["αλεξ", "βασιλ", "γεωργ", "δημ", "ελεν", "θεοδ", "κωστ", "μαρ", "νικ", "στελ"], {"f": ["α", "ία", "ούλα"], "m": ["ος", "ης", "άκης"], "x": ["ι", "ις"]}, ["αθαν", "βλαχ", "γαβρ", "δραγ", "καλ", "λαμπρ", "μακρ", "παππ", "σταυρ", "φωτ"], ["όπουλος", "άκης", "ίδης", "άτος", "άς"]),
+    "hebrew": (["אב", "דנ", "יעק", "מיכ", "נע", "רונ", "של"], {"f": ["ה", "ית"], "m": ["ל", "ון"], "x": ["י", "ם"]}, ["אלמ", "ברק", "גול", "כהנ", "לב", "מזר"], ["ן", "ני", "ובי", "מן"]),
+    "arabic": (["أم", "جم", "حس", "سم", "كر", "ناد"], {"f": ["ية", "اء"], "m": ["ال", "ير"], "x": ["ان", "ين"]}, ["الحد", "الراش", "السال", "الكر", "المنص"], ["اد", "دي", "مي", "يم", "ور"]),
+    "han": (["嘉", "文", "明", "雨", "志", "思", "子", "佳"], {"f": ["娜", "芳", "婷"], "m": ["伟", "强", "军"], "x": ["宁", "安", "平"]}, ["陈", "林", "黄", "吴", "周", "徐", "孙", "郭"], ["", "远", "恒"]),
+    "hangul": (["민", "서", "지", "현", "수", "은"], {"f": ["희", "아", "영"], "m": ["호", "석", "철"], "x": ["우", "원", "진"]}, ["강", "노", "문", "배", "송", "윤"], ["", "림", "한"]),
+    "kana": (["あき", "かず", "さち", "とも", "なお", "ひろ"], {"f": ["こ", "み", "え"], "m": ["お", "し", "ろう"], "x": ["る", "き"]}, ["いし", "おか", "きた", "しま", "なか", "もり"], ["だ", "やま", "かわ", "もと"]),
 }
-GIVEN_CYRILLIC = {"f": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга"], "m": ["Борис", "Виктор", "Иван", "Лев", "Олег", "Павел"], "x": ["Саша", "Женя", "Валя", "Шура"]}
-SURNAME_PARTS = (["Al", "Bar", "Cor", "Dor", "El", "Fer", "Gal", "Hol", "Kar", "Lin", "Mar", "Nor", "Ros", "Sal", "Tor", "Wal"], ["berg", "den", "field", "ford", "land", "ley", "man", "mer", "ner", "rick", "sen", "son", "stein", "ton", "well", "wood"])
-SURNAME_PARTS_CYRILLIC = (["Бел", "Вол", "Гор", "Кар", "Лес", "Мар", "Пет", "Сид"], ["ин", "ов", "ский", "енко"])
+_SCRIPTS = {"cyrillic": ("Ѐ", "ӿ"), "greek": ("Ͱ", "Ͽ"), "hebrew": ("\u0590", "\u05ff"), "arabic": ("\u0600", "\u06ff"), "han": ("一", "鿿"), "hangul": ("가", "힣"), "kana": ("\u3041", "ヿ")}
 
-_TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_TITLE = "|".join(form for g in TITLES.values() for t in sorted(g, key=len, reverse=True) for form in (t, t.upper()))
+_GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 PATTERN = re.compile(
     rf"""(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
     |(?P<secret>(?:(?<=token\ =\ ")|(?<=secret\ =\ ")|(?<=key\ =\ ")|(?<=password\ =\ "))[^"\s]{{8,}}|\b(?:AKIA|ghp_|sk-)\w{{12,}}|\b(?=\w*\d)(?=\w*[a-f])[0-9a-f]{{32,}}\b)
+    |(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
     |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)|\d{{1,5}})(?:[ .-]?\d{{2,5}}){{1,4}}(?!\w)|(?<!\w)\(\d{{2,5}}\)[ ]?\d{{3,4}}[ .-]?\d{{3,5}}(?!\w)|(?<![\w-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-]))
     |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<number>(?<![\w.])\d(?:[ -]?\d){{12,18}}(?!\w)|(?<![\w.])\d{{9,}}(?!\w))
-    |(?P<person>(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<names>[^\W\d_][\w'’-]*(?:[ ][^\W\d_a-zà-öø-ÿа-я][\w'’-]*)?))""",
+    |(?P<person>(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<names>[^\W\d_][\w'’-]*(?:[ ][^\W\d_a-zà-öø-ÿа-яα-ώ][\w'’-]*)?))""",
     re.X,
 )
 #: Cheap test for rows that can hold an entity: wider than PATTERN, whatever it finds. Three ranges are digits that older JVMs don't know.
@@ -55,7 +63,7 @@ _WORD = re.compile(r"(?<!\w)[^\W\d_][\w'’-]*")
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, canonical value) of the entities of a text, in order and apart: those of PATTERN, and later bare mentions of its names."""
+    """(start, end, type, canonical value) of the entities of a text, in order and apart: those of PATTERN, and bare mentions of its names anywhere."""
     found = list(_matched(text))
     names: dict[str, str] = {}
     for _, _, kind, value in found:
@@ -64,17 +72,16 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     if not names:
         yield from found
         return
-    k, seen, at = 0, set(), 0
-    for m in _WORD.finditer(text, next(f[0] for f in found if f[3] in names and f[2] == names[f[3]])):
+    k = 0
+    for m in _WORD.finditer(text):
         while k < len(found) and found[k][1] <= m.start():
-            seen.add(found[k][3])
             yield found[k]
-            at, k = found[k][1], k + 1
-        if not m.group()[0].isupper() or m.start() < at:
+            k += 1
+        if not m.group()[0].isupper() and m.group()[0].islower():
             continue
         for word in (m.group(), re.split("['’]", m.group())[0]):
             end = m.start() + len(word)
-            if word.lower() in names and word.lower() in seen and (k == len(found) or end <= found[k][0]):
+            if word.lower() in names and (k == len(found) or end <= found[k][0]):
                 yield m.start(), end, names[word.lower()], word.lower()
                 break
     yield from found[k:]
@@ -83,19 +90,19 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
 def _matched(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("title", "names") else "person"
-        kind = next(k for k in ("email", "secret", "ip", "ssn", "phone", "iban", "number", "person") if m.group(k) is not None)
+        kind = next(k for k in ("email", "secret", "ipv6", "ip", "ssn", "phone", "iban", "number", "person") if m.group(k) is not None)
         if kind != "person":
             yield m.start(), m.end(), kind, canonical(kind, m.group())
-        elif m.group("names")[0].isupper():
+        elif not m.group("names")[0].islower():
             start, names = m.start("names"), m.group("names").split(" ")
             if len(names) == 2:
-                yield start, start + len(names[0]), "given_" + _GENDER[m.group("title")], names[0].lower()
+                yield start, start + len(names[0]), "given_" + _GENDER[m.group("title").lower()], names[0].lower()
                 start += len(names[0]) + 1
             yield start, start + len(names[-1]), "surname", names[-1].lower()
 
 
 def canonical(kind: str, value: str) -> str:
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return value.lower()
     if kind in ("phone", "ssn", "number"):
         return re.sub(r"\D", "", value)
@@ -126,21 +133,38 @@ def luhn_valid(digits: str) -> bool:
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def script_of(value: str) -> str:
+    """The script of a value's first letter that has one of its own in ``NAMES``; Latin otherwise."""
+    return next((name for c in value for name, (first, last) in _SCRIPTS.items() if first <= c <= last), "latin")
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The canonical form of an entity's surrogate; later attempts give others."""
+    """The canonical form of an entity's surrogate; later attempts give others, from ``CROWDED`` on out of a pool that grows."""
     bytes_ = _stream(key, kind, value, attempt)
+    pick = lambda pool: pool[(next(bytes_) << 8 | next(bytes_)) % len(pool)]
     if kind in ("surname", "given_f", "given_m", "given_x"):
-        cyrillic = any("Ѐ" <= c <= "ӿ" for c in value)
-        if kind == "surname":
-            a, b = SURNAME_PARTS_CYRILLIC if cyrillic else SURNAME_PARTS
-            name = a[next(bytes_) % len(a)] + b[next(bytes_) % len(b)]
-        else:
-            pool = (GIVEN_CYRILLIC if cyrillic else GIVEN)[kind[-1]]
-            name = pool[next(bytes_) % len(pool)]
-        more = "".join(_like("а" if cyrillic else "a", next(bytes_)) for _ in range(attempt))  # a crowded pool grows
-        return (name + ("-" + more if more else "")).lower()
+        stems, endings, halves, closings = NAMES[script_of(value)]
+        name = pick(halves) + pick(closings) if kind == "surname" else pick(stems) + pick(endings[kind[-1]])
+        return "".join(pick(halves) for _ in range(attempt)) + name
+    chosen = _same_form(kind, value, bytes_)
+    if attempt < (16 * CROWDED if kind.startswith("ip") else CROWDED) and any(c.isalnum() for c in value):
+        return chosen
+    more = "".join(pick("abcdefghijklmnopqrstuvwxyz" if kind in ("email", "secret") else "0123456789") for _ in range(1 + attempt))
+    local, at, domain = chosen.partition("@")
+    grown = local + more + at + domain
+    return _checked(grown) if kind == "number" and luhn_valid(value) else grown
+
+
+def _checked(digits: str) -> str:
+    """With the last digit that makes a valid card number."""
+    return next(x for d in "0123456789" if luhn_valid(x := digits[:-1] + d))
+
+
+def _same_form(kind: str, value: str, bytes_: Iterator[int]) -> str:
     if kind == "ip":
         return ".".join(str(1 + next(bytes_) % 254) for _ in range(4))
+    if kind == "ipv6":
+        return "".join("0123456789abcdef"[next(bytes_) % 16] if c.isalnum() else c for c in value)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
@@ -156,7 +180,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     keep = 1 if kind in ("number", "phone") else 0
     digits = value[:keep] + "".join(str(next(bytes_) % 10) for _ in value[keep:])
     if kind == "number" and 13 <= len(value) <= 19 and luhn_valid(value):
-        digits = next(x for d in "0123456789" if luhn_valid(x := digits[:-1] + d))
+        digits = _checked(digits)
     return digits
 
 
@@ -164,7 +188,7 @@ def in_form_of(kind: str, chosen: str, mention: str) -> str:
     """A surrogate written the way the mention is."""
     if kind in ("phone", "ssn", "number", "iban"):
         left = iter(chosen)
-        return "".join(next(left, "") if c.isalnum() else c for c in mention)
+        return "".join([*(next(left, "") if c.isalnum() else c for c in mention), *left])
     if mention.isupper() and kind != "secret" and kind != "ip":
         return chosen.upper()
     return "-".join(p[:1].upper() + p[1:] for p in chosen.split("-")) if kind == "surname" or kind.startswith("given") else chosen
@@ -179,7 +203,11 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, chosen) for distinct entities (kind, value): chosen is unique in its kind and no real value of it."""
+    """(kind, value, chosen) for distinct entities (kind, value): chosen is unique in its kind and no real value of it.
+
+    Rounds end, as a surrogate that collides grows: from ``CROWDED`` attempts on each one adds a
+    random character, so that the pool soon outnumbers the entities however few their own form allows.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,6 +228,11 @@ def choose_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         current = write_table(current.join(losers.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(again), "surrogates")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    key = spark.conf.get("tempora.pii.key", None)
+    return key.encode() if key else KEY
+
+
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``; all rows and columns stay.
 
@@ -208,7 +241,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     gives no rows.
     """
     names = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_rid"), F.xxhash64("text").alias("_key"))
+    rows = whole_batches(docs).select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_rid"), F.xxhash64("text").alias("_key"))
     slim = rows.select(F.col("_rid").alias("rid"), F.col("_key").alias("key"), "text")
     found = write_table(slim.filter(F.col("text").rlike(SUSPECT)).mapInArrow(_found, "rid long, key long, start int, stop int, kind string, value string"), "mentions")
     entities = write_table(found.select("kind", "value").distinct(), "entities")
@@ -237,7 +270,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 QUERIES = {"op5_pii": op5_pii}

@@ -93,10 +93,67 @@ def test_cheap_test_sees_what_the_pattern_sees(spark):
     assert {'api_key = "CorrectHorseBattery"', 'db_password = "hunterhunter"', "+٩٦٦ ٥٥ ١٢٣ ٤٥٦٧"} <= seen
 
 
-def test_later_bare_names_are_found():
+def test_bare_names_are_found_wherever_they_stand():
     text = "Holt wrote a@b.cc. Mr Adam Holt met Dr Fox. HOLT's friend Adam, Holton and holt left; Fox@holt.com too."
     got = [(text[a:b], kind) for a, b, kind, _ in pii.mentions(text)]
-    assert got == [("a@b.cc", "email"), ("Adam", "given_m"), ("Holt", "surname"), ("Fox", "surname"), ("HOLT", "surname"), ("Adam", "given_m"), ("Fox@holt.com", "email")]
+    assert got == [("Holt", "surname"), ("a@b.cc", "email"), ("Adam", "given_m"), ("Holt", "surname"), ("Fox", "surname"), ("HOLT", "surname"), ("Adam", "given_m"), ("Fox@holt.com", "email")]
+
+
+def test_surrogates_end_and_stay_apart(spark):
+    """Values without letters or digits, and forms with fewer surrogates than entities: all end, all differ, none is real."""
+    odd = [f'password = "{c * 8}"' for c in "*-._~"] + ["_@_._ wrote"]
+    short = [f"{a}{b}@{c}.co" for a in "abcdefghijklm" for b in ("", *"nopqrst") for c in "abcdefghijklmnopqrst"][:2000] + [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = odd + short
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = [r["text"] for r in out]
+    assert all(r["n_entities"] == 1 for r in out) and not set(got) & set(texts) and len(set(got)) == len(set(texts))
+
+
+def test_surrogates_keep_script_gender_and_coreference(spark):
+    texts = ["Mr. John Smith came. John Smith left; Smith's dog stayed.", "MRS. ANNA SCHMIDT", "Κυρία Παππά", "Dr 王伟", "Mrs Anna Jones and Smith", "fe80:0:0:0:1a2b:3c4d:5e6f:1", "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs).collect()}
+    first, last = re.match(r"Mr\. (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mr. {first} {last} came. {first} {last} left; {last}'s dog stayed." and "Smith" not in got[0]
+    stems, endings, *_ = pii.NAMES["latin"]
+    assert any(first.lower() == s + e for s in stems for e in endings["m"])
+    assert got[1].isupper() and "ANNA" not in got[1] and any(got[1].split()[1].lower() == s + e for s in stems for e in endings["f"])
+    assert got[1].split()[1].lower() == got[4].split()[1].lower()  # one Anna everywhere
+    assert pii.script_of(got[2].split()[1]) == "greek" and pii.script_of(got[3].split()[1]) == "han"
+    assert re.fullmatch(r"[0-9a-f]{4}(:[0-9a-f]){3}(:[0-9a-f]{4}){3}:[0-9a-f]", got[5]) and got[5] != texts[5] and got[6] == "" and got[7] is None
+    other = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, b"another key").collect()}
+    assert other[0] != got[0]
+
+
+def test_surrogates_by_brute_force(spark, sf_dir):
+    """Over a whole table: one surrogate for each entity, wherever and however it is written, and no two alike."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    chosen: dict[tuple[str, str], set] = {}
+    for r in pii.replace_entities(docs).collect():
+        parts, at, new = [], 0, r["text"]
+        for start, stop, kind, value in pii.mentions(rows[r["doc_id"]] or ""):
+            parts.append((rows[r["doc_id"]][at:start], kind, value))
+            at = stop
+        place = 0
+        for k, (between, kind, value) in enumerate(parts):
+            assert new.startswith(between, place)
+            place += len(between)
+            after = parts[k + 1][0] if k + 1 < len(parts) else rows[r["doc_id"]][at:]
+            stop = new.index(after, place) if after else (len(new) if k + 1 == len(parts) else place)
+            if after.strip():  # what lies between two mentions tells where the surrogate ends
+                chosen.setdefault((kind, value), set()).add(pii.canonical(kind, new[place:stop]).lower())
+            place = stop
+    assert len(chosen) > 20 and all(len(c) == 1 for c in chosen.values())
+    assert len({(k[0], *c) for k, c in chosen.items()}) == len(chosen)
+    assert not {(k[0], *c) for k, c in chosen.items()} & {(k, v.lower()) for k, v in chosen}
+
+
+def test_surrogates_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "x " * 60000 + "ann@site.example", 9), (1, "x " * 60000 + "ann@site.example", 9), (1, "bob@site.example", 9)], "doc_id long, text string, n_entities int")
+    rows = pii.replace_entities(docs).collect()
+    assert sorted(r["n_entities"] for r in rows) == [1, 1, 1] and len({r["text"] for r in rows}) == 2 and not any("ann@" in r["text"] for r in rows)
+    assert pii.replace_entities(docs.limit(0)).count() == 0
 
 
 def test_no_two_entities_share_a_surrogate(spark):

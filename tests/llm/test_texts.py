@@ -236,11 +236,39 @@ def test_leaks(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def found_licences(spark, docs):
+    rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, license string"))
+    return {(r["doc_id"], r["license"], r["scope"]): r["matches"] for r in rows.collect()}
+
+
 def test_licences(spark):
     whole = "Copyright (c) 2020 Somebody\n\n" + license_scan._MIT.upper().replace("SUBLICENSE", "SUBLICENCE")
-    docs = [(1, whole), (2, "Some text\n  ** RELEASED under the MIT licence **\nmore"), (3, "Released under"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0.")]
-    got = {(r["doc_id"], r["license"], r["scope"]) for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT", "text"), (2, "MIT", "line"), (None, "CC-BY-NC-4.0", "text"), (None, "CC-BY-NC-4.0", "line")}
+    docs = [(1, whole), (2, "Some text\n  ** RELEASED under the MIT licence **\nmore"), (3, "Released under"), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (6, "SPDX-License-Identifier: GPL-2.0-or-later\n" * 2), (6, "SPDX-License-Identifier: GPL-2.0+")]
+    got = found_licences(spark, [(*d, "clash") for d in docs])
+    assert {k for k in got if k[0] != 6} == {(1, "MIT", "text"), (1, "MIT", "block"), (2, "MIT", "line"), (None, "CC-BY-NC-4.0", "text"), (None, "CC-BY-NC-4.0", "line")}
+    assert got[6, "GPL-2.0", "line"] == 3 and found_licences(spark, []) == {}
+
+
+def test_licences_inside_files(spark):
+    isc = next(t for name, t in license_scan.KNOWN if name == "ISC")
+    paragraphs = license_scan._MIT.split("\n")
+    wrapped = "\n".join(" * " + " ".join(p.split()[k : k + 9]) for p in paragraphs for k in range(0, len(p.split()), 9))
+    spread = "\n#\n".join("# " + "\n# ".join(" ".join(p.split()[k : k + 9]) for k in range(0, len(p.split()), 9)) for p in paragraphs)
+    docs = [(1, f"int a;\n\n/*\n{wrapped}\n */\n\nint b;"), (2, f"x = 1\n\n# Copyright 2020\n\n{spread}\n\ny = 2"), (3, "x = 1\n\n" + "\n\n".join(paragraphs[:2])), (4, "z\n\n" * 30000 + isc), (5, isc)]
+    got = found_licences(spark, [(*d, None) for d in docs])
+    assert got == {(1, "MIT", "block"): 1, (2, "MIT", "block"): 1, (4, "ISC", "block"): 1, (5, "ISC", "text"): 1, (5, "ISC", "block"): 1}
+
+
+def test_full_licence_texts(spark):
+    """The table's digests are those of the texts themselves, where a system has them."""
+    import os
+
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    names = {f: n for f, n in names.items() if os.path.exists(f"{folder}/{f}")}
+    if not names:
+        pytest.skip("no licence texts on this system")
+    docs = [(k, open(f"{folder}/{f}", encoding="utf-8").read().upper(), None) for k, f in enumerate(names)]
+    assert {k[:2] for k in found_licences(spark, docs) if k[2] == "text"} == set(enumerate(names.values()))
 
 
 def test_chats(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,14 @@ def squeeze(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, alike in every engine and locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bit_table(df: DataFrame, column: str, many: int, most: int) -> tuple[np.ndarray, int]:
+    """A table of bits, those set that the leading bits of ``df``'s ``many`` hashes name, and how many bits lead: 16 places for each, 2^``most`` at most."""
+    bits = min(most, max(6, (16 * many).bit_length()))
+    place = F.shiftrightunsigned(column, 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = df.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(most - 6) rows at most
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words, bits

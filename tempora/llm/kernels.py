@@ -126,3 +126,9 @@ def text_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int,
 def binary_rows(parts: list[np.ndarray]) -> pa.Array:
     """An Arrow array of the arrays' bytes."""
     return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def in_bits(words: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash's leading ``bits`` bits is set in a table of 64-bit words."""
+    place = (hashes >> _U(64 - bits)).astype(np.int64)
+    return (words[place >> 6] >> (place & 63).astype(_U)) & _U(1) == 1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import drop_table, table, whole_batches, write_table
+from .common import bit_table, drop_table, table, whole_batches, write_table
 
 #: The least words of a removed run.
 MIN_WORDS = 20
@@ -98,8 +98,7 @@ def _suspects(shared, bits: int) -> Callable:
         for batch in batches:
             for lo, _, data, bounds in K.text_slices(batch.column(batch.num_columns - 1)):
                 found = chunks_of(data, bounds)
-                place = (found[5] >> np.uint64(64 - bits)).astype(np.int64)
-                keep = np.flatnonzero((words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                keep = np.flatnonzero(K.in_bits(words, bits, found[5]))
                 row = pa.array(lo + found[0][keep])
                 columns = [batch.column(k).take(row) for k in range(batch.num_columns - 1)]
                 columns += [pa.array(x[keep], pa.int32()) for x in found[1:5]] + [pa.array(found[5][keep].view(np.int64))]
@@ -181,17 +180,6 @@ def _cleaned(text_at: int) -> Callable:
     return cleaned
 
 
-def bit_table(hashes: DataFrame, many: int) -> tuple[np.ndarray, int]:
-    """A table of bits with those of the hashes' (column ``chunk``) leading bits set, and how many bits lead."""
-    bits = min(TABLE_BITS, max(6, (16 * many).bit_length()))
-    place = F.shiftrightunsigned("chunk", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    found = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(TABLE_BITS - 6) rows at most
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return words, bits
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``, and ``removed_words``; all rows and columns stay.
 
@@ -210,7 +198,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     slim = rows.select(*ids, "text")
     hashes = slim.select("_rid", "text").mapInArrow(_hashes, "rid long, chunk long")
     often = write_table(hashes.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("holder")).filter("n > 1").drop("n"), "repeated-hashes")
-    words, bits = bit_table(often, often.count())
+    words, bits = bit_table(often, "chunk", often.count(), TABLE_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(words)
     places = slim.mapInArrow(_suspects(shared, bits), ", ".join(f"{c} long" for c in ids) + ", " + _SPAN)
     found = write_table(places.join(often, "chunk"), "repeated-chunks")

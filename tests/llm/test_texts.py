@@ -232,10 +232,44 @@ def test_leaks(spark):
     docs = [(0, text(200) + " " + items[0][1] + " " + text(100)), (1, text(50) + " " + " ".join(edited).upper()), (2, text(400)), (3, None), (4, ""), (5, items[2][1]), (5, items[2][1]), (None, items[3][1])]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (5, 2), (None, 3)} and len(got) == 4
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.contaminated(tables[0], tables[1].limit(0)).count() == 0
     assert {r["doc_id"]: r["score"] for r in got}[0] == 1.0
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_repeated_item_ids_short_items_and_long_texts(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    one, two = text(20), text(25)
+    items = [(7, one, "x"), (7, two, "y"), (8, "zebra", "z"), (9, "Blue, whale", "z"), (10, "", "z"), (None, text(9), "z")]
+    docs = [(1, f"{text(30)} {one}", "a"), (2, two, "b"), (3, "a blue whale, a zebra", "c"), (4, f"{text(40000)} {two} {text(20000)}", "d"), (5, "blue", "e")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, score string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 7), (2, 7), (4, 7), (3, 8), (3, 9)}
+    assert all(r["score"] == 1.0 for r in got) and next(r["end_word"] for r in got if r["doc_id"] == 4) == 40025
+
+
+def test_leaks_against_all_alignments(spark):
+    """Copies with every fourth word changed, and with a tenth to a third of all words changed, left out or put in: all pairs aligned by brute force."""
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(14, 60)))) for k in range(40)]
+    docs = []
+    for k in range(400):
+        w = items[k % 40][1].split()
+        if k < 40:
+            w = [word() if i % 4 == 3 else x for i, x in enumerate(w)]
+        else:
+            share = rng.uniform(0.1, 0.34)
+            w = [y for x in w for y in ([x] if rng.random() > share else rng.choice([[word()], [], [x, word()]]))]
+        docs.append((k, " ".join([*(word() for _ in range(rng.randrange(60))), *w, *(word() for _ in range(rng.randrange(60)))])))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hashed = [{k: decontaminate._one(t) for k, t in rows} for rows in (docs, items)]
+    want = {(d, i): s for d, x in hashed[0].items() for i, y in hashed[1].items() if (s := decontaminate.align(y, x)[0] / (2 * len(y))) >= 0.5}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(want) > 300 and len(got) >= 0.98 * len(want) and {(k, k) for k in range(40)} <= set(got)
+
+
 def found_licences(spark, docs):
     rows = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, license string"))
     return {(r["doc_id"], r["license"], r["scope"]): r["matches"] for r in rows.collect()}

@@ -2,9 +2,11 @@
 
 Pieces of a whole sequence stand alone.  The others are dealt to shards of about
 ``SHARD_PIECES``, and several islands evolve packings of each shard.  A solution is its set of
-bins.  Crossover injects whole well-filled bins of one parent into the other, removes the bins
-that they duplicate, and best-fits the displaced pieces, longest first.  Between epochs the elite
-of each island moves on to the next island of its shard; the best packing of a shard stays.
+bins; the first ones fill them in random order, which wastes one or two in a hundred.  Crossover
+injects whole well-filled bins of one parent into the other, removes the bins that they duplicate,
+and best-fits the displaced pieces, longest first.  Between epochs the elite of each island moves
+on to the next island of its shard; the best packing of a shard stays.  The emptiest bins of all
+shards are packed once more together, until one shard holds what is left.
 """
 
 from __future__ import annotations
@@ -17,14 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table, write_table
+from .common import BLANKS, table, whole_batches, write_table
 
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_PIECES = 8192
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 6
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 3, 4, 10
+#: Generations of an epoch that take place even if the packing can't get any better.
+LEAST_GENERATIONS = 3
+#: Shares of the donor's well-filled bins that a crossover injects.
+INJECTED = (0.3, 0.6)
+#: Of a shard's bins, those that are packed again with those of other shards.
+EMPTIEST = 2
 _WORDS_KEPT = 700_000
 
 
@@ -172,7 +180,7 @@ class Packing:
 
 
 def crossover(into: Packing, donor: Packing, share: float, rng: random.Random) -> Packing:
-    """Inject a share of the donor's bins, the well-filled ones likelier; remove duplicates; best-fit what they displace."""
+    """Inject a share of the donor's well-filled bins; remove the bins that they duplicate; best-fit what these displace."""
     capacity, where = into.capacity, {}
     for b, bin_ in enumerate(into.bins):
         for i in bin_:
@@ -181,47 +189,46 @@ def crossover(into: Packing, donor: Packing, share: float, rng: random.Random) -
     chosen = [b for b, f in enumerate(donor.fill) if f >= mean and rng.random() < share]
     moved = {i for b in chosen for i in donor.bins[b]}
     hit = {where[i] for i in moved}
-    worst = max(1, len(into.bins) // 50)  # mutation: the emptiest bins dissolve
-    order = sorted(range(len(into.bins)), key=into.fill.__getitem__)
-    hit.update(order[: 4 * worst : 4] if rng.random() < 0.5 else order[:worst])
+    # Mutation: the emptiest bins and a few others with room dissolve.
+    roomy = sorted((b for b, f in enumerate(into.fill) if f < capacity and b not in hit), key=into.fill.__getitem__)
+    worst = max(1, len(into.bins) // 50)
+    hit.update(roomy[:worst])
+    hit.update(rng.sample(roomy, min(len(roomy), 3 * worst)))
     child = into.without(hit)
-    displaced = [i for b in hit for i in into.bins[b] if i not in moved]
+    displaced = [i for b in sorted(hit) for i in into.bins[b] if i not in moved]
     child.bins += [list(donor.bins[b]) for b in chosen]
     child.fill += [donor.fill[b] for b in chosen]
-    lengths = child.lengths
-    displaced.sort(key=lambda i: -lengths[i] - rng.random() * capacity * 0.02)
+    displaced.sort(key=child.lengths.__getitem__, reverse=True)
     return child.best_fit(displaced)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]], population: int = POPULATION, generations: int = GENERATIONS) -> list[int]:
-    """The bin of each piece in the best packing found; ``start`` has packings of earlier epochs in that form."""
+def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]], population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[int], int]:
+    """The bin of each piece in the best packing found, and the crossovers that entered; ``start`` has packings of earlier epochs in that form."""
     rng, bound = random.Random(seed), -(-sum(lengths) // capacity)
-    herd = []
+    herd, crossed = [], 0
     for bins in start:
         groups: dict[int, list[int]] = {}
         for i, b in enumerate(bins):
             groups.setdefault(b, []).append(i)
         herd.append(Packing(lengths, list(groups.values()), capacity))
-    while len(herd) < population:
-        noise = 0.0 if not herd else 0.1
-        order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + noise * rng.random()))
+    while len(herd) < max(2, population):
+        order = list(range(len(lengths)))
+        rng.shuffle(order)
         herd.append(Packing(lengths, [], capacity).best_fit(order))
-        if len(herd[-1].bins) == bound:
-            break
     herd.sort(key=Packing.quality)
-    for _ in range(generations):
-        if len(herd[0].bins) == bound:
+    for generation in range(generations):
+        if len(herd[0].bins) == bound and generation >= LEAST_GENERATIONS:
             break
-        a, b = rng.sample(range(len(herd)), 2) if len(herd) > 1 else (0, 0)
-        child = crossover(herd[min(a, b)], herd[max(a, b)], rng.uniform(0.05, 0.3), rng)
+        a, b = rng.sample(range(len(herd)), 2)
+        child = crossover(herd[min(a, b)], herd[max(a, b)], rng.uniform(*INJECTED), rng)
         if child.quality() <= herd[-1].quality():
-            herd[-1] = child
+            herd[-1], crossed = child, crossed + 1
             herd.sort(key=Packing.quality)
     out = [0] * len(lengths)
     for number, bin_ in enumerate(herd[0].bins):
         for i in bin_:
             out[i] = number
-    return out
+    return out, crossed
 
 
 def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
@@ -229,46 +236,61 @@ def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = []
             for row in batch.to_pylist():
                 seed = (row["shard"] * ISLANDS + row["island"]) * EPOCHS + epoch
-                best.append(evolve(row["lengths"], capacity, seed, [x for x in (row["own"], row["migrant"]) if x]))
-            names = ["shard", "island", "pieces", "lengths", "bins"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names[:4]), pa.array(best, pa.list_(pa.int32()))], names=names)
-
-    return islands.mapInArrow(run, "shard long, island int, pieces array<long>, lengths array<int>, bins array<int>")
+                bins, crossed = evolve(row["lengths"], capacity, seed, [x for x in (row["own"], row["migrant"]) if x])
+                columns = [[row["shard"]], [row["island"]], [row["pieces"]], [row["lengths"]], [bins], [crossed], [int(row["migrant"] is not None)]]
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "island", "pieces", "lengths", "bins", "crossovers", "migrants"])
 
+    return islands.mapInArrow(run, "shard long, island int, pieces array<long>, lengths array<int>, bins array<int>, crossovers int, migrants int")
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """``pieces`` (unique ``item`` and ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
-    A sequence is known by the item of its first piece.  Pieces of equal length are told apart by
-    their item; an empty table gives no rows.
-    """
-    own = pieces.filter(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    loose = pieces.filter(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("length"))
-    shards = max(1, -(-loose.count() // shard_pieces))
+def evolved(loose: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """(shard, island, pieces, lengths, bins, crossovers, migrants) of the last epoch's islands, for pieces (item, length)."""
     dealt = loose.groupBy(F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("held"))
     none = F.lit(None).cast("array<int>")
     islands = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("held.item").alias("pieces"), F.col("held.length").alias("lengths"), none.alias("own"), none.alias("migrant"))
     for epoch in range(EPOCHS):
-        grown = write_table(_epoch(islands.repartition(2 * shards, "shard", "island"), epoch, capacity), f"islands-{epoch}")
+        grown = write_table(_epoch(islands.repartition(ISLANDS * shards, "shard", "island"), epoch, capacity), f"islands-{epoch}")
         moved = grown.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
         islands = grown.withColumnRenamed("bins", "own").join(moved, ["shard", "island"])
-    ranked = grown.withColumn("n", F.array_max("bins")).groupBy("shard").agg(F.min_by(F.struct("pieces", "lengths", "bins"), F.struct("n", "island")).alias("best"))
-    rows = ranked.select("shard", F.explode(F.arrays_zip("best.pieces", "best.lengths", "best.bins")).alias("p")).select("shard", "p.*").toDF("shard", "item", "length", "bin")
-    filled = rows.groupBy("shard", "bin").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("held"))  # a bin holds ``capacity`` pieces at most
+    return grown
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """``pieces`` (unique ``item`` and ``length`` from 1 to ``capacity``) with sequence_id and offset.
+
+    A sequence is known by the item of its first piece.  Pieces of equal length are told apart by
+    their item; an empty table gives no rows.
+    """
+    whole = pieces.filter(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose, done = pieces.filter(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("length")), []
+    while True:
+        shards = max(1, -(-loose.count() // shard_pieces))
+        ranked = evolved(loose, shards, capacity).withColumn("n", F.array_max("bins")).groupBy("shard").agg(F.min_by(F.struct("pieces", "lengths", "bins"), F.struct("n", "island")).alias("best"))
+        rows = ranked.select("shard", F.explode(F.arrays_zip("best.pieces", "best.lengths", "best.bins")).alias("p")).select("shard", "p.*").toDF("shard", "item", "length", "bin")
+        filled = rows.groupBy("shard", "bin").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("held"), F.sum("length").alias("fill"))  # a bin holds ``capacity`` pieces at most
+        if shards == 1:
+            done.append(filled.select("held"))
+            break
+        rank, bins = F.row_number().over(Window.partitionBy("shard").orderBy("fill", "bin")), F.count(F.lit(1)).over(Window.partitionBy("shard"))
+        filled = write_table(filled.withColumn("again", rank <= F.least(F.lit(EMPTIEST), bins / 2)), "bins")
+        done.append(filled.filter("NOT again").select("held"))
+        loose = filled.filter("again").select(F.inline("held"))
     spots = F.expr("transform(held, (h, i) -> named_struct('item', h.item, 'offset', aggregate(slice(held, 1, i), 0L, (s, x) -> s + x.length)))")
-    packed = filled.select(F.col("held")[0]["item"].alias("sequence_id"), F.inline(spots)).select("item", "sequence_id", "offset")
-    return own.unionByName(packed)
+    for held in done:
+        whole = whole.unionByName(held.select(F.col("held")[0]["item"].alias("sequence_id"), F.inline(spots)).select("item", "sequence_id", "offset"))
+    return whole
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all ``docs`` (see :func:`token_pieces`) with sequence_id and offset, gapless from 0 in each sequence.
 
-    Rows are packed whatever their text; an empty table gives no rows.
+    Rows are packed whatever their text, and null or repeated ids are packed like any other; other
+    columns are ignored; an empty table gives no rows.
     """
-    pieces = write_table(token_pieces(docs, tokenizer, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    pieces = write_table(token_pieces(whole_batches(docs), tokenizer, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
     return pieces.join(place(pieces, capacity), "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -63,9 +63,40 @@ def test_evolved_packing_beats_or_equals_best_fit():
     rng = random.Random(4)
     lengths = [rng.randrange(500, 1100) for _ in range(300)]
     plain = packing.Packing(lengths, [], 2048).best_fit(sorted(range(300), key=lambda i: -lengths[i]))
-    bins = packing.evolve(lengths, 2048, 1, [], generations=40)
+    bins, crossed = packing.evolve(lengths, 2048, 1, [], generations=40)
     fill = np.bincount(bins, lengths)
-    assert max(fill) <= 2048 and len(fill) <= len(plain.bins) and len(bins) == 300
+    assert max(fill) <= 2048 and len(fill) <= len(plain.bins) and len(bins) == 300 and crossed > 10
+
+
+def test_evolution_improves_packings_that_begin_weak():
+    rng = random.Random(7)
+    lengths = [min(2047, int(rng.lognormvariate(6, 1))) + 1 for _ in range(3000)]
+    bound = -(-sum(lengths) // 2048)
+    first, _ = packing.evolve(lengths, 2048, 1, [], generations=0)
+    last, crossed = packing.evolve(lengths, 2048, 1, [], generations=30)
+    assert max(first) + 1 > bound + 3 and max(last) + 1 <= bound + 1 and crossed >= 5
+
+
+def test_islands_cross_and_exchange_their_elite(spark):
+    rng = random.Random(5)
+    pieces = spark.createDataFrame([(k, min(2047, int(rng.lognormvariate(6, 1))) + 1) for k in range(3000)], "item long, length int").filter("length < 2048")
+    rows = packing.evolved(pieces, 2, 2048).collect()
+    assert len(rows) == 2 * packing.ISLANDS and all(r["crossovers"] > 0 and r["migrants"] == 1 for r in rows)
+    placed = packing.place(pieces.withColumn("length", F.col("length").cast("long")), shard_pieces=400).join(pieces, "item").collect()
+    assert len(placed) == pieces.count()
+    total, sequences = sum(r["length"] for r in placed), {r["sequence_id"] for r in placed}
+    assert len(sequences) <= -(-total // 2048) * 1.01 + 1
+    for s in sequences:
+        at = 0
+        for offset, length in sorted((r["offset"], r["length"]) for r in placed if r["sequence_id"] == s):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_packing_of_null_ids_and_other_columns(spark):
+    docs = spark.createDataFrame([(None, "a b", 5, 6), (None, "c", 7, 8)], "doc_id long, text string, piece int, item int")
+    assert sorted((r["doc_id"], r["piece"], r["start"]) for r in packing.pack(docs).collect()) == [(None, 0, 0), (None, 0, 0)]
 
 
 def test_surrogates(spark):

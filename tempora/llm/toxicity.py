@@ -22,7 +22,7 @@ BUCKETS, DIMENSIONS = 1 << 17, 6
 #: Lengths in bytes of a word's n-grams, its two marks included.
 LENGTHS = (3, 4, 5, 6)
 #: Labelled rows of each class in the training sample at most; their texts are read whole.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1000
 #: Words without any effect that every text has besides its own, so that a few words don't decide.
 NEUTRAL_WORDS = 20
 #: The weight of class 1 in training, whatever its share in the sample.
@@ -78,7 +78,7 @@ def text_bags(data: np.ndarray, bounds: np.ndarray) -> Iterator[Bag]:
     """The bags of a slice's texts."""
     words = K.words_of(data, bounds)
     if not len(words.doc):
-        yield from [(np.zeros(0, np.int32), np.zeros(0, np.float32), 0)] * (len(bounds) - 1)
+        yield from [(np.zeros(0, np.int32), np.zeros(0, np.float16), 0)] * (len(bounds) - 1)
         return
     padded, start, which = distinct_words(words)
     word, bucket = word_grams(padded, start)
@@ -93,7 +93,7 @@ def text_bags(data: np.ndarray, bounds: np.ndarray) -> Iterator[Bag]:
     value = np.bincount(inverse, np.repeat(times / many, many), len(key)) / (counted[key // BUCKETS] + NEUTRAL_WORDS)
     edges = np.searchsorted(key, np.arange(len(bounds)) * BUCKETS)
     for d, (a, b) in enumerate(zip(edges, edges[1:])):
-        yield (key[a:b] % BUCKETS).astype(np.int32), value[a:b].astype(np.float32), int(counted[d])
+        yield (key[a:b] % BUCKETS).astype(np.int32), value[a:b].astype(np.float16), int(counted[d])
 
 
 class SubwordSoftmax:
@@ -166,13 +166,16 @@ def training_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [x for slice_ in K.text_slices(batch.column(2)) for x in text_bags(*slice_[2:])]
-            columns = [K.binary_rows([b[k] for b in bags]) for k in (0, 1)]
+            columns = [K.binary_rows([b[k] for b in bags]) for k in (0, 1)]  # six bytes an entry, as the driver holds them all
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *columns, pa.array([b[2] for b in bags], pa.int64())], names=["doc_id", "toxic", "ids", "shares", "words"])
 
     found = rows.mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary, words long").toArrow()  # at most 2 * per_class rows
-    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    columns = [found.column(n) for n in ("ids", "shares", "words", "toxic")]
-    return [((np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), n.as_py()), y.as_py()) for i, x, n, y in zip(*columns)]
+    rows_ = [
+        (doc_id, toxic, (np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(shares.as_buffer(), np.float16), n))
+        for batch in found.to_batches()
+        for doc_id, toxic, ids, shares, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist())
+    ]
+    return [(bag, toxic) for _, toxic, bag in sorted(rows_, key=lambda r: r[:2])]
 
 
 def held_out(doc_id: F.Column) -> F.Column:

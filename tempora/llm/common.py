@@ -66,9 +66,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bit_table(df: DataFrame, column: str, many: int, most: int) -> tuple[np.ndarray, int]:
-    """A table of bits, those set that the leading bits of ``df``'s ``many`` hashes name, and how many bits lead: 16 places for each, 2^``most`` at most."""
-    bits = min(most, max(6, (16 * many).bit_length()))
+def bit_table(df: DataFrame, column: str, many: int, most: int, each: int = 16) -> tuple[np.ndarray, int]:
+    """A table of bits, those set that the leading bits of ``df``'s ``many`` hashes name, and how many bits lead: ``each`` places for each, 2^``most`` at most."""
+    bits = min(most, max(6, (each * many).bit_length()))
     place = F.shiftrightunsigned(column, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     found = df.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(most - 6) rows at most

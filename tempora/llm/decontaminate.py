@@ -26,8 +26,8 @@ SHARED_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The least alignment score, as a share of the item's score against itself.
 THRESHOLD = 0.5
-#: The table of bits has 16 places for each seed, 2^29 (64 MB) at most; beyond, more passages pass on to the join.
-TABLE_BITS = 29
+#: The table of bits has so many places for each seed, as a document has thousands of seeds, and 2^28 (32 MB) at most; beyond, more passages pass on to the join.
+TABLE_BITS, PLACES = 28, 512
 BROADCAST_SEEDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 _POINTS = np.isin(np.arange(256), list(b".,;:!?\"'()"))
 
@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     seeds = write_table(rare_seeds(items), "seeds")
     reach, many, least = seeds.agg(F.max("words"), F.count(F.lit(1)), F.collect_set(F.least("words", F.lit(3)))).first()
     patterns = [p for p in PATTERNS if len(p) in least]
-    words, bits = bit_table(seeds, "seed", many, TABLE_BITS)
+    words, bits = bit_table(seeds, "seed", many, TABLE_BITS, PLACES)
     shared = docs.sparkSession.sparkContext.broadcast(words)
     rows = whole_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     rows = rows if patterns else rows.limit(0)

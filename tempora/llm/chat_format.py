@@ -3,13 +3,13 @@
 A state is a role, and whether a line opens a turn or continues it.  A line is seen through its
 speaker marker, its length, its last character, and whether it opens a record.  Transitions and emissions are counted from
 labelled transcripts.  Lines are placed in order over the cluster and cut into blocks, so that no
-task ever holds a long conversation: every block gives the best scores between its first and last
-states, these small matrices are chained, and each block then runs Viterbi between fixed ends.
+task ever holds a long conversation.  Viterbi runs over all conversations of a block side by side.
+One that goes on over several blocks first gives the best scores between its first and last states
+in each; these small matrices are chained, level by level where there are many, and fix its ends.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +19,8 @@ from .common import table, write_table
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role r opens a turn: 2 r; continues it: 2 r + 1
-BLOCK_BITS = 12
+BLOCK_BITS, FAN_BITS = 12, 12
+IMPOSSIBLE = -1e18
 FOLDS = 5
 LENGTHS, ENDS = 12, ("?", ".", ":", ",")
 # Names that open a line, by role.
@@ -77,24 +78,56 @@ class TurnModel:
     def emissions(self, pdf: pd.DataFrame) -> np.ndarray:
         return self.mark[:, pdf["mark"]].T + self.size[:, pdf["size"]].T + self.ending[:, pdf["ending"]].T + self.head[:, pdf["head"]].T
 
-    def matrix(self, seen: np.ndarray) -> np.ndarray:
-        """Best scores from each state at the first line to each state at the last."""
-        best = np.where(np.eye(STATES, dtype=bool), seen[0][None, :], -1e18)
-        for row in seen[1:]:
-            best = (best[:, :, None] + self.move[None]).max(axis=1) + row[None, :]
+    def matrices(self, seen: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of stretches of lines: the best scores from each state at the first line to each state at the last."""
+        best = np.where(np.eye(STATES, dtype=bool)[None], seen[begin][:, None, :], IMPOSSIBLE)
+        for k in range(1, int(size.max(initial=0))):
+            at = np.flatnonzero(size > k)
+            best[at] = (best[at][:, :, :, None] + self.move[None, None]).max(axis=2) + seen[begin[at] + k][:, None, :]
         return best
 
-    def viterbi(self, seen: np.ndarray, first: int, last: int) -> np.ndarray:
-        best, back = np.where(np.arange(STATES) == first, seen[0], -1e18), np.zeros((len(seen), STATES), np.int64)
-        for k in range(1, len(seen)):
-            scores = best[:, None] + self.move
-            back[k] = scores.argmax(axis=0)
-            best = scores[back[k], np.arange(STATES)] + seen[k]
-        path = np.full(len(seen), last)
-        for k in range(len(seen) - 1, 0, -1):
-            path[k - 1] = back[k, path[k]]
+    def viterbi(self, seen: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best states of all lines, where stretches of lines begin and end in given states (-1: any)."""
+        free = first < 0
+        best = np.where(free[:, None], self.start[None], np.where(np.arange(STATES)[None] == first[:, None], 0.0, IMPOSSIBLE)) + seen[begin]
+        back, path = np.zeros((len(seen), STATES), np.int8), np.zeros(len(seen), np.int64)
+        longest = int(size.max(initial=0))
+        active = [np.flatnonzero(size > k) for k in range(longest)]
+        for k in range(1, longest):
+            at = active[k]
+            scores = best[at][:, :, None] + self.move[None]
+            back[begin[at] + k] = scores.argmax(axis=1)
+            best[at] = scores.max(axis=1) + seen[begin[at] + k]
+        path[begin + size - 1] = np.where(last < 0, best.argmax(axis=1), last)
+        for k in range(longest - 1, 0, -1):
+            at = begin[active[k]] + k
+            path[at - 1] = back[at, path[at]]
         return path
 
+    def chain(self, blocks: list[np.ndarray], first: int = -1, last: int = -1) -> list[tuple[int, int]]:
+        """The first and last states of blocks in a row, given their matrices, and the states at both ends (-1: any)."""
+        enter, choices, score = self.start if first < 0 else np.where(np.arange(STATES) == first, 0.0, IMPOSSIBLE), [], None
+        for best in blocks:
+            came = None
+            if score is not None:
+                step = score[:, None] + self.move
+                came, enter = step.argmax(axis=0), step.max(axis=0)
+            total = enter[:, None] + best
+            choices.append((total.argmax(axis=0), came))
+            score = total.max(axis=0)
+        at, ends = int(score.argmax()) if last < 0 else last, []
+        for opening, came in reversed(choices):
+            ends.append((int(opening[at]), at))
+            at = int(came[opening[at]]) if came is not None else at
+        return ends[::-1]
+
+    def product(self, blocks: list[np.ndarray]) -> np.ndarray:
+        """The matrix of blocks in a row."""
+        best = blocks[0]
+        for more in blocks[1:]:
+            best = (((best[:, :, None] + self.move[None]).max(axis=1))[:, :, None] + more[None]).max(axis=1)
+        return best
+
 
 def train(lines: DataFrame) -> TurnModel:
     """Counts over labelled lines; what reaches the driver is a few hundred sums."""
@@ -114,61 +147,100 @@ def train(lines: DataFrame) -> TurnModel:
     return TurnModel(start, move, tables["mark"], tables["size"], tables["ending"], tables["head"])
 
 
-def label_lines(lines: DataFrame, model: TurnModel) -> DataFrame:
+def _stretches(conv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one conversation begin, and how many lines they have."""
+    begin = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))
+    return begin, np.diff(np.append(begin, len(conv)))
+
+
+def _square(column: pd.Series) -> list[np.ndarray]:
+    return [np.asarray(b).reshape(STATES, STATES) for b in column]
+
+
+def block_ends(matrices: DataFrame, model: TurnModel, fan_bits: int = FAN_BITS) -> DataFrame:
+    """(conv_id, block, first, last): the states at the ends of each conversation's blocks (conv_id, block, best).
+
+    Blocks of a conversation are chained in groups of 2^``fan_bits`` neighbours at most; where there
+    are more, the groups' own matrices are chained first, and fix the ends of each group.
+    """
+    ends_schema = "conv_id long, block long, first int, last int"
+
+    def ended(pdf: pd.DataFrame, ends: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"conv_id": pdf["conv_id"], "block": pdf["block"], "first": [e[0] for e in ends], "last": [e[1] for e in ends]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return ended(pdf, model.chain(_square(pdf["best"])))
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "block": [int(pdf["block"].iloc[0]) >> fan_bits], "best": [model.product(_square(pdf["best"])).ravel()]})
+
+    def between(pdf: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return ended(pdf, model.chain(_square(pdf["best"]), int(outer["first"].iloc[0]), int(outer["last"].iloc[0])))
+
+    most = matrices.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= 1 << fan_bits:
+        return matrices.groupBy("conv_id").applyInPandas(whole, ends_schema)
+    group = F.shiftright("block", fan_bits).alias("group")
+    upper = write_table(matrices.groupBy("conv_id", group).applyInPandas(merged, "conv_id long, block long, best array<double>"), "chat-groups")
+    outer = write_table(block_ends(upper, model, fan_bits), "chat-group-ends").withColumnRenamed("block", "group")
+    return matrices.groupBy("conv_id", group).cogroup(outer.groupBy("conv_id", "group")).applyInPandas(between, ends_schema)
+
+
+def label_lines(lines: DataFrame, model: TurnModel, fan_bits: int = FAN_BITS) -> DataFrame:
     """(conv_id, place, state) of every line: the most probable states of each conversation."""
     seen = lines.select("conv_id", "block", "place", "mark", "size", "ending", "head")
 
     def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = model.matrix(model.emissions(pdf.sort_values("place")))
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "block": pdf["block"].iloc[:1], "best": [best.ravel()]})
+        """Of the block's first and last conversations, which may go on in other blocks."""
+        pdf = pdf.sort_values("place")
+        conv = pdf["conv_id"].to_numpy()
+        begin, size = _stretches(conv)
+        edge = np.unique([0, len(begin) - 1])
+        best = model.matrices(model.emissions(pdf), begin[edge], size[edge])
+        return pd.DataFrame({"conv_id": conv[begin[edge]], "block": pdf["block"].iloc[0], "best": list(best.reshape(len(edge), -1))})
 
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        blocks = [np.asarray(b).reshape(STATES, STATES) for b in pdf["best"]]
-        score, choices = model.start, []
-        for k, best in enumerate(blocks):
-            enter = score if k == 0 else None
-            came = None if k == 0 else (score[:, None] + model.move).argmax(axis=0)
-            enter = enter if k == 0 else (score[:, None] + model.move).max(axis=0)
-            total = enter[:, None] + best
-            first = total.argmax(axis=0)
-            choices.append((first, came))
-            score = total[first, np.arange(STATES)]
-        ends, last = [], int(score.argmax())
-        for first, came in reversed(choices):
-            ends.append((int(first[last]), last))
-            last = int(came[first[last]]) if came is not None else last
-        ends.reverse()
-        return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy(), "block": pdf["block"].to_numpy(), "first": [e[0] for e in ends], "last": [e[1] for e in ends]})
-
-    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    def paths(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        states = model.viterbi(model.emissions(pdf), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "place": pdf["place"], "state": states})
+        conv = pdf["conv_id"].to_numpy()
+        begin, size = _stretches(conv)
+        fixed = {c: (f, t) for c, f, t in zip(ends["conv_id"], ends["first"], ends["last"])}
+        first, last = (np.array([fixed.get(c, (-1, -1))[k] for c in conv[begin]]) for k in (0, 1))
+        return pd.DataFrame({"conv_id": conv, "place": pdf["place"], "state": model.viterbi(model.emissions(pdf), begin, size, first, last)})
 
-    small = seen.groupBy("conv_id", "block").applyInPandas(matrices, "conv_id long, block long, best array<double>")
-    ends = write_table(small.groupBy("conv_id").applyInPandas(chained, "conv_id long, block long, first int, last int"), "chat-ends")
-    return seen.join(ends, ["conv_id", "block"]).groupBy("conv_id", "block").applyInPandas(paths, "conv_id long, place long, state int")
+    wide = seen.groupBy("conv_id").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("conv_id")
+    edges = seen.groupBy("block").applyInPandas(matrices, "conv_id long, block long, best array<double>")
+    ends = write_table(block_ends(write_table(edges.join(wide, "conv_id"), "chat-matrices"), model, fan_bits), "chat-ends")
+    return seen.groupBy("block").cogroup(ends.groupBy("block")).applyInPandas(paths, "conv_id long, place long, state int")
 
 
 def parsed_turns(lines: DataFrame, model: TurnModel) -> DataFrame:
     """(conv_id, first_turn, first_line, role, n_lines, rendered): a row for each recovered turn.
 
-    ``rendered`` is ``<|role|>``, the turn's lines without its speaker marker, and ``<|end|>``.
+    ``rendered`` is ``<|role|>``, the turn's lines without its speaker marker, and ``<|end|>``.  A
+    turn that goes on over blocks of lines has a row in each, so that no row grows without bound;
+    put together in order, with line ends between, they are the turn.
     """
     known = write_table(label_lines(lines, model), "chat-states")
     rows = lines.select("conv_id", "turn", "line", "text", "place", "block").join(known, ["conv_id", "place"]).withColumn("opens", F.col("state") % 2 == 0)
     # The turn that a block's first lines continue: the last opening of the blocks before it.
-    last = rows.groupBy("conv_id", "block").agg(F.max(F.when(F.col("opens"), F.col("place"))).alias("opened"))
-    before = F.max("opened").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.join(last.select("conv_id", "block", before.alias("carried")), ["conv_id", "block"])
+    blocks = rows.groupBy("conv_id", "block").agg(F.max(F.when(F.col("opens"), F.col("place"))).alias("opened"), F.min_by("opens", "place").alias("begins"))
+    order = Window.partitionBy("conv_id").orderBy("block")  # a row for each 2^BLOCK_BITS lines
+    carried = F.max("opened").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("conv_id", "block", carried.alias("carried"), (~F.lead("begins", 1, True).over(order)).alias("goes_on"))
     own = F.max(F.when(F.col("opens"), F.col("place"))).over(Window.partitionBy("conv_id", "block").orderBy("place"))
-    rows = rows.withColumn("start", F.coalesce(own, "carried"))
-    packed = rows.groupBy("conv_id", "start").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "line", "state", "text"))).alias("held"))
+    rows = rows.join(blocks, ["conv_id", "block"]).withColumn("start", F.coalesce(own, "carried"))
+    last = F.max("place").over(Window.partitionBy("conv_id", "block"))
+    rows = rows.withColumn("unended", F.col("goes_on") & (F.col("place") == last))
+    packed = rows.groupBy("conv_id", "block", "start").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "line", "state", "text"))).alias("held"), F.bool_or("unended").alias("unended"))
     head = F.col("held")[0]
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.floor(head["state"] / 2) + 1).cast("int"))
-    content = F.concat_ws("\n", F.concat(F.array(F.regexp_replace(head["text"], MARKER, "")), F.transform(F.slice("held", 2, F.size("held")), lambda h: h["text"])))
-    return packed.select("conv_id", head["turn"].alias("first_turn"), head["line"].alias("first_line"), role.alias("role"), F.size("held").alias("n_lines"), F.concat(F.lit("<|"), role, F.lit("|>\n"), content, F.lit("\n<|end|>")).alias("rendered"))
+    opens = head["state"] % 2 == 0
+    lines_ = F.concat(F.array(F.when(opens, F.regexp_replace(head["text"], MARKER, "")).otherwise(head["text"])), F.transform(F.slice("held", 2, F.size("held")), lambda h: h["text"]))
+    rendered = F.concat(F.when(opens, F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(""), F.concat_ws("\n", lines_), F.when(F.col("unended"), "").otherwise("\n<|end|>"))
+    return packed.select("conv_id", head["turn"].alias("first_turn"), head["line"].alias("first_line"), role.alias("role"), F.size("held").alias("n_lines"), rendered.alias("rendered"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def test_a_text_is_scored_by_all_its_words():
     assert np.allclose(toxicity.text_logits(pa.array(texts), buckets, 0.5), want)
     (_, _, data, bounds), = kernels.text_slices(pa.array(texts))
     bags = list(toxicity.text_bags(data, bounds))
-    assert np.allclose([(buckets[ids] * share).sum() + 0.5 for ids, share, _ in bags], want, atol=1e-5) and [b[2] for b in bags] == [3, 0, 901, 2]
+    assert np.allclose([(buckets[ids] * share).sum() + 0.5 for ids, share, _ in bags], want, atol=1e-3) and [b[2] for b in bags] == [3, 0, 901, 2]
 
 
 def test_urls(spark):
@@ -353,6 +353,59 @@ def test_chats(spark, sf_dir):
     assert chat_format.format_chats(turns.unionByName(marked.select(*turns.columns))).count() > 0
 
 
+def random_model(rng):
+    counts = lambda *shape: rng.integers(0, 30, shape).astype(float)
+    s = chat_format.STATES
+    return chat_format.TurnModel(counts(s), counts(s, s), counts(s, 4), counts(s, chat_format.LENGTHS), counts(s, 5), counts(s, 2))
+
+
+def test_viterbi_against_all_state_paths(spark):
+    """Whatever the blocks, a conversation gets the best of all its state paths, tried one by one."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    model, rows, place = random_model(rng), [], 0
+    for conv, n in enumerate([1, 2, 5, 6, 1, 4, 6, 3]):
+        for _ in range(n):
+            rows.append((conv, place, int(rng.integers(4)), int(rng.integers(chat_format.LENGTHS)), int(rng.integers(5)), int(rng.integers(2))))
+            place += 1
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=["conv_id", "place", "mark", "size", "ending", "head"])
+    seen = model.emissions(pdf)
+
+    def score(at, path):
+        return model.start[path[0]] + sum(seen[i, s] for i, s in zip(at, path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+
+    lines = spark.createDataFrame(pdf)
+    for bits, fan in ((0, 12), (1, 1), (2, 12), (12, 12)):
+        got = {r["place"]: r["state"] for r in chat_format.label_lines(lines.withColumn("block", F.shiftright("place", bits)), model, fan).collect()}
+        for conv, part in pdf.groupby("conv_id"):
+            at = part["place"].tolist()
+            best = max(score(at, p) for p in product(range(chat_format.STATES), repeat=len(at)))
+            assert abs(score(at, [got[i] for i in at]) - best) < 1e-9
+
+
+def test_chats_on_held_out_conversations(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/conversations.parquet")
+    lines = chat_format.placed_lines(turns)
+    held = F.crc32(F.col("conv_id").cast("string")) % 5 == 0
+    model = chat_format.train(lines.filter(~held))
+    joined = lines.filter(held & F.col("role").isin(*chat_format.ROLES)).join(chat_format.label_lines(lines, model), ["conv_id", "place"])
+    assert joined.agg(F.avg((F.floor(F.col("state") / 2) == F.floor(chat_format._state(F.col("role"), F.lit(True)) / 2)).cast("int"))).first()[0] > 0.85
+
+
+def test_chats_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, place string, state string"
+    long = "\n".join(f"line {k}" for k in range(5000))
+    turns = spark.createDataFrame([(1, 0, "user", "User: hi", "x", "y"), (1, 0, "user", "User: hi", "x", "y"), (2, 0, "user", "User: " + long, "x", "y"), (None, None, None, None, None, None)], schema)
+    rows = chat_format.format_chats(turns).collect()
+    assert sum(r["n_lines"] for r in rows) == 5003 and all(r["n_lines"] <= 1 << chat_format.BLOCK_BITS for r in rows)
+    whole = "\n".join(r["rendered"] for r in sorted((r for r in rows if r["conv_id"] == 2), key=lambda r: r["first_line"]))
+    assert whole.replace("<|end|>\n", "").count("\nline ") >= 4998 and whole.startswith("<|") and whole.endswith("<|end|>")
+    assert chat_format.format_chats(turns.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

@@ -14,16 +14,17 @@ from tempora.operators.similarity import pairs
 def decode_centroid(trials: DataFrame, condition: str, block: str, tp: str, x: str) -> DataFrame:
     """(i, j, tp, accuracy) by the nearest mean of the other blocks; each block is held out once, ties count half.
 
-    Distances to all condition means are taken once for a trial, not once for a pair.
+    Distances to all condition means are taken once for a trial, not once for a pair.  Conditions of
+    a single block have no other blocks: their accuracies are null.
     """
     long = trials.select(condition, block, tp, F.posexplode(x).alias("c", "v"))
     totals = long.groupBy(condition, tp, "c").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    means = long.join(totals, [condition, tp, "c"]).groupBy(condition, block, tp).agg(F.sort_array(F.collect_list(F.struct("c", ((F.col("s") - F.col("v")) / (F.col("n") - 1)).alias("m")))).alias("all"))
+    means = long.join(totals, [condition, tp, "c"]).groupBy(condition, block, tp).agg(F.sort_array(F.collect_list(F.struct("c", F.try_divide(F.col("s") - F.col("v"), F.col("n") - 1).alias("m")))).alias("all"))
     means = means.select(F.col(condition).alias("near"), block, tp, F.col("all.m").alias("m"))
     gap = F.zip_with(x, "m", lambda a, b: a - b)
     met = trials.join(means, [block, tp]).select(F.col(condition).alias("own"), "near", block, tp, gap.alias("g")).select("own", "near", block, tp, F.round(dot(F.col("g"), F.col("g")), 9).alias("d"))
     mine = met.filter("own = near").select("own", block, tp, F.col("d").alias("own_d"))
-    hit = F.when(F.col("own_d") < F.col("d"), 1.0).when(F.col("own_d") == F.col("d"), 0.5).otherwise(0.0)
+    hit = F.when(F.col("own_d").isNull() | F.col("d").isNull(), None).when(F.col("own_d") < F.col("d"), 1.0).when(F.col("own_d") == F.col("d"), 0.5).otherwise(0.0)
     hits = met.filter("own <> near").join(mine, ["own", block, tp]).withColumn("hit", hit)
     return hits.groupBy(F.greatest("own", "near").alias("i"), F.least("own", "near").alias("j"), tp).agg(F.avg("hit").alias("accuracy"))
 

@@ -19,6 +19,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate, null where either side is constant (the built-in one raises an error there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def moments(df: DataFrame, keys: list[str], x: str, y: str | None = None, weight: bool = False) -> DataFrame:
     """(keys, n, d, q, sums): for each group, all sums of products of the columns of [x, y, 1], row by row."""
     y_col = F.col(y) if y else F.array().cast("array<double>")
@@ -105,18 +110,18 @@ def best_alpha(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ridge_one(df: DataFrame, keys: list[str], alpha: float, x: str = "x", y: str = "y") -> DataFrame:
-    """(keys, slope, intercept) of ridge with one regressor, in closed form."""
+    """(keys, slope, intercept) of ridge with one regressor, in closed form; null where the fit isn't determined."""
     s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
     a, b, c = F.col("sxx") + alpha, F.col("sx"), F.col("n") + alpha
     det = a * c - b * b
-    return s.select(*keys, ((c * F.col("sxy") - b * F.col("sy")) / det).alias("slope"), ((a * F.col("sy") - b * F.col("sxy")) / det).alias("intercept"))
+    return s.select(*keys, F.try_divide(c * F.col("sxy") - b * F.col("sy"), det).alias("slope"), F.try_divide(a * F.col("sy") - b * F.col("sxy"), det).alias("intercept"))
 
 
 def fit_scores(df: DataFrame, keys: list[str], y: str = "y", fitted: str = "fitted", targets: int | None = None) -> DataFrame:
-    """(keys, rmse, corr, r2); RMSE by rows, or by ``targets`` for parity with studies that divide so."""
+    """(keys, rmse, corr, r2); RMSE by rows, or by ``targets`` for parity with studies that divide so; r2 is null where ``y`` is constant."""
     count = F.count(F.lit(1)) if targets is None else F.lit(targets)
     error = F.sum(F.pow(F.col(y) - F.col(fitted), 2))
-    return df.groupBy(*keys).agg(F.sqrt(error / count).alias("rmse"), F.corr(y, fitted).alias("corr"), (1 - error / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
+    return df.groupBy(*keys).agg(F.sqrt(error / count).alias("rmse"), correlation(y, fitted).alias("corr"), (1 - F.try_divide(error, F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
 
 
 def parity_corr(x: str, y: str) -> Column:
@@ -139,8 +144,8 @@ def shrunk_covariance(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     joined = df.join(packed, keys) if keys else df.crossJoin(packed)
     centred = joined.select(*keys, width.alias("p"), F.zip_with(x, "_c", lambda a, b: a - b).alias("z"))
     norms = centred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.sum(F.pow(dot(F.col("z"), F.col("z")), 2)).alias("fourth"))
-    products = centred.select(*keys, F.posexplode("z").alias("i", "a"), "z").select(*keys, "i", "a", F.posexplode("z").alias("j", "b"))
-    second = products.groupBy(*keys, "i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("s"))
+    products = moments(centred, keys, "z").select(*keys, "n", "d", F.posexplode("sums").alias("pos", "v"))
+    second = products.select(*keys, "d", F.floor(F.col("pos") / (F.col("d") + 1)).cast("int").alias("i"), (F.col("pos") % (F.col("d") + 1)).alias("j"), (F.col("v") / F.col("n")).alias("s")).filter("i < d AND j < d").drop("d")
     totals = second.groupBy(*keys).agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("trace"), F.sum(F.pow("s", 2)).alias("norm"))
     both = norms.join(totals, keys) if keys else norms.crossJoin(totals)
     mu = F.col("trace") / F.col("p")
@@ -186,10 +191,22 @@ def principal_axes(train: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.nda
 
 
 def projected(df: DataFrame, x: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
-    """``df`` with ``x`` replaced by its coordinates along the axes."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in a]) for a in axes])
-    centred = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
-    return df.withColumn("_c", centred).withColumn(x, F.transform(rows, lambda a: dot(a, F.col("_c")))).drop("_c")
+    """``df`` with ``x`` replaced by its coordinates along the axes, which go to the tasks as one broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast((mean, axes))
+    return _each_block(df, x, lambda z: (z - shared.value[0]) @ shared.value[1].T)
+
+
+def _each_block(df: DataFrame, x: str, of) -> DataFrame:
+    """``df`` with ``x`` (an array, last column) replaced by the rows of ``of(block of rows)``."""
+    others = [c for c in df.columns if c != x]
+    kind = dict(df.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(**{x: list(of(np.stack(pdf[x])))})
+
+    return df.select(*others, x).mapInPandas(run, "".join(f"{c} {kind[c]}, " for c in others) + f"{x} array<double>")
 
 
 def randomized_axes(train: DataFrame, x: str, k: int, seed: int = 42, more: int = 8, power: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +257,9 @@ def kernel_components(df: DataFrame, train: Column, x: str, k: int, degree: int
     values, vectors = np.linalg.eigh(gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean())
     axes = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12))
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    kind = dict(df.dtypes)
-    others = [c for c in df.columns if c != x]
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                z = (np.stack(pdf[x]) @ marks.T / width + 1) ** degree
-                z = z - z.mean(axis=1)[:, None] - gram.mean(axis=0) + gram.mean()
-                yield pdf.assign(**{x: list(z @ axes)})
+    def project(block: np.ndarray) -> np.ndarray:
+        z = (block @ marks.T / width + 1) ** degree
+        return (z - z.mean(axis=1)[:, None] - gram.mean(axis=0) + gram.mean()) @ axes
 
-    return df.select(*others, x).mapInPandas(project, "".join(f"{c} {kind[c]}, " for c in others) + f"{x} array<double>")
+    return _each_block(df, x, project)

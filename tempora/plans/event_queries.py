@@ -82,13 +82,13 @@ def cohort_difference(spark, d):
 
 @query(f"SELECT cohort, feature, layer, round(sum(v * w) / sum(w), 6) AS mean FROM ({V.UNITS}) GROUP BY ALL")
 def weighted_mean(spark, d):
-    return r6(V.v_units(spark, d).groupBy("cohort", "feature", "layer").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean")), "mean")
+    return r6(V.v_units(spark, d).groupBy("cohort", "feature", "layer").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("mean")), "mean")
 
 
 @query(f"SELECT cohort, feature, layer, unit, round(v * w / sum(w) OVER (PARTITION BY cohort, feature, layer), 9) AS share FROM ({V.UNITS})")
 def weighted_units(spark, d):
     total = F.sum("w").over(Window.partitionBy("cohort", "feature", "layer"))
-    return V.v_units(spark, d).select("cohort", "feature", "layer", "unit", F.round(F.col("v") * F.col("w") / total, 9).alias("share"))
+    return V.v_units(spark, d).select("cohort", "feature", "layer", "unit", F.round(F.try_divide(F.col("v") * F.col("w"), total), 9).alias("share"))
 
 
 @query(f"""SELECT subject, channel, tp, round(y - avg(y) FILTER (WHERE tp BETWEEN 2 AND 4) OVER (PARTITION BY subject, channel), 6) AS corrected

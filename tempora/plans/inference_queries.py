@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from tempora.operators import inference as I
 from tempora.operators import resample as R
+from tempora.operators.linear import correlation
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
-B, SEED, CHANCE = 200, 42, 25.5
-#: Permutations of the study's paired correlations.
-STUDY_B = 1000
+B, SEED, CHANCE = 1000, 42, 25.5
 QUERIES, ORACLE_SQL, query, r6 = registry()
 BS = f"(SELECT unnest(range(0, {B + 1})) AS b)"
 _SIGNED = f"""SELECT b, tp, avg((CASE WHEN b = 0 OR {V.draw_sql(SEED, "b", "subject")} % 2 = 0 THEN 1.0 ELSE -1.0 END) * (y - {CHANCE})) AS stat
@@ -232,7 +231,7 @@ def unit_boot_cross(spark, d):
     return r6(rows.unionByName(more), "lo", "est", "hi").select("what", "layer", "feature", "lo", "est", "hi")
 
 
-_MODAL_Y = "SELECT vec_id AS stimulus, unnest(range(1, 33))::INT AS component, unnest(embedding[1:32])::DOUBLE AS x, unnest(embedding[33:64])::DOUBLE AS y FROM embeddings WHERE label < 3"
+_MODAL_Y = "SELECT vec_id AS stimulus, unnest(range(1, 33))::INT AS component, unnest(embedding[1:32])::DOUBLE AS x, unnest(embedding[33:64])::DOUBLE AS y FROM embeddings"
 _PERM = f"""SELECT b, stimulus, other FROM (SELECT b, stimulus, row_number() OVER (PARTITION BY b ORDER BY stimulus) AS place FROM s, {BS}) p
             JOIN (SELECT b, stimulus AS other, CASE WHEN b = 0 THEN row_number() OVER (PARTITION BY b ORDER BY stimulus) ELSE row_number() OVER (PARTITION BY b ORDER BY {V.draw_sql(SEED, "b", "stimulus")}, stimulus) END AS place FROM s, {BS}) q USING (b, place)"""
 
@@ -242,18 +241,12 @@ _PERM = f"""SELECT b, stimulus, other FROM (SELECT b, stimulus, row_number() OVE
            {_bh_sql(_p_sql("SELECT * FROM st", "component"), cols="component, round(stat, 6) AS stat, round(p, 6) AS p")}""")
 def stimperm_corr_test(spark, d):
     """Paired correlation over stimuli, against permutations of one side's stimuli."""
-    return _stimperm(V.v_vectors(spark, d).filter("class < 3"))
-
-
-@query()
-def stimperm_corr_test_whole(spark, d):
-    """The same over all stimuli, with the study's number of permutations."""
-    return _stimperm(V.v_vectors(spark, d), STUDY_B)
+    return _stimperm(V.v_vectors(spark, d))
 
 
 def _stimperm(x, b=B):
     pair = x.select("stimulus", F.slice("x", 1, 32).alias("x"), F.slice("x", 33, 32).alias("y"))
     moved = R.permutation(pair, "stimulus", b, SEED).join(pair.select("stimulus", "x"), "stimulus").join(pair.select(F.col("stimulus").alias("other"), "y"), "other")
     rows = moved.select("b", F.posexplode(F.arrays_zip("x", "y"))).select("b", (F.col("pos") + 1).alias("component"), "col.*")
-    tests = I.rank_p(rows.groupBy("component", "b").agg(F.corr("x", "y").alias("stat")), ["component"])
+    tests = I.rank_p(rows.groupBy("component", "b").agg(correlation("x", "y").alias("stat")), ["component"])
     return r6(I.bh_fdr(tests, []), "stat", "p", "p_adj")

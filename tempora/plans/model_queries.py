@@ -29,7 +29,7 @@ def cumvar_cut(spark, d):
     """Share of variance by component, its running sum, and the components up to half of all; all if that is never reached."""
     shares = V.v_feat(spark, d).groupBy("component").agg(F.var_pop("value").alias("v")).withColumn("_all", F.lit(1))
     every, upto = Window.partitionBy("_all"), Window.partitionBy("_all").orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-    rows = shares.withColumn("pct", 100 * F.col("v") / F.sum("v").over(every)).withColumn("cumulative", F.sum("pct").over(upto))
+    rows = shares.withColumn("pct", F.try_divide(100 * F.col("v"), F.sum("v").over(every))).withColumn("cumulative", F.sum("pct").over(upto))
     cut = F.coalesce(F.min(F.when(F.col("cumulative") >= 50, F.col("component"))).over(every), F.lit(64))
     return r6(rows.select("component", "pct", "cumulative", (F.col("component") <= cut).alias("kept")), "pct", "cumulative")
 
@@ -132,12 +132,12 @@ def _lw_sql(source: str, keys: str) -> str:
         SELECT {keys}, i, j, (1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END AS cov, shrinkage FROM s JOIN l USING ({keys})"""
 
 
-_CLASS_ROWS = f"SELECT class, stimulus AS row, component - 1 AS i, value AS v FROM ({V.FEAT}) WHERE component <= 8"
+_CLASS_ROWS = f"SELECT class, stimulus AS row, component - 1 AS i, value AS v FROM ({V.FEAT})"
 
 
 @query(f"SELECT class, i, j, round(cov, 6) AS cov, round(shrinkage, 6) AS shrinkage FROM ({_lw_sql(_CLASS_ROWS, 'class')})")
 def lw_shrinkage(spark, d):
-    rows = V.v_vectors(spark, d).select("class", F.slice("x", 1, 8).alias("x"))
+    rows = V.v_vectors(spark, d).select("class", "x")
     return r6(L.shrunk_covariance(rows, ["class"], "x"), "cov", "shrinkage")
 
 
@@ -165,14 +165,13 @@ def whiten_apply(spark, d):
     return L.whitened(points, L.whitening(cov, ["class"]), ["class"], "x")
 
 
-_TRIALS = f"SELECT f.class, p.block, (component - 1) // 8 AS tp, (component - 1) % 8 AS i, avg(value) AS v FROM ({V.FEAT}) f JOIN (SELECT class, stimulus, (rep - 1) // 5 AS block FROM ({_REPS})) p USING (class, stimulus) GROUP BY ALL"
+_TRIALS = f"SELECT f.class, p.block, (component - 1) // 8 AS tp, (component - 1) % 8 AS i, avg(value) AS v FROM ({V.FEAT}) f JOIN (SELECT class, stimulus, floor((rep - 1) / (reps / 6.0))::INT AS block FROM ({_REPS})) p USING (class, stimulus) GROUP BY ALL"
 
 
-def v_pseudo(spark, d, whole=False):
-    """(class, block, tp, x): six pseudo-trials for each condition, of five repetitions, or of about a sixth of them all."""
+def v_pseudo(spark, d):
+    """(class, block, tp, x): six pseudo-trials for each condition, of about a sixth of all its repetitions."""
     at = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("x", 8 * t + 1, 8))
-    size = F.count(F.lit(1)).over(Window.partitionBy("class")) / 6 if whole else F.lit(5)
-    blocks = v_reps(spark, d, None if whole else 30).withColumn("block", F.floor((F.col("rep") - 1) / size).cast("int"))
+    blocks = v_reps(spark, d).withColumn("block", F.floor((F.col("rep") - 1) / (F.col("reps") / F.lit(6.0))).cast("int"))
     reps = blocks.select("class", "block", F.posexplode(at).alias("tp", "x"))
     long = reps.select("class", "block", "tp", F.posexplode("x").alias("i", "v")).groupBy("class", "block", "tp", "i").agg(F.avg("v").alias("v"))
     return long.groupBy("class", "block", "tp").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("all")).select("class", "block", "tp", F.col("all.v").alias("x"))
@@ -187,15 +186,9 @@ def decode_centroid(spark, d):
     return r6(D.decode_centroid(v_pseudo(spark, d), "class", "block", "tp", "x"), "accuracy")
 
 
-@query()
-def decode_centroid_whole(spark, d):
-    """Over all repetitions; the SQL of ``decode_centroid`` has thirty of each condition."""
-    return r6(D.decode_centroid(v_pseudo(spark, d, True), "class", "block", "tp", "x"), "accuracy")
-
-
 @query()
 def decode_svm(spark, d):
-    return D.decode_svm(v_pseudo(spark, d, True), "class", "block", "tp", "x", folds=6)
+    return D.decode_svm(v_pseudo(spark, d), "class", "block", "tp", "x", folds=6)
 
 
 @query(f"SELECT tp, round(avg(accuracy), 6) AS accuracy FROM ({ORACLE_SQL['decode_centroid']}) GROUP BY tp")
@@ -205,12 +198,7 @@ def decoding_curve(spark, d):
 
 
 @query()
-def decoding_curve_whole(spark, d):
-    return r6(decode_centroid_whole(spark, d).groupBy("tp").agg(F.avg("accuracy").alias("accuracy")), "accuracy")
-
-
-@query()
-def kernel_pca(spark, d):
-    """Ten components of a polynomial kernel of degree four over all stimuli."""
+def nystroem_kernel_pca(spark, d):
+    """Ten components of a polynomial kernel of degree four for all stimuli, the kernel taken against 256 training stimuli."""
     rows = V.v_vectors(spark, d).select("stimulus", "split", "x")
     return L.kernel_components(rows, F.col("split") == "train", "x", 10)

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tempora.functions.rng import draw
 from tempora.operators import inference as I
 from tempora.operators import similarity as S
+from tempora.operators.linear import correlation
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
 QUERIES, ORACLE_SQL, query, r6 = registry()
-_LONG = f"SELECT stimulus, component, value FROM ({V.FEAT}) WHERE class < 3"
+_LONG = f"SELECT stimulus, component, value FROM ({V.FEAT})"
 _UNIT = f"SELECT stimulus, component, (value - avg(value) OVER w) / sqrt(var_pop(value) OVER w * 64) AS u FROM ({{}}) WINDOW w AS (PARTITION BY stimulus)"
 _RANKED = f"SELECT stimulus, component, rank() OVER (PARTITION BY stimulus ORDER BY value) + (count(*) OVER (PARTITION BY stimulus, value) - 1) / 2.0 AS value FROM ({_LONG})"
 _RDM = "SELECT x.stimulus AS i, y.stimulus AS j, 1 - sum(x.u * y.u) AS d FROM ({0}) x JOIN ({0}) y ON x.component = y.component AND x.stimulus > y.stimulus GROUP BY x.stimulus, y.stimulus"
 
 
 def _vectors(spark, d):
-    return V.v_vectors(spark, d).filter("class < 3").select("stimulus", "x")
+    return V.v_vectors(spark, d).select("stimulus", "x")
 
 
 @query(f"SELECT i, j, round(d, 6) AS d FROM ({_RDM.format(_UNIT.format(_LONG))})")
@@ -40,8 +41,8 @@ def rdm_dot(spark, d):
 _HALF = "SELECT stimulus, component, (value - avg(value) OVER w) / sqrt(var_pop(value) OVER w * 32) AS u FROM ({}) WHERE component {} 32 WINDOW w AS (PARTITION BY stimulus)"
 
 
-def _half_rdms(spark, d, v=None):
-    v = _vectors(spark, d) if v is None else v
+def _half_rdms(spark, d):
+    v = _vectors(spark, d)
     return [S.rdm(v.select("stimulus", F.slice("x", at, 32).alias("x")), "stimulus", "x") for at in (1, 33)]
 
 
@@ -59,32 +60,6 @@ def rsa_pearson(spark, d):
     return r6(S.rsa(one, two, "pearson"), "similarity")
 
 
-@query()
-def rdm_pearson_whole(spark, d):
-    """Of every pair of stimuli; ``rdm_pearson``, whose SQL has three classes, is its part that SQL checks. The same holds for the other queries of this ending."""
-    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x"), "d")
-
-
-@query()
-def rdm_spearman_whole(spark, d):
-    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x", "spearman"), "d")
-
-
-@query()
-def rdm_dot_whole(spark, d):
-    return r6(S.rdm(V.v_vectors(spark, d), "stimulus", "x", "dot"), "d")
-
-
-@query()
-def rsa_whole(spark, d):
-    return r6(S.rsa(*_half_rdms(spark, d, V.v_vectors(spark, d))), "similarity")
-
-
-@query()
-def rsa_pearson_whole(spark, d):
-    return r6(S.rsa(*_half_rdms(spark, d, V.v_vectors(spark, d)), "pearson"), "similarity")
-
-
 _CKA = f"""WITH f AS ({V.FEAT}), n AS (SELECT count(DISTINCT stimulus) AS n FROM f),
     c AS (SELECT x.component AS i, y.component AS j, covar_pop(x.value, y.value) * count(*) AS c FROM f x JOIN f y USING (stimulus) GROUP BY 1, 2),
     h AS (SELECT sum(c * c) FILTER (WHERE i <= 32 AND j > 32) AS xy, sum(c * c) FILTER (WHERE i <= 32 AND j <= 32) AS xx, sum(c * c) FILTER (WHERE i > 32 AND j > 32) AS yy FROM c)
@@ -112,19 +87,19 @@ def feature_similarity(spark, d):
     k = F.row_number().over(Window.partitionBy("class").orderBy("stimulus"))
     rows = V.v_vectors(spark, d).select("class", k.alias("k"), F.posexplode("x").alias("component", "value"))
     one, two = rows.toDF("f1", "k", "component", "u"), rows.toDF("f2", "k", "component", "v")
-    per = one.join(two, ["k", "component"]).filter("f1 > f2").groupBy("f1", "f2", "component").agg(F.corr("u", "v").alias("r"))
+    per = one.join(two, ["k", "component"]).filter("f1 > f2").groupBy("f1", "f2", "component").agg(correlation("u", "v").alias("r"))
     return r6(per.groupBy("f1", "f2").agg(F.avg(S.clipped(F.col("r"))).alias("similarity")), "similarity")
 
 
 @query(f"SELECT class, round(corr(a, b), 6) AS r, count(*) AS n FROM ({_MODAL}) GROUP BY class")
 def cross_modal_corr(spark, d):
-    return r6(_modal(spark, d).groupBy("class").agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")), "r")
+    return r6(_modal(spark, d).groupBy("class").agg(correlation("a", "b").alias("r"), F.count(F.lit(1)).alias("n")), "r")
 
 
 @query(f"SELECT tp, round(avg(r), 6) AS r FROM (SELECT (component - 1) // 4 AS tp, component, corr(a, b) AS r FROM ({_MODAL}) GROUP BY ALL) GROUP BY tp")
 def response_corr(spark, d):
     """Channels are four components each: correlation over stimuli, then the mean over channels."""
-    per = _modal(spark, d).groupBy(F.floor((F.col("component") - 1) / 4).alias("tp"), "component").agg(F.corr("a", "b").alias("r"))
+    per = _modal(spark, d).groupBy(F.floor((F.col("component") - 1) / 4).alias("tp"), "component").agg(correlation("a", "b").alias("r"))
     return r6(per.groupBy("tp").agg(F.avg("r").alias("r")), "r")
 
 
@@ -132,32 +107,26 @@ def response_corr(spark, d):
 def colwise_corr(spark, d):
     from tempora.operators.linear import parity_corr
 
-    return r6(_modal(spark, d).groupBy("component").agg(parity_corr("a", "b").alias("parity"), F.corr("a", "b").alias("pearson")), "parity", "pearson")
+    return r6(_modal(spark, d).groupBy("component").agg(parity_corr("a", "b").alias("parity"), correlation("a", "b").alias("pearson")), "parity", "pearson")
 
 
-SPLITS = 20
-_REPS = f"SELECT class, stimulus, rep FROM (SELECT class, stimulus, row_number() OVER (PARTITION BY class ORDER BY {V.draw_sql(42, 'class', 'stimulus')}, stimulus) AS rep FROM ({V.VECTORS})) WHERE rep <= 30"
+SPLITS = 100
+_REPS = f"SELECT class, stimulus, row_number() OVER (PARTITION BY class ORDER BY {V.draw_sql(42, 'class', 'stimulus')}, stimulus) AS rep, count(*) OVER (PARTITION BY class) AS reps FROM ({V.VECTORS})"
 
 
-def v_reps(spark, d, most=30):
-    """(class, rep, x): the first ``most`` repetitions of each condition, or all, in a keyed random order."""
+def v_reps(spark, d):
+    """(class, stimulus, rep, reps, x): the repetitions of each condition in a keyed random order, and how many there are."""
     order = Window.partitionBy("class").orderBy(draw(42, F.col("class"), F.col("stimulus")), "stimulus")
-    return V.v_vectors(spark, d).withColumn("rep", F.row_number().over(order)).filter("true" if most is None else f"rep <= {most}").select("class", "stimulus", "rep", "x")
+    return V.v_vectors(spark, d).withColumns({"rep": F.row_number().over(order), "reps": F.count(F.lit(1)).over(Window.partitionBy("class"))}).select("class", "stimulus", "rep", "reps", "x")
 
 
 @query(f"""WITH r AS ({_REPS}), s AS (SELECT unnest(range(1, {SPLITS + 1})) AS split),
-           h AS (SELECT split, class, stimulus, row_number() OVER (PARTITION BY split, class ORDER BY {V.draw_sql(7, 'split', 'class', 'rep')}, rep) <= 15 AS first FROM r, s),
+           h AS (SELECT split, class, stimulus, row_number() OVER (PARTITION BY split, class ORDER BY {V.draw_sql(7, 'split', 'class', 'rep')}, rep) <= reps // 2 AS first FROM r, s),
            m AS (SELECT h.split, component, class, avg(value) FILTER (WHERE first) AS a, avg(value) FILTER (WHERE NOT first) AS b, avg(value) AS w FROM h JOIN ({V.FEAT}) f USING (class, stimulus) GROUP BY ALL)
            SELECT component, round(avg(lo), 6) AS lower, round(avg(hi), 6) AS upper FROM (SELECT split, component, corr(a, b) AS lo, corr(a, w) AS hi FROM m GROUP BY ALL) GROUP BY component""")
 def noise_ceiling(spark, d):
-    return _ceiling(v_reps(spark, d), SPLITS, F.lit(15))
-
-
-@query()
-def noise_ceiling_whole(spark, d):
-    """All repetitions of each condition, split into halves 100 times."""
-    reps = v_reps(spark, d, None)
-    return _ceiling(reps.join(reps.groupBy("class").agg(F.floor(F.count(F.lit(1)) / 2).alias("half")), "class"), 100, F.col("half"))
+    """All repetitions of each condition, split into halves ``SPLITS`` times."""
+    return _ceiling(v_reps(spark, d), SPLITS, F.floor(F.col("reps") / 2))
 
 
 def _ceiling(reps, splits, half):
@@ -165,7 +134,7 @@ def _ceiling(reps, splits, half):
     order = Window.partitionBy("split", "class").orderBy(draw(7, F.col("split"), F.col("class"), F.col("rep")), "rep")
     halves = rows.withColumn("first", F.row_number().over(order) <= half).select("split", "class", "first", F.posexplode("x").alias("component", "value"))
     means = halves.groupBy("split", "component", "class").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("b"), F.avg("value").alias("w"))
-    per = means.groupBy("split", "component").agg(F.corr("a", "b").alias("lo"), F.corr("a", "w").alias("hi"))
+    per = means.groupBy("split", "component").agg(correlation("a", "b").alias("lo"), correlation("a", "w").alias("hi"))
     return r6(per.groupBy((F.col("component") + 1).alias("component")).agg(F.avg("lo").alias("lower"), F.avg("hi").alias("upper")), "lower", "upper")
 
 
@@ -234,7 +203,7 @@ def _ranks_sql(features: int) -> str:
 
 @query(f"SELECT round(corr(r1, r2), 6) AS spearman, count(*) AS n FROM ({_ranks_sql(12)})")
 def peak_association(spark, d):
-    return r6(_peak_ranks(spark, d).agg(F.corr("r1", "r2").alias("spearman"), F.count(F.lit(1)).alias("n")), "spearman")
+    return r6(_peak_ranks(spark, d).agg(correlation("r1", "r2").alias("spearman"), F.count(F.lit(1)).alias("n")), "spearman")
 
 
 @query(f"""WITH RECURSIVE f AS ({_ranks_sql(5)}), v AS (SELECT row_number() OVER (ORDER BY feature) AS k, r1, r2 FROM f),
@@ -249,7 +218,7 @@ def exact_perm(spark, d):
     for _ in range(5):  # five peaks: 120 rows in the end
         orders = orders.withColumn("next", F.explode(F.array_except(F.sequence(F.lit(1), F.size("v")), "used"))).withColumn("used", F.concat("used", F.array("next"))).drop("next")
     long = orders.select("used", F.explode("v").alias("e"), "v").select("used", F.col("e.r1").alias("a"), F.col("e.r2").alias("own"), F.expr("v[used[e.k - 1] - 1].r2").alias("b"))
-    per = long.groupBy("used").agg(F.corr("a", "b").alias("r"), F.corr("a", "own").alias("observed"))
+    per = long.groupBy("used").agg(correlation("a", "b").alias("r"), correlation("a", "own").alias("observed"))
     return r6(per.agg(F.count(F.lit(1)).alias("orderings"), F.first("observed").alias("observed"), F.avg((F.round(F.abs("r"), 9) >= F.round(F.abs("observed"), 9)).cast("int")).alias("p")), "observed", "p")
 
 
@@ -272,5 +241,5 @@ def loo_sets(spark, d):
 @query()
 def rsa_kendall(spark, d):
     """Kendall's tau-b of the two halves' dissimilarities, over every pair of stimuli."""
-    one, two = _half_rdms(spark, d, V.v_vectors(spark, d))
+    one, two = _half_rdms(spark, d)
     return spark.createDataFrame([(round(S.kendall(one, two), 6),)], "similarity double")

@@ -133,13 +133,13 @@ def test_whole_queries_read_every_row(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r["embedding"] for r in rows], float)
     n, low = len(x), np.tril_indices(len(x), -1)
-    for name, d in (("rdm_pearson_whole", 1 - np.corrcoef(x)), ("rdm_dot_whole", 1 - x @ x.T)):
+    for name, d in (("rdm_pearson", 1 - np.corrcoef(x)), ("rdm_dot", 1 - x @ x.T)):
         got = catalog.QUERIES[name](spark, sf_dir).orderBy("i", "j").toPandas()
         assert len(got) == n * (n - 1) // 2 and np.allclose(got["d"], d[low], atol=1e-5)
     halves = [np.round(1 - np.corrcoef(h)[low], 9) for h in (x[:, :32], x[:, 32:])]
-    assert abs(catalog.QUERIES["rsa_whole"](spark, sf_dir).first()[0] - np.corrcoef(*[pd.Series(h).rank() for h in halves])[0, 1]) < 1e-5
-    assert similarity_queries.v_reps(spark, sf_dir, None).count() == n
-    assert {r["block"] for r in model_queries.v_pseudo(spark, sf_dir, True).collect()} == set(range(6))
+    assert abs(catalog.QUERIES["rsa"](spark, sf_dir).first()[0] - np.corrcoef(*[pd.Series(h).rank() for h in halves])[0, 1]) < 1e-5
+    assert similarity_queries.v_reps(spark, sf_dir).count() == n
+    assert {r["block"] for r in model_queries.v_pseudo(spark, sf_dir).collect()} == set(range(6))
 
 
 def test_binned_ranks_equal_average_ranks(spark):
@@ -150,3 +150,63 @@ def test_binned_ranks_equal_average_ranks(spark):
     (cuts,) = S.bin_cuts(df, ["a"], rows=50)
     got = {r["a"]: r["rank"] for r in S.spread_ranks(df, "a", cuts).collect()}
     assert len(cuts) > 10 and got == dict(zip(values, pd.Series(values).rank()))
+
+
+@pytest.mark.parametrize("keys", [[-3, -1, 5, 130], [10**13, 7, -(10**15)], ["b", "a", "zz"], [4], []])
+def test_pairs_of_any_keys(spark, keys):
+    kind = "string" if keys and isinstance(keys[0], str) else "long"
+    df = spark.createDataFrame([(k, [float(n), 1.0]) for n, k in enumerate(keys)] + [(None, [0.0, 0.0])], f"k {kind}, x array<double>")
+    for block in (1, 2, 64):
+        got = {(r["k_i"], r["k_j"]): (r["x_i"][0], r["x_j"][0]) for r in S.pairs(df, "k", block).collect()}
+        assert got == {(a, b): (float(keys.index(a)), float(keys.index(b))) for a in keys for b in keys if a > b}
+
+
+def test_pairs_within_groups(spark):
+    df = spark.createDataFrame([(g, k) for g in (0, 1) for k in range(5 + g)], "g int, k int")
+    assert sorted(tuple(r) for r in S.pairs(df, "k", 2, ["g"]).collect()) == sorted((g, i, j) for g in (0, 1) for i in range(5 + g) for j in range(i))
+
+
+def test_constant_vectors_and_zero_divisors_give_nulls(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0, 1.0]), (1, [1.0, 2.0, 4.0]), (2, [3.0, 1.0, 2.0])], "k int, x array<double>")
+    got = {(r["i"], r["j"]): r["d"] for r in S.rdm(df, "k", "x").collect()}
+    assert got[1, 0] is None and got[2, 0] is None and abs(got[2, 1] - (1 - np.corrcoef([1, 2, 4], [3, 1, 2])[0, 1])) < 1e-9
+    flat = spark.createDataFrame([(0, 2.0, 1.0), (0, 2.0, 1.0)], "k int, x double, y double")
+    assert L.ridge_one(flat, ["k"], 0.0).first()["slope"] is None
+    assert L.fit_scores(flat.withColumn("fitted", F.col("x")), ["k"]).first()["r2"] is None
+    one = spark.createDataFrame([(c, 0, 0, [float(c)]) for c in (0, 1)], "class int, block int, tp int, x array<double>")
+    assert [r["accuracy"] for r in D.decode_centroid(one, "class", "block", "tp", "x").collect()] == [None]
+
+
+def test_kendall_is_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in ("many", "ties", "outlier"):
+        a, b = rng.normal(size=1500), rng.normal(size=1500)
+        b = a + b
+        if values == "ties":
+            a, b = np.round(a), np.round(b)
+        if values == "outlier":
+            a[0], b[1] = 1e6, -1e7
+        a, b = a.round(9), b.round(9)
+        frames = [spark.createDataFrame([(k, 0, float(v)) for k, v in enumerate(x)], "i int, j int, d double") for x in (a, b)]
+        s = np.sign(a[:, None] - a[None]) * np.sign(b[:, None] - b[None])
+        n, ties = 1500 * 1499 / 2, [sum(c * (c - 1) / 2 for c in np.unique(x, return_counts=True)[1]) for x in (a, b)]
+        want = s.sum() / 2 / np.sqrt((n - ties[0]) * (n - ties[1]))
+        assert all(abs(S.kendall(*frames, rows=rows) - want) < 1e-12 for rows in (50, 20_000))
+    assert np.isnan(S.kendall(frames[0].withColumn("d", F.lit(1.0)), frames[1]))
+
+
+def test_concordant_pairs_by_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 7, 64, 100):
+        x, y = rng.integers(0, 9, n), rng.integers(0, 9, n)
+        assert S.concordant(x, y) == sum((x[i] < x[j]) == (y[i] < y[j]) and x[i] != x[j] and y[i] != y[j] for i in range(n) for j in range(i))
+
+
+def test_svm_against_dual_conditions():
+    """The weights satisfy the optimality conditions of the squared-hinge problem, which is strictly convex."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(10, 4)), np.repeat([1.0, -1.0], 5)
+    w = D.linear_svm(x, y, rounds=5000)
+    z = np.hstack([x, np.ones((10, 1))])
+    slack = np.maximum(0, 1 - y * (z @ w))
+    assert np.allclose(w, (2 * slack * y) @ z, atol=1e-3)

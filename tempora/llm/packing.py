@@ -26,8 +26,8 @@ from .common import BLANKS, table, whole_batches, write_table
 
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_PIECES = 8192
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 3, 4, 10
-#: Generations of an epoch that take place even if the packing can't get any better.
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 3, 4, 10
+#: Generations of the first epoch that take place even if the packing can't get any better.
 LEAST_GENERATIONS = 3
 #: Shares of the donor's well-filled bins that a crossover injects.
 INJECTED = (0.3, 0.6)
@@ -206,6 +206,9 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]],
     """The bin of each piece in the best packing found, and the crossovers that entered; ``start`` has packings of earlier epochs in that form."""
     rng, bound = random.Random(seed), -(-sum(lengths) // capacity)
     herd, crossed = [], 0
+    for bins in start:
+        if max(bins) + 1 == bound:  # nothing is left to gain
+            return bins, 0
     for bins in start:
         groups: dict[int, list[int]] = {}
         for i, b in enumerate(bins):
@@ -232,14 +235,14 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]],
 
 
 def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
-    """Evolve each island (shard, island, pieces, lengths, own, migrant)."""
+    """Evolve each island (shard, island, pieces, lengths, own, migrant, crossovers, migrants)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 seed = (row["shard"] * ISLANDS + row["island"]) * EPOCHS + epoch
                 bins, crossed = evolve(row["lengths"], capacity, seed, [x for x in (row["own"], row["migrant"]) if x])
-                columns = [[row["shard"]], [row["island"]], [row["pieces"]], [row["lengths"]], [bins], [crossed], [int(row["migrant"] is not None)]]
+                columns = [[row["shard"]], [row["island"]], [row["pieces"]], [row["lengths"]], [bins], [crossed + row["crossovers"]], [row["migrants"] + int(row["migrant"] is not None)]]
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "island", "pieces", "lengths", "bins", "crossovers", "migrants"])
 
@@ -247,10 +250,13 @@ def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
 
 
 def evolved(loose: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """(shard, island, pieces, lengths, bins, crossovers, migrants) of the last epoch's islands, for pieces (item, length)."""
+    """(shard, island, pieces, lengths, bins, crossovers, migrants) of all islands after the last epoch, for pieces (item, length).
+
+    ``crossovers`` and ``migrants`` count those that entered in all epochs.
+    """
     dealt = loose.groupBy(F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("held"))
     none = F.lit(None).cast("array<int>")
-    islands = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("held.item").alias("pieces"), F.col("held.length").alias("lengths"), none.alias("own"), none.alias("migrant"))
+    islands = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("held.item").alias("pieces"), F.col("held.length").alias("lengths"), none.alias("own"), none.alias("migrant"), F.lit(0).alias("crossovers"), F.lit(0).alias("migrants"))
     for epoch in range(EPOCHS):
         grown = write_table(_epoch(islands.repartition(ISLANDS * shards, "shard", "island"), epoch, capacity), f"islands-{epoch}")
         moved = grown.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))

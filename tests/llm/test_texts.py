@@ -81,7 +81,7 @@ def test_islands_cross_and_exchange_their_elite(spark):
     rng = random.Random(5)
     pieces = spark.createDataFrame([(k, min(2047, int(rng.lognormvariate(6, 1))) + 1) for k in range(3000)], "item long, length int").filter("length < 2048")
     rows = packing.evolved(pieces, 2, 2048).collect()
-    assert len(rows) == 2 * packing.ISLANDS and all(r["crossovers"] > 0 and r["migrants"] == 1 for r in rows)
+    assert len(rows) == 2 * packing.ISLANDS and all(r["crossovers"] > 0 and r["migrants"] == packing.EPOCHS - 1 for r in rows)
     placed = packing.place(pieces.withColumn("length", F.col("length").cast("long")), shard_pieces=400).join(pieces, "item").collect()
     assert len(placed) == pieces.count()
     total, sequences = sum(r["length"] for r in placed), {r["sequence_id"] for r in placed}

@@ -179,15 +179,22 @@ def whitened(df: DataFrame, w: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.join(w, keys).withColumn(x, F.transform("w", lambda row: dot(row, F.col(x)))).drop("w")
 
 
-def principal_axes(train: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, axes k x d, explained share) of the rows, from their moments; the largest loading of an axis is positive."""
+def principal_axes(train: DataFrame, x: str, k: int, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, axes k x d, explained share) of the rows, from their moments; the largest loading of an axis is positive.
+
+    With ``scaled`` the axes are those of columns scaled to deviation 1 (0 counts as 1), and come
+    divided by the deviations, so that rows less the mean times the axes are the coordinates.
+    """
     row = moments(train, [], x).first()
     gram, _, _ = split_moments(row["d"], 0, row["sums"])
     mean = gram[-1, :-1] / row["n"]
-    values, vectors = np.linalg.eigh(gram[:-1, :-1] / row["n"] - np.outer(mean, mean))
+    cov = gram[:-1, :-1] / row["n"] - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0)) if scaled else np.ones(len(cov))
+    sd[np.round(sd, 12) == 0] = 1
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
     axes = vectors[:, ::-1][:, :k].T
     axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-    return mean, axes, values[::-1][:k] / values.sum()
+    return mean, axes / sd, values[::-1][:k] / values.sum()
 
 
 def projected(df: DataFrame, x: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:

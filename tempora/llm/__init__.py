@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["chat_format", "line_dedup", "minhash_dedup", "packing", "pii", "toxicity", "url_filter", "decontaminate", "license_scan", "exact_dedup"]
+MODULES = ["chat_format", "line_dedup", "minhash_dedup", "packing", "pii", "toxicity", "url_filter", "decontaminate", "license_scan", "exact_dedup", "ball_search", "periodic_runs", "suffix_dedup"]
 
 
 def registered(what: str) -> dict:

@@ -34,11 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: it cuts the lineage and survives lost executors."""
+#: Ends with a query's execution, if true: its shuffle files, which else stay until the driver's next large garbage collection.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: it cuts the lineage and survives lost executors.
+
+    ``tidy`` gives the write's shuffle files back at once; the session's setting is as before afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_TIDY, "false")
+    if tidy:
+        spark.conf.set(_TIDY, "true")
     df.write.parquet(path)
+    if tidy:
+        spark.conf.set(_TIDY, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

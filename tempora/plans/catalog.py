@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["inference_queries", "event_queries", "similarity_queries", "model_queries", "report_queries", "chain_queries", "source_queries"]
+MODULES = ["inference_queries", "event_queries", "similarity_queries", "model_queries", "report_queries", "chain_queries", "nested_queries", "source_queries"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -9,6 +9,7 @@ from tempora.functions.rng import draw
 from tempora.operators import inference as I
 from tempora.operators import similarity as S
 from tempora.operators.linear import correlation
+from tempora.operators.nested import partition_scores
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
@@ -142,20 +143,6 @@ _PARTS = f"SELECT tp, feature, avg(y) / 50 AS part FROM ({V.CURVE_F}) GROUP BY t
 _FULL = f"SELECT tp, avg(y) / 50 AS whole FROM ({V.CURVE}) GROUP BY tp"
 
 
-def partition_scores(parts, whole, keys, unique=True):
-    """Unique (or added) variance of each part: the closest scores that satisfy full >= part (or part >= base), in closed form.
-
-    The closest full score is the largest mean of itself with the top k parts, and the closest base
-    score the smallest mean of itself with the bottom k parts.
-    """
-    order = F.col("part").desc() if unique else F.col("part").asc()
-    window = Window.partitionBy(*keys).orderBy(order, "feature")
-    running = parts.join(whole, keys).withColumn("mean", (F.col("whole") + F.sum("part").over(window)) / (F.row_number().over(window) + 1))
-    every = Window.partitionBy(*keys)
-    fitted = F.greatest("whole", F.max("mean").over(every)) if unique else F.least("whole", F.min("mean").over(every))
-    return running.select(*keys, "feature", F.greatest(F.lit(0.0), (fitted - F.col("part")) if unique else (F.col("part") - fitted)).alias("variance"))
-
-
 def _scores(spark, d):
     parts = V.v_curve(spark, d, "feature").groupBy("tp", "feature").agg((F.avg("y") / 50).alias("part"))
     return parts, V.v_curve(spark, d).groupBy("tp").agg((F.avg("y") / 50).alias("whole"))

@@ -80,8 +80,8 @@ def test_adjusted_p_is_monotone(spark):
 
 def test_svm_separates():
     x, y = np.array([[2.0, 1], [1, 2], [-1, -2], [-2, -1]]), np.array([1.0, 1, -1, -1])
-    w = D.linear_svm(x, y)
-    assert ((x @ w[:-1] + w[-1]) * y > 0).all()
+    alpha, offset = D.hinge_duals((x @ x.T)[None], y, np.ones((1, 4), bool))
+    assert ((x @ ((alpha[0] * y) @ x) + offset[0]) * y > 0).all()
 
 
 def test_range_join_equals_brute_force(spark):
@@ -203,10 +203,14 @@ def test_concordant_pairs_by_brute_force():
 
 
 def test_svm_against_dual_conditions():
-    """The weights satisfy the optimality conditions of the squared-hinge problem, which is strictly convex."""
+    """Many problems at once, some rows left out: each meets the optimality conditions of the hinge loss with a free intercept."""
     rng = np.random.default_rng(2)
-    x, y = rng.normal(size=(10, 4)), np.repeat([1.0, -1.0], 5)
-    w = D.linear_svm(x, y, rounds=5000)
-    z = np.hstack([x, np.ones((10, 1))])
-    slack = np.maximum(0, 1 - y * (z @ w))
-    assert np.allclose(w, (2 * slack * y) @ z, atol=1e-3)
+    x, y = rng.normal(size=(40, 12, 4)), np.tile([1.0, -1.0], 6)
+    inside = rng.random((40, 12)) < 0.8
+    inside[:, :4] = True
+    alpha, offset = D.hinge_duals(x @ x.swapaxes(1, 2), y, inside, c=0.7)
+    for z, a, b, held in zip(x, alpha, offset, inside):
+        margin = y * (z @ ((a * y) @ z) + b)
+        assert abs((a * y).sum()) < 1e-9 and (a[~held] == 0).all()
+        assert (margin[held & (a == 0)] >= 1 - 1e-6).all() and (margin[held & (a == 0.7)] <= 1 + 1e-6).all()
+        assert np.allclose(margin[held & (a > 0) & (a < 0.7)], 1, atol=1e-6)

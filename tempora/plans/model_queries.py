@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import decode as D
 from tempora.operators import linear as L
+from tempora.operators import spectral as P
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 from tempora.plans.similarity_queries import _REPS, v_reps
@@ -203,3 +204,26 @@ def nystroem_kernel_pca(spark, d):
     """Ten components of a polynomial kernel of degree four for all stimuli, the kernel taken against 256 training stimuli."""
     rows = V.v_vectors(spark, d).select("stimulus", "split", "x")
     return L.kernel_components(rows, F.col("split") == "train", "x", 10)
+
+
+@query()
+def kernel_pca(spark, d):
+    """Ten components of a polynomial kernel of degree four of all training stimuli, for all stimuli (pytest compares it with the dense solution)."""
+    rows = V.v_vectors(spark, d).select("stimulus", "split", "x")
+    return P.kernel_pca(rows, F.col("split") == "train", "x", 10)
+
+
+def _wide(spark, d):
+    return P.wide_pca(V.v_vectors(spark, d).select("stimulus", "split", "x"), F.col("split") == "train", "x", 32, tile=16)
+
+
+@query()
+def wide_pca(spark, d):
+    """Coordinates of all stimuli along the main axes of scaled training stimuli, columns in tiles as a layer's are."""
+    return _wide(spark, d)[0]
+
+
+@query()
+def wide_pca_shares(spark, d):
+    """Explained shares of the same fit, and the components kept up to 90 %."""
+    return r6(_wide(spark, d)[1], "share", "cumulative")

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import bit_table, drop_table, table, whole_batches
 from .common import write_table as _write_table
-from .kernels import hashes_of, in_bits, sums_of
+from .kernels import _power, hashes_of, in_bits, mixed, sums_of
 
 SPAN = 100
 #: Lengths of the anchors of one reduction after the other.
-ANCHORS = (24, 64, 90)
+ANCHORS = (24, 90)
 #: Bytes of text that a task turns into hashes at a time; longer texts are taken in overlapping pieces.
 PIECE = 1 << 18
 #: Bits of a table that lets rows through to an exact join: 2^27 (16 MB) at most; beyond, it only lets more through.
@@ -65,16 +65,18 @@ def contexts(data: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[n
     if len(data) < span:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
     sums, n = sums_of(data, exact=True), len(data) - k + 1
-    grams = hashes_of(sums, np.arange(n), np.arange(k, n + k))
+    grams = mixed((sums[k:] - sums[:n]) * _power(len(sums))[1][:n] + _U(k))  # as hashes_of, for every place
     least = _slid_least((grams & _U(~_PLACE & (2**64 - 1))) | np.arange(n, dtype=_U), span - k + 1)
     anchor = (least & _U(_PLACE)).astype(np.int64)
-    start = np.arange(len(anchor))
-    piece = np.searchsorted(bounds, start, "right") - 1
-    inside = start + span <= bounds[piece + 1]
     turn = np.ones(len(anchor) + 1, bool)
-    turn[1:-1] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | ~inside[:-1] | ~inside[1:]
+    np.not_equal(anchor[1:], anchor[:-1], out=turn[1:-1])
+    inside = np.ones(len(anchor), bool)
+    for end in bounds[1:-1]:  # windows over the end of a piece
+        inside[max(0, end - span + 1) : end] = False
+        turn[max(0, end - span + 1)] = True
+        turn[min(end, len(anchor))] = True
     first, last = np.flatnonzero(inside & turn[:-1]), np.flatnonzero(inside & turn[1:])
-    return piece[first], first, last - first + 1, grams[anchor[first]], hashes_of(sums, first, last + span)
+    return np.searchsorted(bounds, first, "right") - 1, first, last - first + 1, grams[anchor[first]], hashes_of(sums, first, last + span)
 
 
 def _pieces(batch: pa.RecordBatch, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,20 +1,31 @@
-"""Null distributions and bootstraps as exploded, two-phase aggregates.
+"""Null distributions and bootstraps as products of small matrices.
 
-Resample b = 0 is the observed statistic.  A subject's curve travels as one bounded array, is
-repeated for the resamples, and is weighted by keyed draws; the only shuffle carries partial sums.
+Resample b = 0 is the observed statistic.  A task meets a few thousand units at a time, as a matrix of
+units by points; it draws the weights of a block of resamples for these units and multiplies.  Only
+sums of a block of resamples and a point leave the task, so what is shuffled doesn't grow with units.
+Draws are keyed: those of a unit and resample are the same wherever and however often they are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.rng import draw, sign
+from tempora.functions.rng import draw
+from tempora.sources.tables import kept
+
+#: Units of a product, resamples of a block, and numbers of a block of weights at most.
+UNITS, RESAMPLES, WEIGHTS = 4096, 512, 4_000_000
 
 
 def packed(curve: DataFrame, unit: list[str], key: list[str], value: str = "y") -> DataFrame:
     """One row for each unit: its points as an array of (key, value), as many as there are keys."""
-    return curve.groupBy(*unit).agg(F.collect_list(F.struct(*key, F.col(value).alias("y"))).alias("points"))
+    return curve.groupBy(*unit).agg(F.collect_list(F.struct(*key, F.col(value).cast("double").alias("y"))).alias("points"))
 
 
 def resamples(df: DataFrame, B: int) -> DataFrame:
@@ -22,61 +33,229 @@ def resamples(df: DataFrame, B: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B))))
 
 
+def text_of(*parts: Column) -> Column:
+    """The parts of a draw's key as its text has them, without nulls."""
+    return F.concat_ws("|", *[p.cast("string") for p in parts])
+
+
+def draws(starts: list[bytes], ends: list[bytes]) -> np.ndarray:
+    """The keyed draws of :func:`tempora.functions.rng.draw`, (start, end), for keys made of both."""
+    md5 = hashlib.md5
+    return np.frombuffer(b"".join([md5(s + e).digest()[:4] for s in starts for e in ends]), ">u4").reshape(len(starts), len(ends))
+
+
+class Points:
+    """The units of an Arrow batch as a matrix: ``y`` (unit, point), ``known`` (whether it has the point), and the points' keys."""
+
+    def __init__(self, lists: pa.ListArray, names: list[str]):
+        flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        unit = np.repeat(np.arange(len(lists)), sizes)
+        code, first = np.zeros(len(flat), np.int64), np.zeros(min(1, len(flat)), np.int64)
+        for name in names:
+            index = flat.field(name).dictionary_encode().indices
+            index = index.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            _, first, code = np.unique(code * (index.max(initial=0) + 1) + index, return_index=True, return_inverse=True)
+        self.keys = [flat.field(name).take(pa.array(first)) for name in names]
+        y = flat.field("y")
+        value, there = y.fill_null(0.0).to_numpy(zero_copy_only=False), y.is_valid().to_numpy(zero_copy_only=False).astype(float)
+        shape = (len(lists), max(1, len(first)))
+        at = unit * shape[1] + code
+        self.y = np.bincount(at, value, shape[0] * shape[1]).reshape(shape)
+        self.known = np.bincount(at, there, shape[0] * shape[1]).reshape(shape)
+
+    def rows(self, lead: list[pa.Array], names: list[str], b: np.ndarray, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """A row for each resample and point; ``lead`` are arrays of one value each."""
+        many = len(self.keys[0]) if self.keys else 1
+        spread = pa.array(np.zeros(len(b) * many, np.int64))
+        keys = [a.take(spread) for a in lead] + [k.take(pa.array(np.tile(np.arange(many), len(b)))) for k in self.keys]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(np.repeat(b, many)), *[pa.array(v[:, :many].ravel()) for v in sums.values()]], names=[*names, "b", *sums])
+
+
+def _blocks(B: int, units: int) -> Iterator[np.ndarray]:
+    step = max(1, min(RESAMPLES, WEIGHTS // max(1, units)))
+    for at in range(0, B + 1, step):
+        yield np.arange(at, min(at + step, B + 1), dtype=np.int32)
+
+
+def _products(rows: DataFrame, key: list[str], B: int, weigh: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], kind: str) -> DataFrame:
+    """(key, b, s, n) from rows (points, ...): sums over units of weight times value, and how many units have the point.
+
+    Of weights that are signs every unit counts; with ``kind`` "halves" the weights are 1 or 0, ``n`` counts
+    the ones, and ``s2`` and ``n2`` are the same of the other units.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["points"].dataType.elementType}
+    names = ["s", "n", "s2", "n2"] if kind == "halves" else ["s", "n"]
+    schema = "".join(f"{k} {kinds[k]}, " for k in key) + "b int, " + ", ".join(f"{c} double" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), UNITS):
+                part = batch.slice(at, UNITS)
+                points = Points(part.column(0), key)
+                for b in _blocks(B, len(part)):
+                    w = weigh(b, part)
+                    if kind == "halves":
+                        found = [w @ points.y, w @ points.known, (1 - w) @ points.y, (1 - w) @ points.known]
+                    else:
+                        found = [w @ points.y, np.broadcast_to(points.known.sum(axis=0), (len(b), points.y.shape[1]))]
+                    yield points.rows([], key, b, dict(zip(names, found)))
+
+    return rows.mapInArrow(run, schema).groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def sign_flip(curve: DataFrame, key: list[str], B: int, seed: int, unit: str = "subject", chance: float = 0.0, how: str = "mean") -> DataFrame:
     """(key, b, stat): the mean or sum over units of curves less chance, each unit's curve flipped as a whole by a keyed sign."""
-    flip = F.when(F.col("b") == 0, F.lit(1.0)).otherwise(sign(seed, F.col("b"), F.col(unit)))
-    rows = resamples(packed(curve, [unit], key), B).select("b", flip.alias("s"), F.inline("points"))
-    stat = (F.avg if how == "mean" else F.sum)(F.col("s") * (F.col("y") - chance))
-    return rows.groupBy(*key, "b").agg(stat.alias("stat"))
+    units = packed(curve.withColumn("_y", F.col("y") - chance), [unit], key, "_y").select("points", text_of(F.col(unit)).alias("u"))
+
+    def weigh(b: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        ends = [(f"|{u}" if u else "").encode() for u in part.column(1).to_pylist()]
+        w = 1.0 - 2.0 * (draws([f"{seed}|{i}".encode() for i in b.tolist()], ends) & 1)
+        w[b == 0] = 1.0
+        return w
+
+    sums = _products(units, key, B, weigh, "signs")
+    return sums.select(*key, "b", (F.try_divide("s", "n") if how == "mean" else F.col("s")).alias("stat"))
+
+
+def shuffle_limits(units: DataFrame, unit: str, cohort: str, first: str, B: int, seed: int, bits: int = 10) -> dict[int, tuple[int, object]]:
+    """For each b > 0 the draw and unit of the last unit, in the order of (draw, unit), that gets the first label.
+
+    As many units as are in the first cohort get it.  Each b's draws are counted by their leading
+    ``bits``; only the range that holds its place is looked into, so no b's units are sorted whole.
+    """
+    size = units.filter(F.col(cohort) == first).count()
+    if not size or not B:
+        return {}
+    text = units.select(text_of(F.col(unit)).alias("u"), F.col(unit).alias("unit"))
+    shift = 32 - bits
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((B + 1, 1 << bits), np.int64)
+        for batch in batches:
+            ends = [f"|{u}".encode() for u in batch.column(0).to_pylist()]
+            for b in _blocks(B, len(ends)):
+                place = draws([f"{seed}|{i}".encode() for i in b.tolist()], ends) >> shift
+                total[b] += np.bincount((place + (np.arange(len(b), dtype=np.int64) << bits)[:, None]).ravel(), minlength=len(b) << bits).reshape(len(b), -1)
+        for b in range(B + 1):
+            at = np.flatnonzero(total[b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at), pa.array(total[b, at])], names=["b", "range", "n"])
+
+    counts = text.select("u").mapInArrow(counted, "b int, range long, n long").groupBy("b", "range").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))  # 2^bits ranges at most
+    holds = counts.withColumn("upto", upto).filter((F.col("upto") >= size) & (F.col("upto") - F.col("n") < size) & (F.col("b") > 0))
+    found = {r["b"]: (r["range"], size - r["upto"] + r["n"]) for r in holds.collect()}  # a row for each b
+    ranges = np.full(B + 1, -1, np.int64)
+    ranges[list(found)] = [v[0] for v in found.values()]
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [f"|{u}".encode() for u in batch.column(0).to_pylist()]
+            for b in _blocks(B, len(ends)):
+                got = draws([f"{seed}|{i}".encode() for i in b.tolist()], ends)
+                i, j = np.nonzero((got >> shift) == ranges[b][:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(b[i]), pa.array(got[i, j].astype(np.int64)), batch.column(1).take(pa.array(j))], names=["b", "draw", "unit"])
+
+    kind = dict(units.dtypes)[unit]
+    rest = text.mapInArrow(inside, f"b int, draw long, unit {kind}")
+    wanted = units.sparkSession.createDataFrame([(b, place) for b, (_, place) in found.items()], "b int, place long")
+    ranked = rest.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("draw", "unit"))).join(wanted, "b")
+    return {r["b"]: (r["draw"], r["unit"]) for r in ranked.filter("rn = place").collect()}  # a row for each b
 
 
 def label_shuffle(curve: DataFrame, key: list[str], B: int, seed: int, unit: str = "subject", cohort: str = "cohort", first: str = "a", how: str = "mean") -> DataFrame:
     """(key, b, stat): first cohort minus the rest, with labels shuffled over units in sizes that stay."""
-    units = packed(curve, [unit, cohort], key)
-    size = F.count_if(F.col(cohort) == first).over(Window.partitionBy("b"))
-    order = F.row_number().over(Window.partitionBy("b").orderBy(draw(seed, F.col("b"), F.col(unit)), unit))
-    mine = F.when(F.col("b") == 0, F.col(cohort) == first).otherwise(order <= size)
-    labelled = resamples(units.select(unit, cohort), B).withColumn("mine", mine).select(unit, cohort, "b", "mine")
-    rows = labelled.join(units, [unit, cohort]).select("b", "mine", F.inline("points"))
-    pick = (lambda c: F.avg(c)) if how == "mean" else (lambda c: F.sum(c))
-    return rows.groupBy(*key, "b").agg((pick(F.when(F.col("mine"), F.col("y"))) - pick(F.when(~F.col("mine"), F.col("y")))).alias("stat"))
-
-
-def bootstrap_weights(units: DataFrame, within: list[str], unit: str, B: int, seed: int, extra: list[str] | None = None) -> DataFrame:
-    """(within, extra, b, unit, w): how often each unit is drawn when as many as there are get drawn with replacement.
-
-    The k-th draw of resample b takes the unit at place draw mod n; b = 0 takes every unit once.
-    ``extra`` columns of ``units`` join the key of the draws, for draws that are independent for
-    each of their values.
+    limits = shuffle_limits(curve.select(unit, cohort).distinct(), unit, cohort, first, B, seed)
+    least = np.array([limits.get(b, (-1, None))[0] for b in range(B + 1)], np.int64)
+    units = packed(curve, [unit, cohort], key).select("points", text_of(F.col(unit)).alias("u"), F.col(unit).alias("unit"), F.coalesce(F.col(cohort) == first, F.lit(False)).alias("own"))
+
+    def mine(b: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        got = draws([f"{seed}|{i}".encode() for i in b.tolist()], [f"|{u}".encode() for u in part.column(1).to_pylist()]).astype(np.int64)
+        w = got < least[b][:, None]
+        names = None
+        for i, j in zip(*np.nonzero(got == least[b][:, None])):  # the last unit itself, and any with its draw
+            names = names or part.column(2).to_pylist()
+            w[i, j] = names[j] <= limits[int(b[i])][1]
+        w[b == 0] = part.column(3).to_numpy(zero_copy_only=False)
+        return w.astype(float)
+
+    sums = _products(units, key, B, mine, "halves")
+    of = (lambda s, n: F.try_divide(s, n)) if how == "mean" else (lambda s, n: F.when(F.col(n) > 0, F.col(s)))
+    return sums.select(*key, "b", (of("s", "n") - of("s2", "n2")).alias("stat"))
+
+
+def numbered(units: DataFrame, within: list[str], unit: str) -> DataFrame:
+    """``units`` with ``k``, their place from 0 in the order of ``unit`` within ``within``, and ``n``, how many there are.
+
+    Rows are sorted by ranges; a part's first place is how many rows the parts before it have.
     """
-    extra = extra or []
-    within_window = Window.partitionBy(*(within + extra)) if within + extra else Window.partitionBy(F.lit(1))
-    numbered = units.withColumn("k", F.row_number().over(within_window.orderBy(unit)) - 1).withColumn("n", F.count(F.lit(1)).over(within_window))
-    drawn = resamples(numbered.select(*within, *extra, "k", "n"), B)
-    at = F.when(F.col("b") == 0, F.col("k").cast("long")).otherwise(draw(seed, *[F.col(c) for c in within + extra], F.col("b"), F.col("k")) % F.col("n"))
-    counts = drawn.groupBy(*within, *extra, "b", at.alias("k")).agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(numbered.select(*within, *extra, F.col("k").cast("long").alias("k"), unit), within + extra + ["k"]).drop("k")
+    own = [*within, unit]
+    ordered = units.repartitionByRange(*own).sortWithinPartitions(*own).withColumn("_at", F.monotonically_increasing_id())
+    ordered = kept(ordered, "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_part"), *within).agg(F.count(F.lit(1)).alias("_m"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*within or [F.lit(1)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("_m").over(Window.partitionBy(*within or [F.lit(1)]))
+    starts = sizes.withColumns({"_before": before, "n": every})  # a row for each part and group
+    starts = starts.select(F.col("_part").alias("_p"), *[F.col(w).alias(f"_{w}") for w in within], "_before", "_first", "n")
+    alike = [F.col("_part") == F.col("_p"), *[F.col(w).eqNullSafe(F.col(f"_{w}")) for w in within]]
+    met = ordered.withColumn("_part", part).join(starts, alike)
+    return met.select(*units.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("k"), "n")
+
+
+def _bootstrapped(points: DataFrame, within: list[str], unit: str, key: list[str], B: int, seed: int, extra: list[str]) -> DataFrame:
+    """(within, extra, key, b, s, n) from rows (within, extra, unit, points): sums with weights of draws with replacement."""
+    groups = [*within, *extra]
+    rows = numbered(points, groups, unit)
+    most = rows.agg(F.max("n")).first()[0] or 0
+    step = max(1, min(RESAMPLES, WEIGHTS // max(1, most)))
+    blocks = -(-(B + 1) // step)
+    lead = text_of(F.lit(seed), *[F.col(g) for g in groups])
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("points", "k", "n", "_block", lead.alias("_lead"), *groups)
+    spread = spread.repartition(*groups, "_block").sortWithinPartitions(*groups, "_block", "k")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["points"].dataType.elementType} | {g: t for g, t in rows.dtypes if g in groups}
+    names = [*groups, *key]
+    schema = "".join(f"{k} {kinds[k]}, " for k in names) + "b int, s double, n double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, drawn = None, None
+        for batch in batches:
+            lead_, block, n, k = batch.column(4).to_pylist(), batch.column(3).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            turn = [i for i in range(len(batch)) if i == 0 or lead_[i] != lead_[i - 1] or block[i] != block[i - 1]]
+            for start, stop in zip(turn, [*turn[1:], len(batch)]):
+                if (lead_[start], block[start]) != at:
+                    at = (lead_[start], block[start])
+                    b = np.arange(block[start] * step, min((block[start] + 1) * step, B + 1), dtype=np.int32)
+                    many = int(n[start])
+                    places = draws([f"{at[0]}|{i}|".encode() for i in b.tolist()], [str(i).encode() for i in range(many)]).astype(np.int64) % many
+                    places[b == 0] = np.arange(many)
+                    drawn = np.bincount((places + np.arange(len(b))[:, None] * many).ravel(), minlength=len(b) * many).reshape(len(b), many)
+                for first in range(start, stop, UNITS):
+                    part = batch.slice(first, min(UNITS, stop - first))
+                    points_ = Points(part.column(0), key)
+                    w = drawn[:, k[first : first + len(part)]].astype(float)
+                    yield points_.rows([part.column(5 + g).slice(0, 1) for g in range(len(groups))], names, b, {"s": w @ points_.y, "n": w @ points_.known})
+
+    return spread.mapInArrow(run, schema).groupBy(*names, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def bootstrap_mean(curve: DataFrame, key: list[str], B: int, seed: int, unit: str = "subject", within: list[str] | None = None, tp: str | None = None) -> DataFrame:
-    """(within, key, b, stat): means over units drawn with replacement, whole curves at once, or for each ``tp`` by itself."""
-    within = within or []
-    extra = [tp] if tp else []
-    weights = bootstrap_weights(curve.select(*within, *extra, unit).distinct(), within, unit, B, seed, extra)
-    if tp:
-        rows = weights.join(curve.select(*within, *key, unit, "y"), [*within, tp, unit])
-    else:
-        rows = weights.join(packed(curve, [*within, unit], key), [*within, unit]).select(*within, "b", "w", F.inline("points"))
-    return rows.groupBy(*within, *key, "b").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("stat"))
+    """(within, key, b, stat): means over units drawn with replacement, whole curves at once, or for each ``tp`` by itself.
+
+    The k-th draw of resample b takes the unit at place draw mod n, in the order of units; b = 0 takes
+    every unit once.  Draws are independent for each value of ``within`` and ``tp``.
+    """
+    within, extra = within or [], [tp] if tp else []
+    inner = [k for k in key if k not in [*within, *extra]]
+    sums = _bootstrapped(packed(curve, [*within, *extra, unit], inner), within, unit, inner, B, seed, extra)
+    return sums.filter("n > 0").select(*within, *key, "b", (F.col("s") / F.col("n")).alias("stat"))
 
 
 def bootstrap_sum(units: DataFrame, key: list[str], B: int, seed: int, unit: str = "unit", within: list[str] | None = None) -> DataFrame:
     """(key, b, stat): sums of unit values ``v`` drawn with replacement within ``within``, the draws shared by all other keys."""
     within = within or []
-    weights = bootstrap_weights(units.select(*within, unit).distinct(), within, unit, B, seed)
-    rest = [k for k in key if k not in within]
-    rows = weights.join(packed(units, [*within, unit], rest, "v"), [*within, unit]).select(*within, "b", "w", F.inline("points"))
-    return rows.groupBy(*key, "b").agg(F.sum(F.col("w") * F.col("y")).alias("stat"))
+    inner = [k for k in key if k not in within]
+    sums = _bootstrapped(packed(units, [*within, unit], inner, "v"), within, unit, inner, B, seed, [])
+    return sums.filter("n > 0").select(*key, "b", F.col("s").alias("stat"))
 
 
 def permutation(items: DataFrame, item: str, B: int, seed: int) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.sources.tables import shared_path
+from tempora.sources.tables import kept
 
 #: Rows of a block, and columns of a tile of a wide table.
 BLOCK_ROWS, TILE_COLUMNS = 2048, 4096
@@ -23,13 +23,6 @@ HELD_BLOCKS = 4
 FAN = 16
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it is made once and outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _floats(value: bytes, columns: int) -> np.ndarray:
     return np.frombuffer(value).reshape(-1, columns)
 
@@ -48,7 +41,7 @@ def row_blocks(df: DataFrame, x: str, size: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([m.tobytes()])], names=[*others, x])
 
     blocks = df.select(*others, F.col(x).cast("array<double>").alias(x)).mapInArrow(run, ", ".join([*[f"{c} array<{kinds[c]}>" for c in others], f"{x} binary"]))
-    return _kept(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return kept(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def block_sum(df: DataFrame, columns: list[str], of: Callable[..., np.ndarray]) -> np.ndarray:
@@ -149,12 +142,12 @@ def kernel_pca(df: DataFrame, train: Column, x: str, k: int, degree: int = 4, mo
                 v = np.random.default_rng([seed, block]).normal(size=(len(_floats(value, d)), m))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([v.tobytes()])], names=["block", "v"])
 
-    newest = _kept(trained.select("block", "x").mapInArrow(start, "block long, v binary"), "start")
+    newest = kept(trained.select("block", "x").mapInArrow(start, "block long, v binary"), "start")
     newest = _orthonormal(newest, block_sum(newest, ["v"], lambda v: _moments(_floats(v, m))), n, m)
     basis: list[DataFrame] = []  # tables (block, v) and (block, y), of m columns each
     images: list[DataFrame] = []
     while True:
-        image = _kept(kernel_product(trained, trained.join(newest, "block"), kernel, d, m), "image")
+        image = kept(kernel_product(trained, trained.join(newest, "block"), kernel, d, m), "image")
         basis.append(newest)
         images.append(image)
         size = len(basis)
@@ -177,10 +170,10 @@ def kernel_pca(df: DataFrame, train: Column, x: str, k: int, degree: int = 4, mo
     found = values > 1e-10 * max(values[0], 1e-300)
     values, axes = values[found], axes[:, found]
     scaled = _times(_side_by_side(basis), axes / np.sqrt(values), m, gram[-1, q] / n)
-    scaled = _kept(scaled, "axes")
+    scaled = kept(scaled, "axes")
     scaled = _times(_side_by_side([scaled]), np.diag(_signs(scaled, "v", lambda v: _floats(v, len(values)))), len(values), np.zeros(len(values)))
     k = len(values)
-    met = _kept(kernel_product(rows.withColumnRenamed(x, "x").select("block", "x"), trained.join(scaled, "block"), kernel, d, k), "coordinates")
+    met = kept(kernel_product(rows.withColumnRenamed(x, "x").select("block", "x"), trained.join(scaled, "block"), kernel, d, k), "coordinates")
     both = met.join(rows.drop(x), "block")
     mean = block_sum(_flagged(both), ["y", "flags"], lambda y, flags: np.frombuffer(flags, bool) @ _floats(y, k)) / n
     return _rows_of(both, others, x, k, mean[0])
@@ -216,7 +209,7 @@ def _orthonormal(table: DataFrame, gram: np.ndarray, n: int, m: int) -> DataFram
     """The table's columns, centred and made orthonormal."""
     values, vectors = np.linalg.eigh(gram[:-1, :-1] - np.outer(gram[-1, :-1], gram[-1, :-1]) / n)
     turn = np.where(values > 1e-13 * values[-1], vectors / np.sqrt(np.maximum(values, 1e-300)), 0)
-    return _kept(_times(_side_by_side([table]), turn, m, gram[-1, :-1] / n), "basis")
+    return kept(_times(_side_by_side([table]), turn, m, gram[-1, :-1] / n), "basis")
 
 
 def _next(basis: list[DataFrame], image: DataFrame, centred: np.ndarray, sums: np.ndarray, n: int, m: int) -> DataFrame | None:
@@ -231,7 +224,7 @@ def _next(basis: list[DataFrame], image: DataFrame, centred: np.ndarray, sums: n
     turn = np.where(values > 1e-10 * values[-1], vectors / np.sqrt(np.maximum(values, 1e-300)), 0)
     by = np.vstack([-inside @ turn, turn])
     out = _times(_side_by_side([*basis, image]), by, m, np.concatenate([sums[q], sums[w]]) / n)
-    return _kept(out, "basis")
+    return kept(out, "basis")
 
 
 def _flagged(both: DataFrame) -> DataFrame:
@@ -291,9 +284,9 @@ def tall_root(df: DataFrame, key: str, value: str, width: int) -> np.ndarray:
         r = np.linalg.qr(np.vstack([_floats(v, width) for v in table.column("r").to_pylist()]), "r")
         return pa.table({"node": table.column("up").slice(0, 1), "r": pa.array([r.tobytes()])})
 
-    level = _kept(df.select(key, value).mapInArrow(factors, "node long, r binary"), "factors")
+    level = kept(df.select(key, value).mapInArrow(factors, "node long, r binary"), "factors")
     while (many := level.count()) > 1:
-        level = _kept(level.withColumn("up", F.pmod(F.xxhash64("node"), F.lit(-(-many // FAN)))).groupBy("up").applyInArrow(stacked, "node long, r binary"), "factors")
+        level = kept(level.withColumn("up", F.pmod(F.xxhash64("node"), F.lit(-(-many // FAN)))).groupBy("up").applyInArrow(stacked, "node long, r binary"), "factors")
     root = level.first()
     _, sizes, turn = np.linalg.svd(_floats(root["r"], width) if root else np.zeros((1, width)))
     sizes = np.pad(sizes, (0, width - len(sizes)))
@@ -309,7 +302,7 @@ def _products(left: DataFrame, right: DataFrame, on: str, to: str, width: int, t
                 tile, by = _floats(z, columns), _floats(m, width)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([((tile.T if turned else tile) @ by).tobytes()])], names=[to, "m"])
 
-    return _kept(added(left.join(right, on).select(to, "z", "columns", "m").mapInArrow(run, f"{to} long, m binary"), to, "m"), "products")
+    return kept(added(left.join(right, on).select(to, "z", "columns", "m").mapInArrow(run, f"{to} long, m binary"), to, "m"), "products")
 
 
 def wide_pca(df: DataFrame, train: Column, x: str, k: int, share: float = 0.9, tile: int = TILE_COLUMNS, more: int = 8, power: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -351,8 +344,8 @@ def wide_pca(df: DataFrame, train: Column, x: str, k: int, share: float = 0.9, t
 
     form = "block long, c long, columns int, z binary"
     raw = [b.select("block", x).mapInArrow(cut, form) for b in both]
-    stats = _kept(added(raw[0].select("c", "columns", "z").mapInArrow(sums, "c long, s binary"), "c", "s"), "column-sums")
-    tiles = [_kept(r.join(stats, "c").select("block", "c", "columns", "z", "s").mapInArrow(scaled, form), "tiles") for r in raw]
+    stats = kept(added(raw[0].select("c", "columns", "z").mapInArrow(sums, "c long, s binary"), "c", "s"), "column-sums")
+    tiles = [kept(r.join(stats, "c").select("block", "c", "columns", "z", "s").mapInArrow(scaled, form), "tiles") for r in raw]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,11 +356,11 @@ def wide_pca(df: DataFrame, train: Column, x: str, k: int, share: float = 0.9, t
     def turned(table: DataFrame, key: str, by: np.ndarray) -> DataFrame:
         return _times(table.select(F.col(key).alias("block"), F.array("m").alias("parts")), by, width, np.zeros(width)).toDF(key, "m")
 
-    axes = _kept(stats.mapInArrow(start, "c long, m binary"), "start")
+    axes = kept(stats.mapInArrow(start, "c long, m binary"), "start")
     for _ in range(power + 1):
         rows = _products(tiles[0], axes, "c", "block", width, False)
         columns = _products(tiles[0], turned(rows, "block", tall_root(rows, "block", "m", width)), "block", "c", width, True)
-        axes = _kept(turned(columns, "c", tall_root(columns, "c", "m", width)), "axes")
+        axes = kept(turned(columns, "c", tall_root(columns, "c", "m", width)), "axes")
     rows = _products(tiles[0], axes, "c", "block", width, False)
     small = block_sum(rows, ["m"], lambda m: _floats(m, width).T @ _floats(m, width))
     values, vectors = np.linalg.eigh(small)
@@ -378,7 +371,7 @@ def wide_pca(df: DataFrame, train: Column, x: str, k: int, share: float = 0.9, t
     part = np.maximum(values[::-1][:k], 0) / max(total, 1e-300)
     upto = part.cumsum()
     shares = [(i + 1, float(p), float(u), bool(i == 0 or upto[i - 1] < share)) for i, (p, u) in enumerate(zip(part, upto))]
-    final = _kept(turned(axes, "c", vectors * signs), "axes")
+    final = kept(turned(axes, "c", vectors * signs), "axes")
     out = None
     for blocks, parts in zip(both, tiles):
         met = _products(parts, final, "c", "block", vectors.shape[1], False).withColumnRenamed("m", "y").join(blocks.drop(x), "block")

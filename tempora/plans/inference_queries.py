@@ -47,6 +47,16 @@ def signflip_test_right(spark, d):
     return r6(I.bh_fdr(tests, []), "stat", "p", "p_adj")
 
 
+_MANY = 10_000
+
+
+@query(_bh_sql(_p_sql(_SIGNED.replace(f"range(0, {B + 1})", f"range(0, {_MANY + 1})"), "tp"), cols=_TEST_COLS))
+def signflip_test_10k(spark, d):
+    """As many resamples as the studies draw."""
+    tests = I.rank_p(R.sign_flip(V.v_curve(spark, d), ["tp"], _MANY, SEED, chance=CHANCE), ["tp"])
+    return r6(I.bh_fdr(tests, []), "stat", "p", "p_adj")
+
+
 _SHUFFLED = f"""SELECT b, tp, avg(y) FILTER (WHERE mine) - avg(y) FILTER (WHERE NOT mine) AS stat FROM ({V.CURVE}) c JOIN (
     SELECT b, subject, CASE WHEN b = 0 THEN cohort = 'a' ELSE row_number() OVER (PARTITION BY b ORDER BY {V.draw_sql(SEED, "b", "subject")}, subject) <= count(*) FILTER (WHERE cohort = 'a') OVER (PARTITION BY b) END AS mine
     FROM (SELECT DISTINCT subject, cohort FROM ({V.CURVE})) s, {BS} r) l USING (subject) GROUP BY b, tp"""
@@ -174,15 +184,15 @@ def boot_pair_diffdiff(spark, d):
     return tests.join(r6(I.interval(pairs, ["f1", "f2"], "diff"), "lo", "est", "hi"), ["f1", "f2"])
 
 
-_UNIT_SIGNED = f"""SELECT layer, b, sum((CASE WHEN b = 0 OR {V.draw_sql(SEED, "b", "unit")} % 2 = 0 THEN 1.0 ELSE -1.0 END) * v) AS stat
-                   FROM (SELECT * FROM ({V.UNITS}) WHERE cohort = 'F' AND feature = 'A') c, {BS} r GROUP BY layer, b"""
+_UNIT_SIGNED = f"""SELECT cohort, feature, layer, b, sum((CASE WHEN b = 0 OR {V.draw_sql(SEED, "b", "unit")} % 2 = 0 THEN 1.0 ELSE -1.0 END) * v) AS stat
+                   FROM ({V.UNITS}) c, {BS} r GROUP BY cohort, feature, layer, b"""
 
 
-@query(_bh_sql(_p_sql(_UNIT_SIGNED, "layer"), cols="layer, round(stat, 6) AS stat, round(p, 6) AS p"))
+@query(_bh_sql(_p_sql(_UNIT_SIGNED, "cohort, feature, layer"), family="cohort, feature", cols="cohort, feature, layer, round(stat, 6) AS stat, round(p, 6) AS p"))
 def unit_signflip(spark, d):
-    units = V.v_units(spark, d).filter("cohort = 'F' AND feature = 'A'").withColumnRenamed("v", "y")
-    tests = I.rank_p(R.sign_flip(units, ["layer"], B, SEED, unit="unit", how="sum"), ["layer"])
-    return r6(I.bh_fdr(tests, []), "stat", "p", "p_adj")
+    """Every cohort, feature and layer; a family is a cohort's feature."""
+    tests = I.rank_p(R.sign_flip(V.v_units(spark, d).withColumnRenamed("v", "y"), ["cohort", "feature", "layer"], B, SEED, unit="unit", how="sum"), ["cohort", "feature", "layer"])
+    return r6(I.bh_fdr(tests, ["cohort", "feature"]), "stat", "p", "p_adj")
 
 
 _UW = _boot_sql(f"SELECT DISTINCT layer, unit FROM ({V.UNITS}) WHERE cohort = 'F'", "layer", "unit")
@@ -194,26 +204,40 @@ def _unit_sums(spark, d, cohort="F"):
     return R.bootstrap_sum(units, ["layer", "feature"], B, SEED, within=["layer"])
 
 
-@query(_ci_sql(_USUM, "layer, feature", "stat"))
+def _cohorts_sql(text: str) -> str:
+    return f"SELECT 'F' AS cohort, * FROM ({text}) UNION ALL SELECT 'O', * FROM ({text.replace("cohort = 'F'", "cohort = 'O'")})"
+
+
+def _cohorts(of):
+    """The rows of both cohorts, each drawn for itself."""
+    one, two = (of(c).withColumn("cohort", F.lit(c)) for c in "FO")
+    return one.unionByName(two)
+
+
+@query(_cohorts_sql(_ci_sql(_USUM, "layer, feature", "stat")))
 def unit_boot_sum(spark, d):
-    return r6(I.interval(_unit_sums(spark, d), ["layer", "feature"], "stat"), "lo", "est", "hi")
+    return r6(_cohorts(lambda c: I.interval(_unit_sums(spark, d, c), ["layer", "feature"], "stat")), "lo", "est", "hi")
 
 
 _UPEAK = _peak_sql(_USUM, "feature, b", "layer")
 
 
-@query(_ci_sql(_UPEAK, "feature", "peak"))
+@query(_cohorts_sql(_ci_sql(_UPEAK, "feature", "peak")))
 def unit_boot_peak(spark, d):
-    return r6(I.interval(I.peak(_unit_sums(spark, d), ["feature", "b"], at="layer"), ["feature"], "peak"), "lo", "est", "hi")
+    return r6(_cohorts(lambda c: I.interval(I.peak(_unit_sums(spark, d, c), ["feature", "b"], at="layer"), ["feature"], "peak")), "lo", "est", "hi")
 
 
-@query(f"SELECT * FROM ({_bh_sql(_RECENTRED.format(_PAIRS.format(_UPEAK)), cols='f1, f2, round(p, 6) AS p')}) JOIN ({_ci_sql(_PAIRS.format(_UPEAK), 'f1, f2', 'diff')}) USING (f1, f2)")
-def unit_boot_pair(spark, d):
-    pairs = feature_pairs(I.peak(_unit_sums(spark, d), ["feature", "b"], at="layer"), ["b"])
+def _unit_pairs(spark, d, cohort):
+    pairs = feature_pairs(I.peak(_unit_sums(spark, d, cohort), ["feature", "b"], at="layer"), ["b"])
     tests = r6(I.bh_fdr(I.recentred_p(pairs, ["f1", "f2"]), []), "p", "p_adj")
     return tests.join(r6(I.interval(pairs, ["f1", "f2"], "diff"), "lo", "est", "hi"), ["f1", "f2"])
 
 
+@query(_cohorts_sql(f"SELECT * FROM ({_bh_sql(_RECENTRED.format(_PAIRS.format(_UPEAK)), cols='f1, f2, round(p, 6) AS p')}) JOIN ({_ci_sql(_PAIRS.format(_UPEAK), 'f1, f2', 'diff')}) USING (f1, f2)"))
+def unit_boot_pair(spark, d):
+    return _cohorts(lambda c: _unit_pairs(spark, d, c))
+
+
 _USUM_O = _USUM.replace("cohort = 'F'", "cohort = 'O'")
 _CROSS = f"SELECT layer, feature, b, x.stat - y.stat AS diff FROM ({_USUM}) x JOIN ({_USUM_O}) y USING (layer, feature, b)"
 _CROSS_PEAK = f"SELECT feature, b, abs(x.peak - y.peak) AS diff FROM ({_UPEAK}) x JOIN ({_peak_sql(_USUM_O, 'feature, b', 'layer')}) y USING (feature, b)"

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tempora.functions.rng import draw
 from tempora.operators import inference as I
+from tempora.operators import permute as P
+from tempora.operators import resample as R
 from tempora.operators import similarity as S
-from tempora.operators.linear import correlation
+from tempora.operators.linear import correlation, dot
 from tempora.operators.nested import partition_scores
+from tempora.plans import inference_queries as Q
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
@@ -103,6 +106,51 @@ def response_corr(spark, d):
     per = _modal(spark, d).groupBy(F.floor((F.col("component") - 1) / 4).alias("tp"), "component").agg(correlation("a", "b").alias("r"))
     return r6(per.groupBy("tp").agg(F.avg("r").alias("r")), "r")
 
+PERMUTATIONS, PERM_SEED = 1000, 42
+
+
+def _walked_sql(items: str, within: str) -> str:
+    """(within, b, k, v): the places 0 to n - 1 of ``items`` (within, stimulus) and where the keyed network sends them; b = 0 leaves them."""
+    lead, over = (f"{within}, ", f"PARTITION BY {within} ") if within else ("", "")
+    half = "greatest(1, ceil(CASE WHEN n > 1 THEN floor(log2(n - 1)) + 1 ELSE 0 END / 2.0))::BIGINT"
+    keys = ", ".join(V.draw_sql(PERM_SEED, "b", r) for r in range(P.ROUNDS))
+    body = "SELECT *, v >> h AS l, v & ((1::BIGINT << h) - 1) AS r FROM w WHERE NOT done"
+    for k in range(P.ROUNDS):
+        mixed = f"((r * {P.FIRST} + keys[{k + 1}]) % 4294967296)"
+        turned = f"((({mixed} >> 16) * {P.SECOND} + {mixed}) % 4294967296)"
+        body = f"SELECT * EXCLUDE (l, r), r AS l, xor(l, {turned} >> (32 - h)) AS r FROM ({body})"
+    return f"""(WITH RECURSIVE i AS (SELECT {lead}(row_number() OVER ({over}ORDER BY stimulus) - 1)::BIGINT AS k, count(*) OVER ({over}) AS n FROM ({items})),
+        w AS (SELECT {lead}b, k, n, {half} AS h, [{keys}] AS keys, k AS v, b = 0 AS done, 0 AS step FROM i, (SELECT unnest(range(0, {PERMUTATIONS + 1})) AS b) q
+              UNION ALL SELECT {lead}b, k, n, h, keys, l << h | r, (l << h | r) < n, step + 1 FROM ({body}))
+        SELECT {lead}b, k, v FROM w WHERE done)"""
+
+
+def _halves(spark, d):
+    return V.v_vectors(spark, d).select("class", "stimulus", F.slice("x", 1, 32).alias("x"), F.slice("x", 33, 32).alias("y"))
+
+
+_PAIRED = f"SELECT class, stimulus, x[1:32] AS x, x[33:64] AS y FROM ({V.VECTORS})"
+
+
+@query(f"""WITH v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY class ORDER BY stimulus) - 1 AS k FROM ({_PAIRED})),
+           s AS (SELECT class, b, corr(p, q) AS stat FROM (SELECT class, b, unnest(a.x) AS p, unnest(c.y) AS q FROM {_walked_sql(_PAIRED, 'class')} w JOIN v a USING (class, k) JOIN (SELECT class, k AS v, y FROM v) c USING (class, v)) GROUP BY class, b)
+           SELECT class, round(stat, 6) AS r, round(p, 6) AS p FROM ({Q._p_sql('SELECT * FROM s', 'class')})""")
+def cross_modal_test(spark, d):
+    """Two modalities' correlation over all stimuli and components of a feature (a class), against permuted stimuli."""
+    stats = P.flat_correlation(P.permuted_products(_halves(spark, d), ["class"], "stimulus", "x", "y", PERMUTATIONS, PERM_SEED), ["class"])
+    return r6(I.rank_p(stats.withColumnRenamed("r", "stat"), ["class"]).withColumnRenamed("stat", "r"), "r", "p")
+
+
+@query(f"""WITH v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY stimulus) - 1 AS k FROM ({_PAIRED})),
+           c AS (SELECT b, j, corr(p, q) AS r FROM (SELECT b, unnest(range(0, 32)) AS j, unnest(a.x) AS p, unnest(e.y) AS q FROM {_walked_sql(_PAIRED, '')} w JOIN v a USING (k) JOIN (SELECT k AS v, y FROM v) e USING (v)) GROUP BY b, j),
+           s AS (SELECT (j // 4)::INT AS tp, b, avg(r) AS stat FROM c GROUP BY 1, 2)
+           {Q._bh_sql(Q._p_sql('SELECT * FROM s', 'tp'), cols='tp, round(stat, 6) AS r, round(p, 6) AS p')}""")
+def response_corr_test(spark, d):
+    """The curve of response correlations, mean over channels, against permuted stimuli, with its false discovery rate."""
+    per = P.correlations(P.permuted_products(_halves(spark, d), [], "stimulus", "x", "y", PERMUTATIONS, PERM_SEED), [])
+    curve = per.groupBy(F.floor(F.col("component") / 4).cast("int").alias("tp"), "b").agg(F.avg("r").alias("stat"))
+    return r6(I.bh_fdr(I.rank_p(curve, ["tp"]), []).withColumnRenamed("stat", "r"), "r", "p", "p_adj")
+
 
 @query(f"SELECT component, round((n * r) / (n - 1) * (sd_a * sd_b) / ((sd_a + 1e-8) * (sd_b + 1e-8)), 6) AS parity, round(r, 6) AS pearson FROM (SELECT component, count(*) AS n, corr(a, b) AS r, stddev_pop(a) AS sd_a, stddev_pop(b) AS sd_b FROM ({_MODAL}) GROUP BY component)")
 def colwise_corr(spark, d):
@@ -208,6 +256,43 @@ def exact_perm(spark, d):
     per = long.groupBy("used").agg(correlation("a", "b").alias("r"), correlation("a", "own").alias("observed"))
     return r6(per.agg(F.count(F.lit(1)).alias("orderings"), F.first("observed").alias("observed"), F.avg((F.round(F.abs("r"), 9) >= F.round(F.abs("observed"), 9)).cast("int")).alias("p")), "observed", "p")
 
+@query(f"""WITH RECURSIVE f AS ({_ranks_sql(7)}), v AS (SELECT row_number() OVER (ORDER BY feature) AS k, r1, r2 FROM f),
+           p AS (SELECT [k] AS used, 1 AS n FROM v UNION ALL SELECT list_append(used, v.k), n + 1 FROM p, v WHERE NOT list_contains(used, v.k)),
+           s AS (SELECT used, corr(a.r1, b.r2) AS r FROM (SELECT used, unnest(used) AS j, unnest(range(1, 8)) AS k FROM p WHERE n = 7) q JOIN v a ON a.k = q.k JOIN v b ON b.k = q.j GROUP BY used)
+           SELECT count(*) AS orderings, round((SELECT corr(r1, r2) FROM v), 6) AS observed, round(avg((round(abs(r), 9) >= round(abs((SELECT corr(r1, r2) FROM v)), 9))::INT), 6) AS p FROM s""")
+def exact_perm_seven(spark, d):
+    """All 5,040 orderings of seven peaks as a range of numbers: the share whose correlation is at least as large, either side."""
+    ranks = _peak_ranks(spark, d, 7).groupBy().agg(F.sort_array(F.collect_list(F.struct("feature", "r1", "r2"))).alias("v")).select(F.col("v.r1").alias("r1"), F.col("v.r2").alias("r2"))
+    tried = P.orderings(spark, 7).crossJoin(ranks)  # one row of seven peaks
+    moved = F.transform("used", lambda k: F.element_at("r2", k))
+    both = tried.select(_pearson(F.col("r1"), moved).alias("r"), _pearson(F.col("r1"), F.col("r2")).alias("observed"))
+    hit = F.round(F.abs("r"), 9) >= F.round(F.abs("observed"), 9)
+    return r6(both.agg(F.count(F.lit(1)).alias("orderings"), F.first("observed").alias("observed"), F.avg(hit.cast("int")).alias("p")), "observed", "p")
+
+
+def _pearson(x, y):
+    """Pearson's correlation of two short arrays, null where one is constant."""
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    spread = lambda a, b: dot(a, b) - add(a) * add(b) / F.size(x)
+    return F.try_divide(spread(x, y), F.sqrt(spread(x, x) * spread(y, y)))
+
+
+_UNIT_PEAKS = "SELECT unit, feature, tp AS p1 FROM (SELECT l_suppkey AS unit, month(l_shipdate)::INT AS feature, l_linenumber AS tp, avg(l_quantity) AS y FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY unit, feature ORDER BY round(y, 9) DESC, tp) = 1"
+_UNIT_RANK = "rank() OVER (PARTITION BY unit ORDER BY {0}) + (count(*) OVER (PARTITION BY unit, {0}) - 1) / 2.0"
+_UNIT_R = f"SELECT unit, corr(r1, r2) AS y FROM (SELECT unit, {_UNIT_RANK.format('p1')} AS r1, {_UNIT_RANK.format('p2')} AS r2 FROM ({_UNIT_PEAKS}) a JOIN (SELECT feature, p AS p2 FROM ({_P2})) b USING (feature)) GROUP BY unit HAVING stddev_pop(r1) > 0 AND stddev_pop(r2) > 0"
+
+
+@query(f"""WITH c AS MATERIALIZED ({_UNIT_R}), t AS ({Q._p_sql(f"SELECT 'all' AS scope, b, avg((CASE WHEN b = 0 OR {V.draw_sql(Q.SEED, 'b', 'unit')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * y) AS stat FROM c, {Q.BS} r GROUP BY b", "scope", two=False)})
+           SELECT scope, round(stat, 6) AS r, round(p, 6) AS p, (SELECT count(*) FROM c) AS units FROM t""")
+def peak_association_units(spark, d):
+    """Each unit's rank correlation of its own peaks with the other measure's, units without one left out: right-tailed sign flips over units."""
+    cells = V.read_table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.month("l_shipdate").alias("feature"), F.col("l_linenumber").alias("tp")).agg(F.avg("l_quantity").alias("stat"))
+    peaks = I.peak(cells, ["unit", "feature"]).withColumnRenamed("peak", "p1").join(month_peaks(spark, d, "l_discount", "p2"), "feature")
+    ranked = I.average_rank(I.average_rank(peaks, ["unit"], "p1", "r1"), ["unit"], "p2", "r2")
+    units = ranked.groupBy("unit").agg(correlation("r1", "r2").alias("y")).filter("y IS NOT NULL").withColumn("scope", F.lit("all"))
+    tests = I.rank_p(R.sign_flip(units, ["scope"], Q.B, Q.SEED, unit="unit"), ["scope"], tail="right")
+    return r6(tests.join(units.groupBy("scope").agg(F.count(F.lit(1)).alias("units")), "scope").withColumnRenamed("stat", "r"), "r", "p")
+
 
 @query(f"SELECT feature, stimulus, round(list_sum(x), 6) AS total, len(x) AS width FROM (SELECT 'all' AS feature, stimulus, list(value ORDER BY part, component) AS x FROM (SELECT stimulus, component, value, (component - 1) // 16 AS part FROM ({V.FEAT})) GROUP BY stimulus)")
 def feature_concat(spark, d):

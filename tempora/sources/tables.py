@@ -32,6 +32,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: it is made once and outlives executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_epochs(spark: SparkSession, path: str, **equal: object) -> DataFrame:
     """Epochs by modality, subject, split ...: equalities on partition columns prune folders."""
     return _where(spark.read.parquet(path), equal)

@@ -7,12 +7,13 @@ the similarity estimated from equal low bits, corrected for chance collisions, c
 ``MARGIN`` of the threshold, and are then confirmed on the full sets.
 
 A bucket never emits all its pairs.  It compares its members with its hub, the member that shares
-most buckets.  Members that this leaves in other components, if few, are compared with all members;
-where they are many, they are compared with the bucket's ``PIVOTS`` and one more of them after the
-other is a centre, for as long as this finds links.  What is then still apart goes through an exact
-join: two sets within the threshold share one of the first shingles of each, in any order that is
-common to all, and rare shingles come first.  Copies with equal sets, known by their size and two
-64-bit sums of their hashes, are one node from the start.
+most buckets, and in ``ROUNDS`` more rounds those still in other components with one more centre and
+with ``PIVOTS`` of its members.  What a bucket then still holds in different components is settled
+exactly: these documents, sorted so that related ones are neighbours, are packed into blocks of
+bounded size, and blocks that share such a bucket meet once.  A task compares the signatures and
+then the full sets of its two blocks and emits links only, one at most for two components, so that
+thousands of documents of one template give no table of pairs.  Copies with equal sets, known by
+their size and two 64-bit sums of their hashes, are one node from the start.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import bounded_broadcast, table, whole_batches, write_table
-from .components import merged
+from .components import contract, merged
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 BANDS, ROWS = 40, 4
@@ -34,14 +35,10 @@ HASHES = BANDS * ROWS
 BITS = 2
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 0.2
-#: Members outside the hub's component, up to which a bucket compares all of them with all members.
-STRAGGLERS = 16
-#: Members that others in a larger bucket are compared with.
-PIVOTS = 4
-#: Counters of the sketch that orders shingles by rarity; it decides what the exact join costs, not what it finds.
-SKETCH = 2**18
-#: Members of a shingle's list in one block of the exact join.
-BLOCK = 256
+#: Rounds of further centres, and members that others in a bucket are compared with in each.
+ROUNDS, PIVOTS = 1, 4
+#: Rows and bytes of sets of a block of documents that are still apart; a larger document is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 2 << 20
 #: Ids in a broadcast (8 bytes each) at most.
 BROADCAST_IDS = 2_000_000
 _FACTOR = (K.mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -164,49 +161,101 @@ def _new_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return write_table(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """How many of ``sets`` have a shingle of each hash remainder."""
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, degree, hub, id_root) of the buckets that hold members of different components."""
+    rooted = _with_roots(members, roots, "id")
+    mixed = rooted.groupBy("key").agg(F.min("id_root").alias("least"), F.max("id_root").alias("most")).filter("least < most").select("key")
+    return write_table(rooted.join(mixed, "key"), "open")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for x in batch.column(1):
-                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    out = np.zeros(SKETCH, np.int64)
-    found = sets.select("id", "shingles").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out
+def _signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(1)))
+        packed = [signature(x)[1].tobytes() if len(x) else bytes(8 * _WORDS) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), K.binary_rows(sets)], names=["id", "packed", "shingles"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, root, packed, shingles) in blocks: arrays of ids, roots and set sizes, and the bytes of all signatures and sets."""
+    held, size = [], 0
+
+    def block() -> pa.RecordBatch:
+        ids, roots, packed, sets = zip(*held)
+        columns = [pa.array([list(v)], pa.list_(pa.int64())) for v in (ids, roots, [len(x) // 8 for x in sets])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(packed)]), pa.array([b"".join(sets)])], names=["ids", "roots", "sizes", "packed", "shingles"])
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and (len(held) == BLOCK_ROWS or size + len(row[3]) > BLOCK_BYTES):
+                yield block()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3])
+    if held:
+        yield block()
+
+
+_BLOCK = "ids array<long>, roots array<long>, sizes array<long>, packed binary, shingles binary"
 
 
-def _prefix_pairs(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): every pair of different roots in ``ids`` (id, root) that can reach the threshold, and others."""
+class _Block:
+    def __init__(self, ids, roots, sizes, packed, shingles):
+        self.ids, self.roots, self.sizes = (v.values.to_numpy() for v in (ids, roots, sizes))
+        self.packed = np.frombuffer(packed.as_buffer(), np.uint64).reshape(len(self.ids), -1)
+        at = np.concatenate([[0], np.cumsum(self.sizes)])
+        data = np.frombuffer(shingles.as_buffer(), np.uint64)
+        self.sets = [data[s:e] for s, e in zip(at[:-1], at[1:])]
+
+
+def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """As :func:`estimated_similarity`, of one packed signature and many."""
+    same = ~(one ^ many)
+    equal = np.bitwise_count(same & (same >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+    return (equal / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) that join components of the two blocks of a row, each set of components once."""
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for r in range(len(batch)):
+            one, two = (_Block(*[batch.column(c)[r] for c in range(k, k + 5)]) for k in (0, 5))
+            own, where = np.unique(np.concatenate([one.roots, two.roots]), return_inverse=True)
+            root, at, other = np.arange(len(own)), where[: len(one.ids)], where[len(one.ids) :]
+            for i in range(len(one.ids)):
+                n, m = one.sizes[i], two.sizes
+                near = (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)) & (root[other] != root[at[i]])
+                near = np.flatnonzero(near)
+                guess = _estimates(one.packed[i], two.packed[near])
+                for j in near[np.argsort(-guess)][: int((guess >= NUMERATOR / DENOMINATOR - MARGIN).sum())]:
+                    if root[other[j]] == root[at[i]]:
+                        continue  # joined by a link found above
+                    shared = len(np.intersect1d(one.sets[i], two.sets[j], assume_unique=True))
+                    if DENOMINATOR * shared >= NUMERATOR * (n + m[j] - shared):
+                        links.append((int(one.ids[i]), int(two.ids[j])))
+                        root[root == root[other[j]]] = root[at[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def _apart_links(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components that members of a bucket in ``open_`` can be joined to within it."""
+    least = open_.groupBy("key").agg(F.min("id").alias("a"))
+    clusters = contract(open_.join(least, "key").select("a", F.col("id").alias("b")))
+    apart = open_.select("id", F.col("id_root").alias("root")).distinct()
+    ids = write_table(apart.join(clusters.select("id", F.col("root").alias("cluster")), "id"), "apart")
     found = docs.join(bounded_broadcast(ids.select(F.col("id").alias("doc_id")), ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = write_table(found.mapInArrow(_sets, "id long, shingles binary"), "apart-sets")
-    rarity = _rarity(sets)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                # At least 3/4 of the larger set is shared, so one of the first quarter and one more is.
-                first = len(x) - -(-NUMERATOR * len(x) // DENOMINATOR) + 1 if len(x) else 0
-                rows.append((len(x), x[np.lexsort((x, rarity[(x % np.uint64(SKETCH)).astype(np.int64)]))[:first]].view(np.int64)))
-            at = pa.array(np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]), pa.int64())
-            n, tokens = pa.array([r[0] for r in rows], pa.int64()), np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), n.take(at), pa.array(tokens, pa.int64())], names=["id", "n", "token"])
-
-    held = write_table(sets.mapInArrow(prefixes, "id long, n long, token long").join(ids, "id"), "prefixes")
-    lists = held.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    salts = F.ceil(F.col("size") / BLOCK)
-    held = held.join(lists.select("token", salts.alias("salts")), "token").withColumn("at", F.pmod(F.xxhash64("id"), "salts"))
-    left = held.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("of_a"), F.col("at").alias("at_a"), F.explode(F.sequence("at", F.col("salts") - 1)).alias("at_b"))
-    right = held.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("of_b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("at_a"))
-    met = left.join(right, ["token", "at_a", "at_b"]).filter("of_a <> of_b AND (at_a < at_b OR a < b)")
-    return met.filter(NUMERATOR * F.greatest("n_a", "n_b") <= DENOMINATOR * F.least("n_a", "n_b")).select("a", "b")
+    rows = found.mapInArrow(_signed_sets, "id long, packed binary, shingles binary").join(ids, "id")
+    rows = rows.repartitionByRange("cluster", "root", "id").sortWithinPartitions("cluster", "root", "id")
+    blocks = write_table(rows.select("id", "root", "packed", "shingles").mapInArrow(_blocks, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "apart-blocks")
+    held = blocks.select("block", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("roots").alias("root"))))
+    per = write_table(open_.select("key", "id").join(held, "id").groupBy("key", "block").agg(F.min("root").alias("least"), F.max("root").alias("most")), "bucket-blocks")
+    side = lambda end: per.select("key", F.col("block").alias(f"block_{end}"), F.col("least").alias(f"least_{end}"), F.col("most").alias(f"most_{end}"))
+    pairs = side("i").join(side("j"), "key").filter("block_i <= block_j AND NOT (least_i = most_i AND least_j = most_j AND least_i = least_j)")
+    pairs = write_table(pairs.select("block_i", "block_j").distinct(), "block-pairs")
+    names = ["ids", "roots", "sizes", "packed", "shingles"]
+    of = lambda end: blocks.select(F.col("block").alias(f"block_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in names])
+    met = pairs.join(of("i"), "block_i").join(of("j"), "block_j").select(*[f"{c}_{end}" for end in "ij" for c in names])
+    return write_table(met.mapInArrow(_met, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,29 +284,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = merged(None, ties.join(member_of, "doc_id").selectExpr("a", "id AS b"))
     tested = _new_pairs(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), None)
     roots = merged(roots, _links(tested, nodes, docs))
-    while True:
-        rooted = _with_roots(members, roots, "id", "hub").withColumn("apart", F.col("id_root") != F.col("hub_root"))
-        left = F.count_if("apart").alias("left"), F.max_by("id", F.when(F.col("apart"), F.struct("degree", -F.col("id")))).alias("centre")
-        open_ = write_table(rooted.join(rooted.groupBy("key").agg(*left).filter("left > 0"), "key"), "open")
-        few, many = open_.filter(F.col("left") <= STRAGGLERS), open_.filter(F.col("left") > STRAGGLERS)
-        pairs = few.filter("apart").select("key", F.col("id").alias("a"), F.col("id_root").alias("of_a"))
-        pairs = pairs.join(few.select("key", "hub", F.col("id").alias("b"), F.col("id_root").alias("of_b"), "apart"), "key").filter("of_a <> of_b AND b <> hub AND (NOT apart OR a < b)")
-        centres = _with_roots(many, roots, "centre").filter("id_root <> centre_root AND id <> hub").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        # Each bucket's best of PIVOTS random parts: members close to most others.
-        pivots = many.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.max_by(F.struct("id", "id_root"), F.struct("degree", -F.col("id"))).alias("p"))
-        tried = many.filter("apart").select("key", F.col("id").alias("b"), "id_root").join(pivots.select("key", F.col("p.id").alias("a"), F.col("p.id_root").alias("of_a")), "key").filter("of_a <> id_root")
-        new = _new_pairs(pairs.select("a", "b").unionByName(centres).unionByName(tried.select("a", "b")), tested)
-        links, tested = _links(new, nodes, docs), tested.unionByName(new)
-        roots = merged(roots, links)
-        # Buckets with few members apart are settled now; others go on with another centre while links turn up, and then join exactly.
-        members = many.filter("id <> centre").select("key", "id", "degree", "hub")
-        if members.isEmpty():
-            break
-        if links.isEmpty():
-            ids = _with_roots(members.select("id").distinct(), roots, "id").select("id", F.col("id_root").alias("root"))
-            new = _new_pairs(_prefix_pairs(write_table(ids, "apart"), docs), tested)
-            roots = merged(roots, _links(new, nodes, docs))
+    open_ = _open(members, roots)
+    for _ in range(ROUNDS):
+        if open_.isEmpty():
             break
+        hubs = _with_roots(open_, roots, "hub").withColumn("apart", F.col("id_root") != F.col("hub_root"))
+        centre = hubs.groupBy("key").agg(F.max_by(F.struct("id", "id_root"), F.when(F.col("apart"), F.struct("degree", -F.col("id")))).alias("c"))
+        centres = open_.join(centre, "key").filter("c IS NOT NULL AND id_root <> c.id_root").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
+        # Each bucket's best of PIVOTS random parts: members close to most others.
+        pivots = open_.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.max_by(F.struct("id", "id_root"), F.struct("degree", -F.col("id"))).alias("p"))
+        tried = hubs.filter("apart").select("key", F.col("id").alias("b"), "id_root").join(pivots.select("key", "p"), "key").filter("p.id_root <> id_root").select(F.col("p.id").alias("a"), "b")
+        new = _new_pairs(centres.unionByName(tried), tested)
+        tested = write_table(tested.unionByName(new), "tested")
+        roots = merged(roots, _links(new, nodes, docs))
+        members = members.join(centre.select("key", F.col("c.id").alias("centre")), "key", "left").withColumn("hub", F.coalesce("centre", "hub")).drop("centre")
+        members = write_table(members, "members")
+        open_ = _open(members, roots)
+    if not open_.isEmpty():
+        roots = merged(roots, _apart_links(open_, docs))
     found = member_of.join(roots.select("id", "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -176,3 +176,31 @@ def test_line_dedup_against_all_repeated_runs(spark, sf_dir):
     runs = repeated_runs([r["text"] for r in docs.collect()], 50)
     left = repeated_runs([r["text"] for r in line_dedup.dedup_lines(docs).collect()], 50)
     assert runs > 1000 and left <= 0.01 * runs
+
+
+def test_documents_of_one_template_make_few_pairs(spark, monkeypatch):
+    """600 documents that share 0.35 to 0.8 of a template's shingles: the components of all pairs, and few rows of pairs on the way."""
+    rng = random.Random(12)
+    base = words(150, rng)
+    docs = []
+    for d in range(600):
+        copy, edits = list(base), rng.choice([3, 4, 6, 8, 10, 12, 14])
+        for at in rng.sample(range(150), edits):
+            copy[at] = f"w{rng.randrange(10**9)}"
+        docs.append((d, " ".join(copy)))
+    made = []
+    kept = minhash_dedup.write_table
+
+    def counted(df, name):
+        out = kept(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "write_table", counted)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 100)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, docs)).collect()}
+    root = {i: c for i, (_, c) in brute_components(docs).items()}
+    assert got == root
+    assert len(set(root.values())) > 50
+    assert sum(n for name, n in made if name in ("pairs", "links")) < 20 * len(docs)
+    assert any(name == "apart-blocks" for name, _ in made)

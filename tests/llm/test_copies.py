@@ -202,5 +202,5 @@ def test_documents_of_one_template_make_few_pairs(spark, monkeypatch):
     root = {i: c for i, (_, c) in brute_components(docs).items()}
     assert got == root
     assert len(set(root.values())) > 50
-    assert sum(n for name, n in made if name in ("pairs", "links")) < 20 * len(docs)
+    assert sum(n for name, n in made if name in ("pairs", "links")) < 25 * len(docs)  # of 299 a document in all
     assert any(name == "apart-blocks" for name, _ in made)

@@ -31,8 +31,9 @@ ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 3, 4, 10
 LEAST_GENERATIONS = 3
 #: Shares of the donor's well-filled bins that a crossover injects.
 INJECTED = (0.3, 0.6)
-#: Of a shard's bins, those that are packed again with those of other shards.
-EMPTIEST = 2
+#: Of a shard's bins, those that are packed again with those of other shards: the emptiest, and others of any fill,
+#: whose small pieces let the rest come together.
+EMPTIEST, OTHERS = 2, 256
 _WORDS_KEPT = 700_000
 
 
@@ -171,6 +172,14 @@ class Packing:
             rooms[left].append(b)
         return self
 
+    def numbers(self) -> list[int]:
+        """The bin of each piece."""
+        out = [0] * len(self.lengths)
+        for number, bin_ in enumerate(self.bins):
+            for i in bin_:
+                out[i] = number
+        return out
+
     def without(self, dropped: set[int]) -> Packing:
         new = Packing.__new__(Packing)
         new.lengths, new.capacity = self.lengths, self.capacity
@@ -179,6 +188,14 @@ class Packing:
         return new
 
 
+def from_numbers(lengths: list[int], bins: list[int], capacity: int) -> Packing:
+    """The packing that has each piece in the bin of its number."""
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(bins):
+        groups.setdefault(b, []).append(i)
+    return Packing(lengths, list(groups.values()), capacity)
+
+
 def crossover(into: Packing, donor: Packing, share: float, rng: random.Random) -> Packing:
     """Inject a share of the donor's well-filled bins; remove the bins that they duplicate; best-fit what these displace."""
     capacity, where = into.capacity, {}
@@ -209,11 +226,7 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]],
     for bins in start:
         if max(bins) + 1 == bound:  # nothing is left to gain
             return bins, 0
-    for bins in start:
-        groups: dict[int, list[int]] = {}
-        for i, b in enumerate(bins):
-            groups.setdefault(b, []).append(i)
-        herd.append(Packing(lengths, list(groups.values()), capacity))
+    herd += [from_numbers(lengths, bins, capacity) for bins in start]
     while len(herd) < max(2, population):
         order = list(range(len(lengths)))
         rng.shuffle(order)
@@ -227,21 +240,28 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[int]],
         if child.quality() <= herd[-1].quality():
             herd[-1], crossed = child, crossed + 1
             herd.sort(key=Packing.quality)
-    out = [0] * len(lengths)
-    for number, bin_ in enumerate(herd[0].bins):
-        for i in bin_:
-            out[i] = number
-    return out, crossed
+    return herd[0].numbers(), crossed
+
+
+def largest_first(lengths: list[int], capacity: int) -> list[int]:
+    """The bin of each piece in the plain best fit of the pieces by falling length."""
+    return Packing(lengths, [], capacity).best_fit(sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True)).numbers()
 
 
 def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
-    """Evolve each island (shard, island, pieces, lengths, own, migrant, crossovers, migrants)."""
+    """Evolve each island (shard, island, pieces, lengths, own, migrant, crossovers, migrants).
+
+    In the last epoch the plain best fit competes, so that no island ends above it: of as many bins, those
+    win whose room stands together, as it can then be used by what other shards have left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 seed = (row["shard"] * ISLANDS + row["island"]) * EPOCHS + epoch
                 bins, crossed = evolve(row["lengths"], capacity, seed, [x for x in (row["own"], row["migrant"]) if x])
+                if epoch == EPOCHS - 1:
+                    bins = min((bins, largest_first(row["lengths"], capacity)), key=lambda b: from_numbers(row["lengths"], b, capacity).quality())
                 columns = [[row["shard"]], [row["island"]], [row["pieces"]], [row["lengths"]], [bins], [crossed + row["crossovers"]], [row["migrants"] + int(row["migrant"] is not None)]]
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "island", "pieces", "lengths", "bins", "crossovers", "migrants"])
@@ -280,8 +300,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD
         if shards == 1:
             done.append(filled.select("held"))
             break
-        rank, bins = F.row_number().over(Window.partitionBy("shard").orderBy("fill", "bin")), F.count(F.lit(1)).over(Window.partitionBy("shard"))
-        filled = write_table(filled.withColumn("again", rank <= F.least(F.lit(EMPTIEST), bins / 2)), "bins")
+        of, bins = Window.partitionBy("shard"), F.count(F.lit(1)).over(Window.partitionBy("shard"))  # SHARD_PIECES bins at most
+        least, any_ = F.row_number().over(of.orderBy("fill", "bin")), F.row_number().over(of.orderBy(F.xxhash64("shard", "bin"), "bin"))
+        again = (least <= F.least(F.lit(EMPTIEST), bins / 4)) | (any_ <= F.least(F.lit(OTHERS), bins / 4))
+        filled = write_table(filled.withColumn("again", again), "bins")
         done.append(filled.filter("NOT again").select("held"))
         loose = filled.filter("again").select(F.inline("held"))
     spots = F.expr("transform(held, (h, i) -> named_struct('item', h.item, 'offset', aggregate(slice(held, 1, i), 0L, (s, x) -> s + x.length)))")

@@ -12,17 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import table, whole_batches
+from .common import drop_table, table, whole_batches, write_table
 
 BUCKETS, DIMENSIONS = 1 << 17, 6
 #: Lengths in bytes of a word's n-grams, its two marks included.
 LENGTHS = (3, 4, 5, 6)
-#: Labelled rows of each class in the training sample at most; their texts are read whole.
-SAMPLE_PER_CLASS = 1000
+#: Labelled rows of each class in the training sample at most, and entries of all their bags (six bytes each on the driver); texts are read whole.
+SAMPLE_PER_CLASS, SAMPLE_ENTRIES = 1000, 40_000_000
 #: Words without any effect that every text has besides its own, so that a few words don't decide.
 NEUTRAL_WORDS = 20
 #: The weight of class 1 in training, whatever its share in the sample.
@@ -78,7 +78,7 @@ def text_bags(data: np.ndarray, bounds: np.ndarray) -> Iterator[Bag]:
     """The bags of a slice's texts."""
     words = K.words_of(data, bounds)
     if not len(words.doc):
-        yield from [(np.zeros(0, np.int32), np.zeros(0, np.float16), 0)] * (len(bounds) - 1)
+        yield from [(np.zeros(0, np.int32), np.zeros(0, np.float32), 0)] * (len(bounds) - 1)
         return
     padded, start, which = distinct_words(words)
     word, bucket = word_grams(padded, start)
@@ -93,7 +93,7 @@ def text_bags(data: np.ndarray, bounds: np.ndarray) -> Iterator[Bag]:
     value = np.bincount(inverse, np.repeat(times / many, many), len(key)) / (counted[key // BUCKETS] + NEUTRAL_WORDS)
     edges = np.searchsorted(key, np.arange(len(bounds)) * BUCKETS)
     for d, (a, b) in enumerate(zip(edges, edges[1:])):
-        yield (key[a:b] % BUCKETS).astype(np.int32), value[a:b].astype(np.float16), int(counted[d])
+        yield (key[a:b] % BUCKETS).astype(np.int32), value[a:b].astype(np.float32), int(counted[d])
 
 
 class SubwordSoftmax:
@@ -105,7 +105,7 @@ class SubwordSoftmax:
         self.weights, self.bias, self.gain = rng.normal(0, 1, (DIMENSIONS, 2)), np.zeros(2), 1.0
 
     def fit(self, bags: list[Bag], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> SubwordSoftmax:
-        """Adaptive gradient descent on mini-batches of whole texts' bags."""
+        """Adaptive gradient descent on mini-batches of whole texts' bags, which hold the roots of their shares."""
         ids, shares, lengths = zip(*bags) if bags else ((), (), ())
         y, used = np.array(labels), [i for i, x in enumerate(ids) if len(x)]
         if not used:
@@ -119,7 +119,7 @@ class SubwordSoftmax:
             for k in range(0, len(order), BATCH):
                 batch = order[k : k + BATCH]
                 sizes = np.array([len(ids[i]) for i in batch])
-                bucket, part = np.concatenate([ids[i] for i in batch]), np.concatenate([shares[i] for i in batch]).astype(np.float64)
+                bucket, part = np.concatenate([ids[i] for i in batch]), np.concatenate([shares[i] for i in batch]).astype(np.float64) ** 2
                 mean = np.add.reduceat(self.vectors[bucket] * part[:, None], np.cumsum(sizes) - sizes, axis=0) * self.gain
                 logits = mean @ self.weights + self.bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -151,10 +151,11 @@ def text_logits(texts: pa.Array, buckets: np.ndarray, bias: float) -> np.ndarray
     return np.concatenate(out)
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[Bag, int]]:
+def training_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, entries: int = SAMPLE_ENTRIES) -> list[tuple[Bag, int]]:
     """The bags of whole texts of a sample bounded by ``per_class`` of the labelled rows outside the held-out fold, by a hash of the id.
 
-    Tasks turn the texts into bags of at most ``BUCKETS`` entries; only these reach the driver.
+    Tasks turn the texts into bags of at most ``BUCKETS`` entries; only these reach the driver, and of
+    each class, in the same order, as many as fit into half of ``entries`` (one at least).
     """
     known = labels.filter("toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(SEED))
@@ -166,15 +167,20 @@ def training_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [x for slice_ in K.text_slices(batch.column(2)) for x in text_bags(*slice_[2:])]
-            columns = [K.binary_rows([b[k] for b in bags]) for k in (0, 1)]  # six bytes an entry, as the driver holds them all
+            # Six bytes an entry, as the driver holds them all: roots of shares, so that small ones of long texts keep their digits.
+            columns = [K.binary_rows([b[0] for b in bags]), K.binary_rows([np.sqrt(b[1]).astype(np.float16) for b in bags])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *columns, pa.array([b[2] for b in bags], pa.int64())], names=["doc_id", "toxic", "ids", "shares", "words"])
 
-    found = rows.mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary, words long").toArrow()  # at most 2 * per_class rows
+    bags = write_table(rows.mapInArrow(bagged, "doc_id long, toxic int, ids binary, shares binary, words long"), "bags")  # at most 2 * per_class rows
+    ranked = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = bags.select("doc_id", "toxic", F.sum(F.octet_length("ids") / 4).over(ranked).alias("upto"), F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")).alias("rn")).filter((F.col("upto") <= entries / 2) | (F.col("rn") == 1))
+    found = bags.join(F.broadcast(fits.select("doc_id", "toxic")), ["doc_id", "toxic"]).toArrow()
     rows_ = [
         (doc_id, toxic, (np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(shares.as_buffer(), np.float16), n))
         for batch in found.to_batches()
         for doc_id, toxic, ids, shares, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist())
     ]
+    drop_table(bags)
     return [(bag, toxic) for _, toxic, bag in sorted(rows_, key=lambda r: r[:2])]
 
 

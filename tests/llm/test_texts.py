@@ -413,3 +413,32 @@ def test_pipeline_stages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+
+
+def test_long_texts_keep_their_small_shares():
+    """A word that stands once in three million still has its share, to a thousandth of it."""
+    data = np.frombuffer(b"common words " * 1_500_000 + b"zyzzyva", np.uint8)
+    (ids, shares, words), = toxicity.text_bags(data, np.array([0, len(data)]))
+    (rare, _, _), = toxicity.text_bags(data[-7:], np.array([0, 7]))
+    got = dict(zip(ids.tolist(), np.sqrt(shares).astype(np.float16).astype(float) ** 2))  # as tasks send them
+    assert words == 3_000_001 and len(rare) > 5
+    assert all(abs(got[k] * len(rare) * (words + toxicity.NEUTRAL_WORDS) - 1) < 2e-3 for k in rare.tolist())
+
+
+def test_training_sample_is_bounded_by_entries(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for k in range(60)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    whole = toxicity.training_bags(docs, labels)
+    each = max(len(b[0]) for b, _ in whole)
+    few = toxicity.training_bags(docs, labels, entries=10 * each)
+    assert len(whole) == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(60))
+    assert all(5 <= sum(y == k for _, y in few) < 10 for k in (0, 1)) and len(toxicity.training_bags(docs, labels, entries=1)) == 2
+
+
+def test_packing_needs_no_more_than_plain_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pack(docs).select("length", "sequence_id").toPandas()
+    loose = rows.length[rows.length < packing.CAPACITY].tolist()
+    plain = max(packing.largest_first(loose, packing.CAPACITY)) + 1 + int((rows.length == packing.CAPACITY).sum())
+    assert rows.sequence_id.nunique() <= plain

@@ -101,6 +101,46 @@ def nested_scores(rows: DataFrame, keys: list[str], x: str, y: str, blocks: dict
     return dealt.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "model string, alpha double, target int, rmse double, corr double, r2 double")
 
 
+def excluded_scores(rows: DataFrame, keys: list[str], category: str, x: str, y: str, alphas: np.ndarray | None = None, criterion: str = "rmse") -> DataFrame:
+    """(keys, without, alpha, target, rmse, corr, r2): test scores of models refitted without each category, and (null) of the whole.
+
+    ``rows`` are (keys, split, category, x, y).  A group's rows meet once, as sums of products by split and
+    category; what a category adds is taken off the whole, in training and test rows, so that
+    no category costs a pass of its own.  The alpha is the whole's, chosen on all validation rows.
+    A category that leaves no training or test rows gives nothing; rows of a null category are in every model.
+    """
+    grid = L.alpha_grid() if alphas is None else np.asarray(alphas)
+    sums = L.moments(rows.filter(F.col("split").isin(*SPLITS)), [*keys, "split", category], x, y)
+    parts = sums.groupBy(*keys).agg(F.max("d").alias("d"), F.max("q").alias("q"), F.collect_list(F.struct("split", F.col(category).alias("c"), "n", "sums")).alias("parts"))  # a row for each split and category
+    kinds, kind = dict(parts.dtypes), dict(rows.dtypes)[category]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                whole: dict[str, list] = {s: [0, 0.0] for s in SPLITS}
+                of: dict[tuple, tuple] = {}
+                for part in row["parts"]:
+                    z = np.asarray(part["sums"])
+                    whole[part["split"]][0] += part["n"]
+                    whole[part["split"]][1] = whole[part["split"]][1] + z
+                    of[part["split"], part["c"]] = (part["n"], z)
+                if not all(n for n, _ in whole.values()):
+                    continue
+                split = {s: L.split_moments(row["d"], row["q"], z) for s, (_, z) in whole.items()}
+                tried = [L.scores(b, whole["val"][0], *split["val"]) for b in L.ridge(*split["train"][:2], grid)]
+                loss = [np.mean(rmse) if criterion == "rmse" else -np.mean(corr) for rmse, corr, _ in tried]
+                alpha = grid[[int(np.argmin(np.round(np.nan_to_num(loss, nan=np.inf), 9)))]]
+                for c in [None, *sorted({c for _, c in of if c is not None})]:
+                    less = {s: [whole[s][k] - (of.get((s, c), (0, 0.0))[k] if c is not None else 0) for k in (0, 1)] for s in ("train", "test")}
+                    if not (less["train"][0] and less["test"][0]):
+                        continue
+                    train, test = (L.split_moments(row["d"], row["q"], less[s][1]) for s in ("train", "test"))
+                    rmse, corr, r2 = (np.where(np.isfinite(v), v, None) for v in L.scores(L.ridge(*train[:2], alpha)[0], less["test"][0], *test))
+                    yield pd.DataFrame({**{k: row[k] for k in keys}, "without": pd.Series([c] * row["q"], dtype=object), "alpha": alpha[0], "target": np.arange(row["q"], dtype=np.int32), "rmse": rmse, "corr": corr, "r2": r2})
+
+    return parts.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"without {kind}, alpha double, target int, rmse double, corr double, r2 double")
+
+
 def partition_scores(parts: DataFrame, whole: DataFrame, keys: list[str], unique: bool = True) -> DataFrame:
     """Unique (or added) variance of each part: the closest scores that satisfy full >= part (or part >= base), in closed form.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tempora.operators import encoding as E
 from tempora.operators import inference as I
 from tempora.operators import linear as L
 from tempora.operators import nested as N
 from tempora.operators import resample as R
+from tempora.operators import scenarios as C
 from tempora.plans import inference_queries as Q
 from tempora.plans import views as V
 from tempora.plans.registry import registry
@@ -41,22 +43,30 @@ _SIZE = len(WIDTHS) + 1
 _X = ", ".join(f"list_sum(x[{b[0] + 1}:{b[-1] + 1}]) / {len(b)}" for b in BLOCKS.values())
 _OF = ", ".join(f"('{m}', {sorted([list(WIDTHS).index(f) + 1 for f in fs] + [_SIZE])})" for m, fs in MODELS.items())
 _PIVOT = "OVER (PARTITION BY model, alpha, subject{})"
-#: Every model solved for itself by Gauss-Jordan steps, its alpha by validation error, and its test scores.
-_SCORES = f"""(WITH RECURSIVE r AS MATERIALIZED (SELECT class AS subject, stimulus, split, [{_X}, 1.0] AS x, x[33:64] AS y FROM ({V.VECTORS})),
-    z AS (SELECT subject, stimulus, unnest(range(1, {_SIZE + 33})) AS k, unnest(list_concat(x, y)) AS v FROM r WHERE split = 'train'),
-    g AS MATERIALIZED (SELECT a.subject, a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM z a JOIN z b USING (subject, stimulus) WHERE a.k <= {_SIZE} GROUP BY ALL),
-    m(model, cols) AS (VALUES {_OF}), al AS (SELECT unnest([{", ".join(repr(float(a)) for a in L.alpha_grid())}]) AS alpha),
-    s AS (SELECT 0 AS step, model, cols, alpha, subject, i, j, s + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM g, m, al WHERE list_contains(cols, i) AND (j > {_SIZE} OR list_contains(cols, j))
+_FIT_OF = "SELECT model, alpha, subject, target, stimulus, sum(x[i] * v) AS fit, any_value(y[target]) AS y FROM b JOIN {}r USING (subject) WHERE split = '{}' GROUP BY ALL"
+
+
+def _solved_sql(rows: str, of: str, size: int, targets: int, which: str = "TRUE") -> str:
+    """Common tables r (subject, stimulus, split, x with a last 1, y) and b (model, alpha, subject, i, target, v): every model solved for itself by Gauss-Jordan steps."""
+    return f"""r AS MATERIALIZED ({rows}),
+    z AS (SELECT subject, stimulus, unnest(range(1, {size + targets + 1})) AS k, unnest(list_concat(x, y)) AS v FROM r WHERE split = 'train'),
+    g AS MATERIALIZED (SELECT a.subject, a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM z a JOIN z b USING (subject, stimulus) WHERE a.k <= {size} GROUP BY ALL),
+    m(model, cols) AS (VALUES {of}), al AS (SELECT unnest([{", ".join(repr(float(a)) for a in L.alpha_grid())}]) AS alpha),
+    s AS (SELECT 0 AS step, model, cols, alpha, subject, i, j, s + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM g, m, al WHERE {which} AND list_contains(cols, i) AND (j > {size} OR list_contains(cols, j))
           UNION ALL
           SELECT step + 1, model, cols, alpha, subject, i, j, CASE WHEN i = p THEN prow / pp ELSE v - pcol * prow / pp END FROM (
             SELECT *, max(CASE WHEN i = p THEN v END) {_PIVOT.format(', j')} AS prow, max(CASE WHEN j = p THEN v END) {_PIVOT.format(', i')} AS pcol, max(CASE WHEN i = p AND j = p THEN v END) {_PIVOT.format('')} AS pp
             FROM (SELECT *, cols[step + 1] AS p FROM s WHERE step < len(cols)))),
-    b AS MATERIALIZED (SELECT model, alpha, subject, i, j - {_SIZE} AS target, v FROM s WHERE step = len(cols) AND j > {_SIZE}),
-    v AS (SELECT model, alpha, subject, target, sqrt(avg((y - fit) ** 2)) AS rmse FROM (
-            SELECT model, alpha, subject, target, stimulus, sum(x[i] * v) AS fit, any_value(y[target]) AS y FROM b JOIN r USING (subject) WHERE split = 'val' GROUP BY ALL) GROUP BY ALL),
-    a AS (SELECT model, alpha, subject FROM (SELECT model, alpha, subject, round(avg(rmse), 9) AS rmse FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model, subject ORDER BY rmse, alpha) = 1),
-    t AS (SELECT model, alpha, subject, target, stimulus, sum(x[i] * v) AS fit, any_value(y[target]) AS y FROM b JOIN a USING (model, alpha, subject) JOIN r USING (subject) WHERE split = 'test' GROUP BY ALL)
-    SELECT subject, model, alpha, ((target - 1) // 4)::INT AS tp, ((target - 1) % 4)::INT AS channel, corr(y, fit) AS corr, 1 - sum((y - fit) ** 2) / (var_pop(y) * count(*)) AS r2 FROM t GROUP BY ALL)"""
+    b AS MATERIALIZED (SELECT model, alpha, subject, i, j - {size} AS target, v FROM s WHERE step = len(cols) AND j > {size})"""
+
+
+#: The alpha of the least validation error of each model and subject.
+_CHOSEN = f"""v AS (SELECT model, alpha, subject, target, sqrt(avg((y - fit) ** 2)) AS rmse FROM ({_FIT_OF.format('', 'val')}) GROUP BY ALL),
+    a AS (SELECT model, alpha, subject FROM (SELECT model, alpha, subject, round(avg(rmse), 9) AS rmse FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model, subject ORDER BY rmse, alpha) = 1)"""
+_TEST = "corr(y, fit) AS corr, 1 - sum((y - fit) ** 2) / (var_pop(y) * count(*)) AS r2"
+_ROWS = f"SELECT class AS subject, stimulus, split, [{_X}, 1.0] AS x, x[33:64] AS y FROM ({V.VECTORS})"
+_SCORES = f"""(WITH RECURSIVE {_solved_sql(_ROWS, _OF, _SIZE, 32)}, {_CHOSEN}, t AS ({_FIT_OF.format('a USING (model, alpha, subject) JOIN ', 'test')})
+    SELECT subject, model, alpha, ((target - 1) // 4)::INT AS tp, ((target - 1) % 4)::INT AS channel, {_TEST} FROM t GROUP BY ALL)"""
 
 
 @query(f"SELECT subject, model, tp, alpha, round(avg(corr), 6) AS y, round(avg(r2), 6) AS r2 FROM {_SCORES} GROUP BY subject, model, tp, alpha")
@@ -115,3 +125,47 @@ def unique_variance_test(spark, d):
 def added_variance_test(spark, d):
     """What two baseline features gain with each other one, with its test and interval over subjects."""
     return _tested(_alone(spark, d, unique=False))
+
+
+#: Stimuli of a subject fall into so many categories, by their number.
+CATEGORIES = 5
+_WITHOUT = f"SELECT class || '|' || w AS subject, stimulus, split, [{_X}, 1.0] AS x, x[33:64] AS y FROM ({V.VECTORS}), (SELECT unnest(range(0, {CATEGORIES + 1})) AS w) WHERE stimulus % {CATEGORIES} <> w"
+
+
+@query(f"""WITH RECURSIVE {_solved_sql(_WITHOUT, f"('full', {list(range(1, _SIZE + 1))})", _SIZE, 32)}, {_CHOSEN},
+           o AS (SELECT split_part(subject, '|', 1) AS own, alpha FROM a WHERE split_part(subject, '|', 2) = '{CATEGORIES}'),
+           t AS ({_FIT_OF.format("o ON split_part(b.subject, '|', 1) = own AND b.alpha = o.alpha JOIN ", 'test').replace('model, alpha, subject', 'model, b.alpha, subject', 1)}),
+           c AS (SELECT split_part(subject, '|', 1)::INT AS subject, split_part(subject, '|', 2)::INT AS without, alpha, (target - 1) // 4 AS tp, {_TEST} FROM t GROUP BY subject, alpha, target)
+           SELECT subject, CASE WHEN without < {CATEGORIES} THEN without END AS without, alpha, tp::INT AS tp, round(avg(corr), 6) AS y, round(avg(r2), 6) AS r2 FROM c GROUP BY ALL""")
+def excluded_categories(spark, d):
+    """The encoding chain refitted without each category of stimuli, all of them from one table of moments by category."""
+    stimuli = V.v_vectors(spark, d)
+    mean = lambda b: L.dot(F.slice("x", b[0] + 1, len(b)), F.array_repeat(F.lit(1.0 / len(b)), len(b)))
+    rows = stimuli.select(F.col("class").alias("subject"), "split", (F.col("stimulus") % CATEGORIES).cast("int").alias("category"), F.array(*[mean(b) for b in BLOCKS.values()]).alias("x"), F.slice("x", 33, 32).alias("y"))
+    scores = N.excluded_scores(rows, ["subject"], "category", "x", "y").withColumn("tp", F.floor(F.col("target") / 4).cast("int"))
+    return r6(scores.groupBy("subject", "without", "alpha", "tp").agg(F.avg("corr").alias("y"), F.avg("r2").alias("r2")), "y", "r2")
+
+
+#: Months are the frames of a supplier, line numbers its components, return flags the channels.
+SWEEP = [C.Scenario("all frames", 1, 12), C.Scenario("first half", 1, 6), C.Scenario("second half", 7, 12), C.Scenario("middle, four components", 4, 9, (1, 2, 3, 4))]
+_SWEPT_OF = ", ".join(f"('{s.name}', {[*(s.components or range(1, 8)), 8]})" for s in SWEEP)
+_SWEPT_ROWS = f"""WITH p AS (SELECT l_suppkey AS stimulus, l_linenumber AS k, month(l_shipdate) AS f, l_quantity::DOUBLE AS v FROM lineitem),
+    sc(scenario, lo, hi) AS (VALUES {', '.join(f"('{s.name}', {s.first_frame}, {s.last_frame})" for s in SWEEP)}),
+    x AS (SELECT scenario, stimulus, map_from_entries(list((k, m))) AS by_k FROM (SELECT scenario, stimulus, k, avg(v) AS m FROM p JOIN sc ON f BETWEEN lo AND hi GROUP BY ALL) GROUP BY ALL),
+    w AS (SELECT scenario, stimulus, [by_k[1], by_k[2], by_k[3], by_k[4], by_k[5], by_k[6], by_k[7], 1.0] AS x FROM x),
+    y AS (SELECT l_suppkey AS stimulus, [avg(l_discount * 100) FILTER (WHERE l_returnflag = 'A'), avg(l_discount * 100) FILTER (WHERE l_returnflag = 'N'), avg(l_discount * 100) FILTER (WHERE l_returnflag = 'R')]::DOUBLE[] AS y FROM lineitem GROUP BY ALL)
+    SELECT scenario AS subject, stimulus, CASE WHEN stimulus % 4 <= 1 THEN 'train' WHEN stimulus % 4 = 2 THEN 'val' ELSE 'test' END AS split, x, y FROM w JOIN y USING (stimulus)"""
+
+
+@query(f"""WITH RECURSIVE {_solved_sql(_SWEPT_ROWS, _SWEPT_OF, 8, 3, 'model = subject')}, {_CHOSEN}, t AS ({_FIT_OF.format('a USING (model, alpha, subject) JOIN ', 'test')})
+           SELECT model AS scenario, alpha, (target - 1)::INT AS channel, round(sqrt(avg((y - fit) ** 2)), 6) AS rmse, round(corr(y, fit), 6) AS corr FROM t GROUP BY ALL""")
+def scenario_encoding(spark, d):
+    """Scenarios of other frames and components, each with its own regressors and alpha, from one scan of the frames."""
+    lines = V.read_table(spark, d, "lineitem")
+    frames = lines.select(F.col("l_suppkey").alias("stimulus"), F.month("l_shipdate").alias("frame"), F.col("l_linenumber").alias("component"), F.col("l_quantity").cast("double").alias("value"))
+    flag = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_discount") * 100)).cast("double")
+    y = lines.groupBy(F.col("l_suppkey").alias("stimulus")).agg(F.array(*[flag(f) for f in "ANR"]).alias("y"))
+    m = F.col("stimulus") % 4
+    rows = C.framed(frames, SWEEP, "stimulus").join(y, "stimulus").withColumn("split", F.when(m <= 1, "train").when(m == 2, "val").otherwise("test"))
+    scores = E.encoded(rows, ["scenario"], "x", "y")
+    return r6(scores.select("scenario", "alpha", (F.col("target") - 1).alias("channel"), "rmse", "corr"), "rmse", "corr")

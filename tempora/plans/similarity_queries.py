@@ -46,22 +46,21 @@ _HALF = "SELECT stimulus, component, (value - avg(value) OVER w) / sqrt(var_pop(
 
 
 def _half_rdms(spark, d):
-    v = _vectors(spark, d)
-    return [S.rdm(v.select("stimulus", F.slice("x", at, 32).alias("x")), "stimulus", "x") for at in (1, 33)]
+    """(i, j, a, b): the dissimilarities of both halves of the components, from one pass over pairs of blocks."""
+    halves = _vectors(spark, d).select("stimulus", F.slice("x", 1, 32).alias("one"), F.slice("x", 33, 32).alias("two"))
+    return S.rdms(halves, "stimulus", {"a": "one", "b": "two"})
 
 
 @query(f"""WITH a AS ({_RDM.format(_HALF.format(_LONG, '<='))}), b AS ({_RDM.format(_HALF.format(_LONG, '>'))}),
            r AS (SELECT rank() OVER (ORDER BY round(a.d, 9)) + (count(*) OVER (PARTITION BY round(a.d, 9)) - 1) / 2.0 AS x, rank() OVER (ORDER BY round(b.d, 9)) + (count(*) OVER (PARTITION BY round(b.d, 9)) - 1) / 2.0 AS y FROM a JOIN b USING (i, j))
            SELECT round(corr(x, y), 6) AS similarity FROM r""")
 def rsa(spark, d):
-    one, two = _half_rdms(spark, d)
-    return r6(S.rsa(one, two), "similarity")
+    return r6(S.rsa_of(_half_rdms(spark, d)), "similarity")
 
 
 @query(f"WITH a AS ({_RDM.format(_HALF.format(_LONG, '<='))}), b AS ({_RDM.format(_HALF.format(_LONG, '>'))}) SELECT round(corr(a.d, b.d), 6) AS similarity FROM a JOIN b USING (i, j)")
 def rsa_pearson(spark, d):
-    one, two = _half_rdms(spark, d)
-    return r6(S.rsa(one, two, "pearson"), "similarity")
+    return r6(S.rsa_of(_half_rdms(spark, d), "pearson"), "similarity")
 
 
 _CKA = f"""WITH f AS ({V.FEAT}), n AS (SELECT count(DISTINCT stimulus) AS n FROM f),
@@ -313,5 +312,4 @@ def loo_sets(spark, d):
 @query()
 def rsa_kendall(spark, d):
     """Kendall's tau-b of the two halves' dissimilarities, over every pair of stimuli."""
-    one, two = _half_rdms(spark, d)
-    return spark.createDataFrame([(round(S.kendall(one, two), 6),)], "similarity double")
+    return spark.createDataFrame([(round(S.kendall_of(_half_rdms(spark, d)), 6),)], "similarity double")

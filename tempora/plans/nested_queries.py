@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.operators import encoding as E
+from tempora.operators import events as M
 from tempora.operators import inference as I
 from tempora.operators import linear as L
 from tempora.operators import nested as N
 from tempora.operators import resample as R
 from tempora.operators import scenarios as C
 from tempora.plans import inference_queries as Q
+from tempora.plans import similarity_queries as S
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
@@ -169,3 +171,24 @@ def scenario_encoding(spark, d):
     rows = C.framed(frames, SWEEP, "stimulus").join(y, "stimulus").withColumn("split", F.when(m <= 1, "train").when(m == 2, "val").otherwise("test"))
     scores = E.encoded(rows, ["scenario"], "x", "y")
     return r6(scores.select("scenario", "alpha", (F.col("target") - 1).alias("channel"), "rmse", "corr"), "rmse", "corr")
+
+
+_CEILING = f"SELECT ((component - 33) // 4)::INT AS tp, round(avg(lower), 6) AS lower, round(avg(upper), 6) AS upper FROM ({S.ORACLE_SQL['noise_ceiling']}) WHERE component > 32 GROUP BY 1"
+_CURVES = f"SELECT subject, model, tp, avg(corr) AS y FROM {_SCORES} GROUP BY ALL"
+_FLIPS = f"SELECT b, model, tp, avg((CASE WHEN b = 0 OR {V.draw_sql(Q.SEED, 'b', 'subject')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * y) AS stat FROM c, {Q.BS} r GROUP BY ALL"
+_BOOT = f"SELECT model, b, tp, sum(w * y) / sum(w) AS stat FROM ({Q._boot_sql('SELECT DISTINCT subject FROM c', '', 'subject')}) w JOIN c USING (subject) GROUP BY ALL"
+
+
+@query(f"""WITH c AS MATERIALIZED ({_CURVES}), t AS ({Q._bh_sql(Q._p_sql(_FLIPS, "model, tp"), family="model", cols="model, tp")})
+           SELECT model, tp, -400 + 20 * tp AS ms, round(y, 6) AS y, lo, hi, p_adj, rejected, lower, upper FROM (SELECT model, tp, avg(y) AS y FROM c GROUP BY ALL) JOIN (SELECT model, tp, p_adj, rejected FROM t) USING (model, tp)
+           JOIN ({Q._ci_sql(_BOOT, "model, tp", "stat")}) USING (model, tp) JOIN ({_CEILING}) USING (tp) WHERE tp >= 1""")
+def report_models(spark, d):
+    """A report row for each model and timepoint: curve, interval, test, and the noise ceiling of the responses' split halves."""
+    curve, keys = _scored(spark, d).groupBy("subject", "model", "tp").agg(F.avg("corr").alias("y")), ["model", "tp"]
+    mean = curve.groupBy(*keys).agg(F.round(F.avg("y"), 6).alias("y")).select(*keys, M.milliseconds(F.col("tp")).alias("ms"), "y")
+    tests = r6(I.bh_fdr(I.rank_p(R.sign_flip(curve, keys, Q.B, Q.SEED), keys), ["model"]), "p_adj").select(*keys, "p_adj", "rejected")
+    bounds = r6(I.interval(R.bootstrap_mean(curve, keys, Q.B, Q.SEED), keys, "stat"), "lo", "hi").select(*keys, "lo", "hi")
+    ceiling = S.noise_ceiling(spark, d).filter("component > 32").groupBy(F.floor((F.col("component") - 33) / 4).cast("int").alias("tp"))
+    ceiling = r6(ceiling.agg(F.avg("lower").alias("lower"), F.avg("upper").alias("upper")), "lower", "upper")
+    rows = C.report(mean, bounds, tests, mean.select(*keys).join(ceiling, "tp"), keys, first_tp=1)
+    return rows.select(*keys, "ms", "y", "lo", "hi", "p_adj", "rejected", "lower", "upper")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tempora.operators import decode as D
 from tempora.operators import linear as L
 from tempora.operators import nested as N
+from tempora.operators import scenarios as C
 from tempora.plans import model_queries as M
 from tempora.plans import nested_queries as Q
 
@@ -122,3 +123,47 @@ def test_ragged_conditions_use_what_they_share(spark):
     with pytest.raises(Exception, match="more than one row"):
         D.decode_svm(spark.createDataFrame([*full, full[0]], schema), "c", "b", "tp", "x", ["subject"]).collect()
     assert D.decode_svm(spark.createDataFrame(full, schema).filter(F.lit(False)), "c", "b", "tp", "x").count() == 0
+
+
+def test_models_without_a_category_equal_refits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, ("train", "val", "test")[k % 3], None if k % 7 == 6 else "abc"[k % 7 % 3], rng.normal(size=3).tolist(), rng.normal(size=2).tolist()) for s in (1, 2) for k in range(120)]
+    rows += [(3, "train", "a", [1.0, 2.0, 3.0], [1.0, 2.0])]  # no test rows
+    df = spark.createDataFrame(rows, "subject int, split string, category string, x array<double>, y array<double>").repartition(3)
+    alphas = np.array([0.1, 10.0])
+    got = {(r["subject"], r["without"], r["target"]): r for r in N.excluded_scores(df, ["subject"], "category", "x", "y", alphas).collect()}
+    assert len(got) == 2 * 4 * 2
+    for s in (1, 2):
+        of = lambda split, c: [(np.array([*r[3], 1.0]), np.array(r[4])) for r in rows if r[0] == s and r[1] == split and (c is None or r[2] != c)]  # noqa: E731, B023
+
+        def fit(c, alpha):
+            x, y = map(np.array, zip(*of("train", c)))
+            return np.linalg.solve(x.T @ x + alpha * np.eye(4), x.T @ y)
+
+        x, y = map(np.array, zip(*of("val", None)))
+        alpha = alphas[np.argmin([np.sqrt(((y - x @ fit(None, a)) ** 2).mean(axis=0)).mean() for a in alphas])]
+        for c in (None, "a", "b", "c"):
+            x, y = map(np.array, zip(*of("test", c)))
+            fitted = x @ fit(c, alpha)
+            for t in range(2):
+                r = got[s, c, t]
+                assert r["alpha"] == alpha and np.isclose(r["rmse"], np.sqrt(((y - fitted) ** 2).mean(axis=0))[t]) and np.isclose(r["corr"], np.corrcoef(y[:, t], fitted[:, t])[0, 1])
+
+
+def test_ranges_of_frames_are_two_look_ups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, f, c, None if rng.random() < 0.1 else float(rng.normal())) for s in range(6) for f in range(1, 9) for c in (1, 2, 3) if rng.random() < 0.8 and not (s == 5 and c == 3)]
+    df = spark.createDataFrame([*rows, rows[0]], "stimulus int, frame int, component int, value double").repartition(3)
+    sweep = [C.Scenario("all", 1, 8), C.Scenario("late", 5, 7, (1, 2)), C.Scenario("none", 20, 30)]
+    got = {(r["scenario"], r["stimulus"]): r["x"] for r in C.framed(df, sweep, "stimulus").collect()}
+    want = {}
+    for s in sweep:
+        for stimulus in range(6):
+            means = []
+            for c in s.components or (1, 2, 3):
+                values = [r[3] for r in [*rows, rows[0]] if r[0] == stimulus and r[2] == c and s.first_frame <= r[1] <= s.last_frame and r[3] is not None]
+                means += [sum(values) / len(values)] if values else []
+            if len(means) == len(s.components or (1, 2, 3)):
+                want[s.name, stimulus] = means
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    assert ("all", 5) not in got and ("late", 5) in got and not any(k[0] == "none" for k in got)

@@ -192,3 +192,49 @@ def report_models(spark, d):
     ceiling = r6(ceiling.agg(F.avg("lower").alias("lower"), F.avg("upper").alias("upper")), "lower", "upper")
     rows = C.report(mean, bounds, tests, mean.select(*keys).join(ceiling, "tp"), keys, first_tp=1)
     return rows.select(*keys, "ms", "y", "lo", "hi", "p_adj", "rejected", "lower", "upper")
+
+
+#: Two modalities (or layers): four features of four components each, from 1 to 16 and from 17 to 32.
+_FOURS = {"one": 1, "two": 17}
+_OF_FOUR = f"('chain', {list(range(1, 6))})"
+
+
+def _four(first):
+    mean = lambda at: L.dot(F.slice("x", at, 4), F.array_repeat(F.lit(0.25), 4))
+    return F.array(*[mean(first + 4 * k) for k in range(4)])
+
+
+def _four_sql(first: int) -> str:
+    return "[" + ", ".join(f"list_sum(x[{first + 4 * k}:{first + 4 * k + 3}]) / 4" for k in range(4)) + ", 1.0]"
+
+
+def _chained(spark, d, fitted, tested):
+    """(subject, tp, alpha, y, r2): alphas and fits with one side's features, test scores with another's."""
+    rows = V.v_vectors(spark, d)
+    x = F.when(F.col("split") == "test", _four(_FOURS[tested])).otherwise(_four(_FOURS[fitted]))
+    scores = E.encoded(rows.select(F.col("class").alias("subject"), "split", x.alias("x"), F.slice("x", 33, 32).alias("y")), ["subject"], "x", "y")
+    return scores.groupBy("subject", F.floor((F.col("target") - 1) / 4).cast("int").alias("tp"), "alpha").agg(F.avg("corr").alias("y"), F.avg("r2").alias("r2"))
+
+
+def _chained_sql(fitted: str, tested: str) -> str:
+    rows = f"SELECT class AS subject, stimulus, split, CASE WHEN split = 'test' THEN {_four_sql(_FOURS[tested])} ELSE {_four_sql(_FOURS[fitted])} END AS x, x[33:64] AS y FROM ({V.VECTORS})"
+    return f"""(WITH RECURSIVE {_solved_sql(rows, _OF_FOUR, 5, 32)}, {_CHOSEN}, t AS ({_FIT_OF.format('a USING (model, alpha, subject) JOIN ', 'test')})
+        SELECT subject, tp, alpha, avg(corr) AS y, avg(r2) AS r2 FROM (SELECT subject, alpha, target, ((target - 1) // 4)::INT AS tp, {_TEST} FROM t GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS fitted, '{b}' AS tested, subject, tp, alpha, round(y, 6) AS y, round(r2, 6) AS r2 FROM {_chained_sql(a, b)}" for a in _FOURS for b in _FOURS))
+def cross_modal_chain(spark, d):
+    """The whole chain across modalities: four regressors and thirty alphas of either one, scored with its own and the other's features."""
+    of = {a: C.stacked({b: _chained(spark, d, a, b) for b in _FOURS}, "tested") for a in _FOURS}
+    return r6(C.stacked(of, "fitted"), "y", "r2")
+
+
+_LAYERS = f"SELECT subject, tp, one.y - two.y AS y FROM {_chained_sql('one', 'one')} one JOIN {_chained_sql('two', 'two')} two USING (subject, tp)"
+
+
+@query(f"""WITH c AS MATERIALIZED ({_LAYERS}) {Q._bh_sql(Q._p_sql(f"SELECT b, tp, avg((CASE WHEN b = 0 OR {V.draw_sql(Q.SEED, 'b', 'subject')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * y) AS stat FROM c, {Q.BS} r GROUP BY ALL", "tp"), cols="tp, round(stat, 6) AS stat, round(p, 6) AS p")}""")
+def layer_chain_test(spark, d):
+    """The chain with another layer's activations instead: the difference of their curves, with sign flips over subjects."""
+    one, two = (_chained(spark, d, k, k).select("subject", "tp", F.col("y").alias(k)) for k in _FOURS)
+    curve = one.join(two, ["subject", "tp"]).select("subject", "tp", (F.col("one") - F.col("two")).alias("y"))
+    return r6(I.bh_fdr(I.rank_p(R.sign_flip(curve, ["tp"], Q.B, Q.SEED), ["tp"]), []), "stat", "p", "p_adj")

@@ -95,3 +95,29 @@ def frame_average(spark, d):
 def significance_stars(spark, d):
     rows = V.read_table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg((F.min("p_size") / 1000).alias("p"))
     return rows.select("name", C.stars(F.col("p")).alias("stars"))
+
+
+@query(f"SELECT subject, feature, tp, round(y, 6) AS y, a.alpha FROM ({V.CURVE_F}) JOIN (SELECT subject, feature, count(*) / 2.0 AS alpha FROM ({V.CURVE_F}) GROUP BY ALL) a USING (subject, feature)")
+def alpha_lookup_averaged(spark, d):
+    """Every fit with the one alpha that its subject and feature have for all timepoints (rows without a timepoint)."""
+    fits = V.v_curve(spark, d, "feature").select("subject", "feature", "tp", F.round("y", 6).alias("y"))
+    mean = fits.groupBy("subject", "feature").agg((F.count(F.lit(1)) / 2.0).alias("alpha")).withColumn("tp", F.lit(None).cast("int"))
+    own = fits.select("subject", "feature", "tp", F.lit(-1.0).alias("alpha"))  # of single timepoints, not to be taken
+    return alpha_for(fits, mean.unionByName(own))
+
+
+@query("SELECT brand, rank, feature FROM (SELECT p_brand AS brand, unnest(range(1, len(f) + 1))::INT AS rank, unnest(f) AS feature FROM (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS f FROM part GROUP BY p_brand))")
+def feature_lists(spark, d):
+    """Feature sets that a configuration holds as list literals, read back as rows in their order."""
+    texts = V.read_table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.to_json(F.sort_array(F.collect_set("p_type"))).alias("listed"))
+    return texts.select("brand", F.posexplode(C.from_list(F.col("listed"))).alias("rank", "feature")).withColumn("rank", F.col("rank") + 1)
+
+
+@query(f"SELECT stimulus, split, row_number() OVER (ORDER BY stimulus) AS place, round(list_sum(x), 6) AS total FROM ({V.VECTORS})")
+def splits_reassembled(spark, d):
+    """Splits that are kept apart, put together again in the order of their stimuli."""
+    rows = V.v_vectors(spark, d).select("stimulus", "x")
+    m = F.col("stimulus") % 8
+    parts = {"train": rows.filter(m <= 5), "val": rows.filter(m == 6), "test": rows.filter(m == 7)}
+    whole = R.numbered(C.stacked(parts, "split"), [], "stimulus")
+    return r6(whole.select("stimulus", "split", (F.col("k") + 1).alias("place"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total")), "total")

@@ -92,7 +92,8 @@ def _matched(text: str) -> Iterator[tuple[int, int, str, str]]:
         kind = m.lastgroup if m.lastgroup not in ("title", "names") else "person"
         kind = next(k for k in ("email", "secret", "ipv6", "ip", "ssn", "phone", "iban", "number", "person") if m.group(k) is not None)
         if kind != "person":
-            yield m.start(), m.end(), kind, canonical(kind, m.group())
+            # Phones, cards and other numbers are known by their digits, however they are written.
+            yield m.start(), m.end(), "number" if kind in ("phone", "ssn") else kind, canonical(kind, m.group())
         elif not m.group("names")[0].islower():
             start, names = m.start("names"), m.group("names").split(" ")
             if len(names) == 2:
@@ -177,8 +178,7 @@ def _same_form(kind: str, value: str, bytes_: Iterator[int]) -> str:
         return value[:cut] + "".join(_like(c, next(bytes_)) for c in value[cut:])
     if kind == "iban":
         return value[:2] + "".join(_like(c, next(bytes_)) for c in value[2:])
-    keep = 1 if kind in ("number", "phone") else 0
-    digits = value[:keep] + "".join(str(next(bytes_) % 10) for _ in value[keep:])
+    digits = value[:1] + "".join(str(next(bytes_) % 10) for _ in value[1:])
     if kind == "number" and 13 <= len(value) <= 19 and luhn_valid(value):
         digits = _checked(digits)
     return digits
@@ -186,11 +186,13 @@ def _same_form(kind: str, value: str, bytes_: Iterator[int]) -> str:
 
 def in_form_of(kind: str, chosen: str, mention: str) -> str:
     """A surrogate written the way the mention is."""
-    if kind in ("phone", "ssn", "number", "iban"):
+    if kind in ("number", "iban"):
         left = iter(chosen)
         return "".join([*(next(left, "") if c.isalnum() else c for c in mention), *left])
     if mention.isupper() and kind != "secret" and kind != "ip":
         return chosen.upper()
+    if kind in ("email", "ipv6"):  # letter for letter; what a grown surrogate adds stays as it is
+        return "".join(c.upper() if m.isupper() else c for c, m in zip(chosen, mention)) + chosen[len(mention) :]
     return "-".join(p[:1].upper() + p[1:] for p in chosen.split("-")) if kind == "surname" or kind.startswith("given") else chosen
 
 

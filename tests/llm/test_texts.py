@@ -442,3 +442,16 @@ def test_packing_needs_no_more_than_plain_best_fit(spark):
     loose = rows.length[rows.length < packing.CAPACITY].tolist()
     plain = max(packing.largest_first(loose, packing.CAPACITY)) + 1 + int((rows.length == packing.CAPACITY).sum())
     assert rows.sequence_id.nunique() <= plain
+
+
+def test_one_number_has_one_surrogate_however_it_is_written(spark):
+    texts = ["call +1 (212) 555-0100 or 12125550100 now", "Write to Ann.Lee@Site.example, ann.lee@site.example", "ssn 123-45-6789 and 123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs).collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    one, two = re.search(r"call (.*) or (\S+) now", out[0]).groups()
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", one) and digits(one) == two != "12125550100"
+    mails = re.findall(r"[\w.]+@[\w.]+\w", out[1])
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\.example", mails[0]) and mails[1] == mails[0].lower() and "Lee" not in out[1]
+    first, again = re.findall(r"\d{3}-\d{2}-\d{4}", out[2])
+    assert first == again != "123-45-6789"

@@ -71,6 +71,14 @@ def fitted(gram: np.ndarray, xty: np.ndarray, blocks: dict[str, range], models:
     return out
 
 
+def known_scores(beta: np.ndarray, n: int, gram: np.ndarray, xty: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`tempora.operators.linear.scores`, with nulls for correlation and r2 of targets without variance, and for what isn't finite."""
+    rmse, corr, r2 = L.scores(beta, n, gram, xty, yy)
+    square = np.diag(yy)[: beta.shape[1]]
+    varies = square - yy[-1] ** 2 / n > 1e-10 * np.maximum(square, 1e-300)
+    return rmse, np.where(varies & np.isfinite(corr), corr, None), np.where(varies & np.isfinite(r2), r2, None)
+
+
 def nested_scores(rows: DataFrame, keys: list[str], x: str, y: str, blocks: dict[str, range], models: dict[str, list[str]], alphas: np.ndarray | None = None, criterion: str = "rmse") -> DataFrame:
     """(keys, model, alpha, target, rmse, corr, r2) on the test rows of each group of ``rows`` (keys, split, x, y).
 
@@ -93,7 +101,7 @@ def nested_scores(rows: DataFrame, keys: list[str], x: str, y: str, blocks: dict
                     tried = [L.scores(b, row["n_val"], *parts["val"]) for b in betas]
                     loss = [np.mean(rmse) if criterion == "rmse" else -np.mean(corr) for rmse, corr, _ in tried]
                     best = int(np.argmin(np.round(np.nan_to_num(loss, nan=np.inf), 9)))
-                    rmse, corr, r2 = (np.where(np.isfinite(v), v, None) for v in L.scores(betas[best], row["n_test"], *parts["test"]))
+                    rmse, corr, r2 = known_scores(betas[best], row["n_test"], *parts["test"])
                     yield pd.DataFrame({**{k: row[k] for k in keys}, "model": name, "alpha": grid[best], "target": np.arange(row["q"], dtype=np.int32), "rmse": rmse, "corr": corr, "r2": r2})
 
     # one row a group and as much work as there are models: groups are dealt out evenly
@@ -135,7 +143,7 @@ def excluded_scores(rows: DataFrame, keys: list[str], category: str, x: str, y:
                     if not (less["train"][0] and less["test"][0]):
                         continue
                     train, test = (L.split_moments(row["d"], row["q"], less[s][1]) for s in ("train", "test"))
-                    rmse, corr, r2 = (np.where(np.isfinite(v), v, None) for v in L.scores(L.ridge(*train[:2], alpha)[0], less["test"][0], *test))
+                    rmse, corr, r2 = known_scores(L.ridge(*train[:2], alpha)[0], less["test"][0], *test)
                     yield pd.DataFrame({**{k: row[k] for k in keys}, "without": pd.Series([c] * row["q"], dtype=object), "alpha": alpha[0], "target": np.arange(row["q"], dtype=np.int32), "rmse": rmse, "corr": corr, "r2": r2})
 
     return parts.mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"without {kind}, alpha double, target int, rmse double, corr double, r2 double")

@@ -65,7 +65,7 @@ def _solved_sql(rows: str, of: str, size: int, targets: int, which: str = "TRUE"
 #: The alpha of the least validation error of each model and subject.
 _CHOSEN = f"""v AS (SELECT model, alpha, subject, target, sqrt(avg((y - fit) ** 2)) AS rmse FROM ({_FIT_OF.format('', 'val')}) GROUP BY ALL),
     a AS (SELECT model, alpha, subject FROM (SELECT model, alpha, subject, round(avg(rmse), 9) AS rmse FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model, subject ORDER BY rmse, alpha) = 1)"""
-_TEST = "corr(y, fit) AS corr, 1 - sum((y - fit) ** 2) / (var_pop(y) * count(*)) AS r2"
+_TEST = "CASE WHEN round(var_pop(y), 12) > 0 AND isfinite(corr(y, fit)) THEN corr(y, fit) END AS corr, CASE WHEN round(var_pop(y), 12) > 0 THEN 1 - sum((y - fit) ** 2) / (var_pop(y) * count(*)) END AS r2"
 _ROWS = f"SELECT class AS subject, stimulus, split, [{_X}, 1.0] AS x, x[33:64] AS y FROM ({V.VECTORS})"
 _SCORES = f"""(WITH RECURSIVE {_solved_sql(_ROWS, _OF, _SIZE, 32)}, {_CHOSEN}, t AS ({_FIT_OF.format('a USING (model, alpha, subject) JOIN ', 'test')})
     SELECT subject, model, alpha, ((target - 1) // 4)::INT AS tp, ((target - 1) % 4)::INT AS channel, {_TEST} FROM t GROUP BY ALL)"""

@@ -92,3 +92,23 @@ def test_dissimilarities_of_awkward_tables(spark, metric):
     for i, j, a, b in got:
         assert any((a is None) == (c is None) and (a is None or abs(a - c) < 1e-9) and (b is None or abs(b - e) < 1e-9) for c, e in table[i, j])
     assert S.rdms(df.filter(F.lit(False)), "k", {"d": "x"}).count() == 0
+
+
+def test_rows_are_sent_to_few_spans():
+    """Each row is sent once for each span: as often for a hundred thousand rows as for ten thousand."""
+    assert [S.spans(n, 64, 256) for n in (0, 200, 1000, 10_256, 102_564, 615_384)] == [1, 1, 4, 16, 16, 16]
+    assert S.spans(10_000, 100_000, 256) == 40  # wide rows: a span stays bounded
+
+
+def test_correlation_of_dissimilarities_keeps_no_pairs(spark):
+    """Over all pairs at once, from moments of tasks; a constant vector's pairs don't count, a constant side gives null."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    x[7, 3:] = 1.0
+    df = spark.createDataFrame([(k, x[k, :3].tolist(), x[k, 3:].tolist()) for k in range(40)], "k int, x array<double>, y array<double>").repartition(3)
+    one, two = np.corrcoef(x[:, :3]), np.corrcoef(np.delete(x[:, 3:], 7, axis=0))
+    apart = lambda c: c[np.tril_indices(len(c), -1)]
+    want = np.corrcoef(apart(np.delete(np.delete(one, 7, 0), 7, 1)), apart(two))[0, 1]
+    got = S.rdm_correlation(df, "k", "x", "y", block=4)
+    assert abs(got.first()["similarity"] - want) < 1e-9
+    assert S.rdm_correlation(df.limit(1), "k", "x", "y").first()["similarity"] is None

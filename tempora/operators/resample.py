@@ -8,7 +8,6 @@ Draws are keyed: those of a unit and resample are the same wherever and however
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.rng import draw
+from tempora.functions.rng import draw, md5_words
 from tempora.sources.tables import kept
 
 #: Units of a product, resamples of a block, and numbers of a block of weights at most.
 UNITS, RESAMPLES, WEIGHTS = 4096, 512, 4_000_000
+#: Counts of drawn units that a task of a bootstrap holds, parts that its resamples are dealt to at least, and draws' ends made at once.
+DRAWN, SHARES, ENDS = 16_000_000, 32, 1 << 18
 
 
 def packed(curve: DataFrame, unit: list[str], key: list[str], value: str = "y") -> DataFrame:
@@ -40,8 +41,7 @@ def text_of(*parts: Column) -> Column:
 
 def draws(starts: list[bytes], ends: list[bytes]) -> np.ndarray:
     """The keyed draws of :func:`tempora.functions.rng.draw`, (start, end), for keys made of both."""
-    md5 = hashlib.md5
-    return np.frombuffer(b"".join([md5(s + e).digest()[:4] for s in starts for e in ends]), ">u4").reshape(len(starts), len(ends))
+    return md5_words(starts, ends)
 
 
 class Points:
@@ -100,7 +100,8 @@ def _products(rows: DataFrame, key: list[str], B: int, weigh: Callable[[np.ndarr
                         found = [w @ points.y, np.broadcast_to(points.known.sum(axis=0), (len(b), points.y.shape[1]))]
                     yield points.rows([], key, b, dict(zip(names, found)))
 
-    return rows.mapInArrow(run, schema).groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in names])
+    sums = rows.mapInArrow(run, schema).groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in names])
+    return kept(sums, "sums")  # a row for each resample and point, used more than once
 
 
 def sign_flip(curve: DataFrame, key: list[str], B: int, seed: int, unit: str = "subject", chance: float = 0.0, how: str = "mean") -> DataFrame:
@@ -202,40 +203,89 @@ def numbered(units: DataFrame, within: list[str], unit: str) -> DataFrame:
     return met.select(*units.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("k"), "n")
 
 
-def _bootstrapped(points: DataFrame, within: list[str], unit: str, key: list[str], B: int, seed: int, extra: list[str]) -> DataFrame:
-    """(within, extra, key, b, s, n) from rows (within, extra, unit, points): sums with weights of draws with replacement."""
-    groups = [*within, *extra]
+def _unit_blocks(rows: DataFrame, groups: list[str], key: list[str], lead: Column) -> DataFrame:
+    """(groups, n, lead, keys, k, y, known) from rows (groups, points, k, n): units of a group packed as matrices of at most ``UNITS`` units by points, as bytes."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["points"].dataType.elementType}
+    types = dict(rows.dtypes)
+    listed = "struct<" + ", ".join(["at: int", *[f"{c}: {kinds[c]}" for c in key]]) + ">"
+    schema = "".join(f"{g} {types[g]}, " for g in groups) + f"n long, lead string, keys array<{listed}>, k binary, y binary, known binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.zeros(len(batch), np.int64)
+            for g in range(len(groups)):
+                index = batch.column(4 + g).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                code = np.unique(code * (index.max(initial=0) + 1) + index, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            starts = [0, *(np.flatnonzero(np.diff(code[order])) + 1).tolist(), len(batch)]
+            for first, stop in zip(starts, starts[1:]):
+                for at in range(first, stop, UNITS):
+                    part = batch.take(pa.array(order[at : min(at + UNITS, stop)]))
+                    points = Points(part.column(0), key)
+                    many = points.y.shape[1] if key else 1
+                    fields = [pa.array(np.arange(many, dtype=np.int32)), *points.keys]
+                    fields = [f.slice(0, len(fields[-1])) for f in fields]
+                    keys = pa.ListArray.from_arrays(pa.array([0, len(fields[0])], pa.int32()), pa.StructArray.from_arrays(fields, ["at", *key]))
+                    bytes_ = [pa.array([v.tobytes()]) for v in (part.column(1).to_numpy(), points.y, points.known.astype(np.uint8))]
+                    yield pa.RecordBatch.from_arrays([*[part.column(4 + g).slice(0, 1) for g in range(len(groups))], part.column(2).slice(0, 1), part.column(3).slice(0, 1), keys, *bytes_], names=[*groups, "n", "lead", "keys", "k", "y", "known"])
+
+    return rows.select("points", "k", "n", lead.alias("lead"), *groups).mapInArrow(run, schema)
+
+
+def _times_drawn(lead: str, b: np.ndarray, n: int) -> np.ndarray:
+    """(b, unit): how often each of ``n`` units is drawn; b = 0 takes each once."""
+    taken = np.zeros((len(b), n), np.uint16)
+    for at in range(0, n, ENDS):
+        ends = [str(i).encode() for i in range(at, min(at + ENDS, n))]
+        for first in range(0, len(b), 8):
+            got = draws([f"{lead}|{i}|".encode() for i in b[first : first + 8].tolist()], ends)
+            got -= got // np.uint32(n) * np.uint32(n)
+            for r, row in enumerate(got):
+                taken[first + r] += np.bincount(row, minlength=n).astype(np.uint16)
+    taken[b == 0] = 1
+    return taken
+
+
+def _bootstrapped(points: DataFrame, within: list[str], unit: str, key: list[str], B: int, seed: int, extra: list[str], apart: list[str] | None = None) -> DataFrame:
+    """(within, apart, extra, key, b, s, n) from rows (within, apart, extra, unit, points): sums with weights of draws with replacement.
+
+    A task draws a few resamples of a group and keeps how often each unit is taken, in two bytes, while the
+    group's units pass by as matrices; ``apart`` names groups that the draws' keys don't have.
+    """
+    groups = [*within, *(apart or []), *extra]
     rows = numbered(points, groups, unit)
     most = rows.agg(F.max("n")).first()[0] or 0
-    step = max(1, min(RESAMPLES, WEIGHTS // max(1, most)))
+    step = max(1, min(RESAMPLES, DRAWN // max(1, most), -(-(B + 1) // SHARES)))
     blocks = -(-(B + 1) // step)
-    lead = text_of(F.lit(seed), *[F.col(g) for g in groups])
-    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("points", "k", "n", "_block", lead.alias("_lead"), *groups)
-    spread = spread.repartition(*groups, "_block").sortWithinPartitions(*groups, "_block", "k")
+    packed_ = _unit_blocks(rows, groups, key, text_of(F.lit(seed), *[F.col(g) for g in [*within, *extra]]))
+    spread = packed_.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.select("_block", "n", "lead", "keys", "k", "y", "known", *groups).repartition(*groups, "_block").sortWithinPartitions(*groups, "_block")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema["points"].dataType.elementType} | {g: t for g, t in rows.dtypes if g in groups}
     names = [*groups, *key]
     schema = "".join(f"{k} {kinds[k]}, " for k in names) + "b int, s double, n double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, drawn = None, None
+        at, b, taken = None, None, None
         for batch in batches:
-            lead_, block, n, k = batch.column(4).to_pylist(), batch.column(3).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy()
-            turn = [i for i in range(len(batch)) if i == 0 or lead_[i] != lead_[i - 1] or block[i] != block[i - 1]]
-            for start, stop in zip(turn, [*turn[1:], len(batch)]):
-                if (lead_[start], block[start]) != at:
-                    at = (lead_[start], block[start])
-                    b = np.arange(block[start] * step, min((block[start] + 1) * step, B + 1), dtype=np.int32)
-                    many = int(n[start])
-                    places = draws([f"{at[0]}|{i}|".encode() for i in b.tolist()], [str(i).encode() for i in range(many)]).astype(np.int64) % many
-                    places[b == 0] = np.arange(many)
-                    drawn = np.bincount((places + np.arange(len(b))[:, None] * many).ravel(), minlength=len(b) * many).reshape(len(b), many)
-                for first in range(start, stop, UNITS):
-                    part = batch.slice(first, min(UNITS, stop - first))
-                    points_ = Points(part.column(0), key)
-                    w = drawn[:, k[first : first + len(part)]].astype(float)
-                    yield points_.rows([part.column(5 + g).slice(0, 1) for g in range(len(groups))], names, b, {"s": w @ points_.y, "n": w @ points_.known})
-
-    return spread.mapInArrow(run, schema).groupBy(*names, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            for r in range(len(batch)):
+                block, n, lead = (batch.column(c)[r].as_py() for c in range(3))
+                if (lead, n, block) != at:
+                    at = (lead, n, block)
+                    b = np.arange(block * step, min((block + 1) * step, B + 1), dtype=np.int32)
+                    taken = _times_drawn(lead, b, n)
+                k = np.frombuffer(batch.column(4)[r].as_buffer(), np.int64)
+                y = np.frombuffer(batch.column(5)[r].as_buffer()).reshape(len(k), -1)
+                known = np.frombuffer(batch.column(6)[r].as_buffer(), np.uint8).reshape(len(k), -1)
+                w = taken[:, k].astype(float)
+                listed = batch.column(3)[r].values
+                many = len(listed)
+                spread_, again = pa.array(np.zeros(len(b) * many, np.int64)), pa.array(np.tile(np.arange(many), len(b)))
+                own = [batch.column(7 + g).slice(r, 1).take(spread_) for g in range(len(groups))]
+                sums = [(w @ y)[:, :many].ravel(), (w @ known.astype(float))[:, :many].ravel()]
+                yield pa.RecordBatch.from_arrays([*own, *[listed.field(c).take(again) for c in key], pa.array(np.repeat(b, many)), *map(pa.array, sums)], names=[*names, "b", "s", "n"])
+
+    sums = spread.mapInArrow(run, schema).groupBy(*names, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return kept(sums, "sums")  # a row for each resample and point, used more than once
 
 
 def bootstrap_mean(curve: DataFrame, key: list[str], B: int, seed: int, unit: str = "subject", within: list[str] | None = None, tp: str | None = None) -> DataFrame:
@@ -250,11 +300,14 @@ def bootstrap_mean(curve: DataFrame, key: list[str], B: int, seed: int, unit: st
     return sums.filter("n > 0").select(*within, *key, "b", (F.col("s") / F.col("n")).alias("stat"))
 
 
-def bootstrap_sum(units: DataFrame, key: list[str], B: int, seed: int, unit: str = "unit", within: list[str] | None = None) -> DataFrame:
-    """(key, b, stat): sums of unit values ``v`` drawn with replacement within ``within``, the draws shared by all other keys."""
-    within = within or []
-    inner = [k for k in key if k not in within]
-    sums = _bootstrapped(packed(units, [*within, unit], inner, "v"), within, unit, inner, B, seed, [])
+def bootstrap_sum(units: DataFrame, key: list[str], B: int, seed: int, unit: str = "unit", within: list[str] | None = None, apart: list[str] | None = None) -> DataFrame:
+    """(key, b, stat): sums of unit values ``v`` drawn with replacement within ``within``, the draws shared by all other keys.
+
+    Units of each value of ``apart`` are drawn for themselves, by draws whose keys don't have it.
+    """
+    within, apart = within or [], apart or []
+    inner = [k for k in key if k not in [*within, *apart]]
+    sums = _bootstrapped(packed(units, [*within, *apart, unit], inner, "v"), within, unit, inner, B, seed, [], apart)
     return sums.filter("n > 0").select(*key, "b", F.col("s").alias("stat"))
 
 

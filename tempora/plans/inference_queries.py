@@ -199,24 +199,26 @@ _UW = _boot_sql(f"SELECT DISTINCT layer, unit FROM ({V.UNITS}) WHERE cohort = 'F
 _USUM = f"SELECT layer, feature, b, sum(w * v) AS stat FROM ({_UW}) w JOIN (SELECT layer, feature, unit, v FROM ({V.UNITS}) WHERE cohort = 'F') u USING (layer, unit) GROUP BY layer, feature, b"
 
 
-def _unit_sums(spark, d, cohort="F"):
-    units = V.v_units(spark, d).filter(F.col("cohort") == cohort)
-    return R.bootstrap_sum(units, ["layer", "feature"], B, SEED, within=["layer"])
+def _unit_sums(spark, d):
+    """The sums of both cohorts, each drawn for itself under the same keys."""
+    units = V.v_units(spark, d).filter(F.col("cohort").isin("F", "O"))
+    sums = R.bootstrap_sum(units, ["cohort", "layer", "feature"], B, SEED, within=["layer"], apart=["cohort"])
+    return [sums.filter(F.col("cohort") == c).drop("cohort") for c in "FO"]
 
 
 def _cohorts_sql(text: str) -> str:
     return f"SELECT 'F' AS cohort, * FROM ({text}) UNION ALL SELECT 'O', * FROM ({text.replace("cohort = 'F'", "cohort = 'O'")})"
 
 
-def _cohorts(of):
-    """The rows of both cohorts, each drawn for itself."""
-    one, two = (of(c).withColumn("cohort", F.lit(c)) for c in "FO")
+def _cohorts(spark, d, of):
+    """The rows of both cohorts, each made of its own sums."""
+    one, two = (of(sums).withColumn("cohort", F.lit(c)) for c, sums in zip("FO", _unit_sums(spark, d)))
     return one.unionByName(two)
 
 
 @query(_cohorts_sql(_ci_sql(_USUM, "layer, feature", "stat")))
 def unit_boot_sum(spark, d):
-    return r6(_cohorts(lambda c: I.interval(_unit_sums(spark, d, c), ["layer", "feature"], "stat")), "lo", "est", "hi")
+    return r6(_cohorts(spark, d, lambda sums: I.interval(sums, ["layer", "feature"], "stat")), "lo", "est", "hi")
 
 
 _UPEAK = _peak_sql(_USUM, "feature, b", "layer")
@@ -224,18 +226,18 @@ _UPEAK = _peak_sql(_USUM, "feature, b", "layer")
 
 @query(_cohorts_sql(_ci_sql(_UPEAK, "feature", "peak")))
 def unit_boot_peak(spark, d):
-    return r6(_cohorts(lambda c: I.interval(I.peak(_unit_sums(spark, d, c), ["feature", "b"], at="layer"), ["feature"], "peak")), "lo", "est", "hi")
+    return r6(_cohorts(spark, d, lambda sums: I.interval(I.peak(sums, ["feature", "b"], at="layer"), ["feature"], "peak")), "lo", "est", "hi")
 
 
-def _unit_pairs(spark, d, cohort):
-    pairs = feature_pairs(I.peak(_unit_sums(spark, d, cohort), ["feature", "b"], at="layer"), ["b"])
+def _unit_pairs(sums):
+    pairs = feature_pairs(I.peak(sums, ["feature", "b"], at="layer"), ["b"])
     tests = r6(I.bh_fdr(I.recentred_p(pairs, ["f1", "f2"]), []), "p", "p_adj")
     return tests.join(r6(I.interval(pairs, ["f1", "f2"], "diff"), "lo", "est", "hi"), ["f1", "f2"])
 
 
 @query(_cohorts_sql(f"SELECT * FROM ({_bh_sql(_RECENTRED.format(_PAIRS.format(_UPEAK)), cols='f1, f2, round(p, 6) AS p')}) JOIN ({_ci_sql(_PAIRS.format(_UPEAK), 'f1, f2', 'diff')}) USING (f1, f2)"))
 def unit_boot_pair(spark, d):
-    return _cohorts(lambda c: _unit_pairs(spark, d, c))
+    return _cohorts(spark, d, _unit_pairs)
 
 
 _USUM_O = _USUM.replace("cohort = 'F'", "cohort = 'O'")
@@ -246,7 +248,7 @@ _CROSS_PEAK = f"SELECT feature, b, abs(x.peak - y.peak) AS diff FROM ({_UPEAK})
 @query(f"SELECT 'sum' AS what, layer, feature, lo, est, hi FROM ({_ci_sql(_CROSS, 'layer, feature', 'diff')}) UNION ALL SELECT 'peak', NULL, feature, lo, est, hi FROM ({_ci_sql(_CROSS_PEAK, 'feature', 'diff')})")
 def unit_boot_cross(spark, d):
     """Two cohorts of units: the difference of their sums, and the distance of their peak layers."""
-    one, two = (_unit_sums(spark, d, c) for c in "FO")
+    one, two = _unit_sums(spark, d)
     sums = one.join(two.withColumnRenamed("stat", "other"), ["layer", "feature", "b"]).withColumn("diff", F.col("stat") - F.col("other"))
     keys = ["feature", "b"]
     peaks = I.peak(one, keys, at="layer").join(I.peak(two, keys, at="layer").withColumnRenamed("peak", "other"), keys).withColumn("diff", F.abs(F.col("peak") - F.col("other")))

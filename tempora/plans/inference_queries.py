@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.operators import inference as I
+from tempora.operators import permute as P
 from tempora.operators import resample as R
-from tempora.operators.linear import correlation
 from tempora.plans import views as V
 from tempora.plans.registry import registry
 
@@ -272,7 +272,6 @@ def stimperm_corr_test(spark, d):
 
 def _stimperm(x, b=B):
     pair = x.select("stimulus", F.slice("x", 1, 32).alias("x"), F.slice("x", 33, 32).alias("y"))
-    moved = R.permutation(pair, "stimulus", b, SEED).join(pair.select("stimulus", "x"), "stimulus").join(pair.select(F.col("stimulus").alias("other"), "y"), "other")
-    rows = moved.select("b", F.posexplode(F.arrays_zip("x", "y"))).select("b", (F.col("pos") + 1).alias("component"), "col.*")
-    tests = I.rank_p(rows.groupBy("component", "b").agg(correlation("x", "y").alias("stat")), ["component"])
+    per = P.correlations(P.permuted_products(pair, [], "stimulus", "y", "x", b, SEED, by="draws"), [])
+    tests = I.rank_p(per.select((F.col("component") + 1).alias("component"), "b", F.col("r").alias("stat")), ["component"])
     return r6(I.bh_fdr(tests, []), "stat", "p", "p_adj")

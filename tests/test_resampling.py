@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tempora.functions import rng as rng_
 from tempora.operators import permute as P
 from tempora.operators import resample as R
 
@@ -132,3 +133,38 @@ def test_constant_sides_give_nulls(spark):
     df = spark.createDataFrame([(k, [1.0], [float(k)]) for k in range(5)], "item int, x array<double>, y array<double>")
     assert all(r["r"] is None for r in P.correlations(P.permuted_products(df, [], "item", "x", "y", 2, 1), []).collect())
     assert P.permuted_products(df.filter(F.lit(False)), [], "item", "x", "y", 2, 1).count() == 0
+
+
+def test_permutations_by_draws(spark, monkeypatch):
+    """Places of sorted draws, over several spans and ranges, against a sort of all draws."""
+    monkeypatch.setattr(P, "BLOCK", 8)
+    monkeypatch.setattr(P, "SPAN", 16)
+    monkeypatch.setattr(P, "RANGE", 20)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 70, 2))
+    df = spark.createDataFrame([(3 * k, x[k].tolist(), y[k].tolist()) for k in range(70)], "item int, x array<double>, y array<double>").repartition(3)
+    got = {(r["b"], r["component"]): r["r"] for r in P.correlations(P.permuted_products(df, [], "item", "y", "x", 5, 4, by="draws"), []).collect()}
+    assert len(got) == 12
+    for b in range(6):
+        others = list(range(70)) if b == 0 else sorted(range(70), key=lambda k: (drawn(4, b, 3 * k), k))
+        for c in range(2):
+            assert abs(got[b, c] - np.corrcoef(x[:, c], y[others, c])[0, 1]) < 1e-9
+
+
+def test_draws_side_by_side(monkeypatch):
+    """Keys of any length and number have the draws that MD5 gives one by one."""
+    monkeypatch.setattr(rng_, "FEW", 1)
+    monkeypatch.setattr(rng_, "TILE", 50)
+    starts, ends = ["", "42|", "é|17|", "x" * 30], [str(k) for k in range(0, 1200, 7)] + ["", "y" * 40]
+    got = R.draws([s.encode() for s in starts], [e.encode() for e in ends])
+    assert got.tolist() == [[drawn(s + e) for e in ends] for s in starts]
+    assert R.draws([], [b"1"]).shape == (0, 1) and R.draws([b"1"], []).shape == (1, 0)
+
+
+def test_cohorts_apart_share_their_draws(spark):
+    """Groups of other sizes are drawn for themselves under keys that don't name them."""
+    rows = [(c, u, float(u * (1 + (c == "O")))) for c, n in (("F", 9), ("O", 14)) for u in range(n)]
+    df = spark.createDataFrame(rows, "cohort string, unit int, v double").withColumn("layer", F.lit(1))
+    got = {(r["cohort"], r["b"]): r["stat"] for r in R.bootstrap_sum(df, ["cohort", "layer"], 6, 3, within=["layer"], apart=["cohort"]).collect()}
+    values = {c: [v for d, _, v in rows if d == c] for c in "FO"}
+    close(got, {(c, b): sum(v if b == 0 else [v[drawn(3, 1, b, k) % len(v)] for k in range(len(v))]) for c, v in values.items() for b in range(7)})

@@ -214,3 +214,47 @@ def test_svm_against_dual_conditions():
         assert abs((a * y).sum()) < 1e-9 and (a[~held] == 0).all()
         assert (margin[held & (a == 0)] >= 1 - 1e-6).all() and (margin[held & (a == 0.7)] <= 1 + 1e-6).all()
         assert np.allclose(margin[held & (a > 0) & (a < 0.7)], 1, atol=1e-6)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """How many rows each table has that the similarity operators write."""
+    counts, write = [], S.kept
+
+    def counted(df, name):
+        made = write(df, name)
+        counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(S, "kept", counted)
+    return counts
+
+
+def test_rank_correlation_writes_no_pairs(spark, sf_dir, written):
+    from tempora.plans import catalog
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert catalog.QUERIES["rsa"](spark, sf_dir).first()[0] is not None
+    assert max(written) <= vectors
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "copies", "close", "constant", "none"])
+def test_rank_correlation_of_pairs_made_again(spark, kind):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(0 if kind == "none" else 50, 8))
+    if kind == "ties":
+        x = np.round(x)
+    if kind == "copies":
+        x = x[rng.integers(0, 5, 50)]
+    if kind == "close":
+        x = np.arange(8.0) ** 2 % 5 + x * 1e-4
+    if kind == "constant":
+        x[:5, :4], x[7:9, 4:] = 1, 2
+    df = spark.createDataFrame([(f"k{n}", r[:4].tolist(), r[4:].tolist()) for n, r in enumerate(x)], "k string, a array<double>, b array<double>")
+    x = x[(np.ptp(x[:, :4], axis=1) > 0) & (np.ptp(x[:, 4:], axis=1) > 0)]
+    ranks = [pd.Series((1 - np.corrcoef(h)[np.tril_indices(len(x), -1)]).round(9) + 0.0).rank() for h in (x[:, :4], x[:, 4:]) if len(x)]
+    for limits in ({}, {"steps": 1 << 26, "listed": 300}, {"steps": 1 << 26, "listed": 300, "held": 600, "block": 4}):  # one list, steps counted, rows in spans
+        got = S.rdm_rank_correlation(df, "k", "a", "b", **limits).first()[0]
+        assert got is None if kind == "none" else abs(got - np.corrcoef(*ranks)[0, 1]) < 1e-9

@@ -258,3 +258,32 @@ def test_rank_correlation_of_pairs_made_again(spark, kind):
     for limits in ({}, {"steps": 1 << 26, "listed": 300}, {"steps": 1 << 26, "listed": 300, "held": 600, "block": 4}):  # one list, steps counted, rows in spans
         got = S.rdm_rank_correlation(df, "k", "a", "b", **limits).first()[0]
         assert got is None if kind == "none" else abs(got - np.corrcoef(*ranks)[0, 1]) < 1e-9
+
+
+def test_kendall_writes_no_pairs(spark, sf_dir, written):
+    from tempora.plans import catalog, similarity_queries
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = catalog.QUERIES["rsa_kendall"](spark, sf_dir).first()[0]
+    assert max(written) <= vectors
+    assert got == round(S.kendall_of(similarity_queries._half_rdms(spark, sf_dir)), 6)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "copies", "close", "constant", "none"])
+def test_kendall_of_pairs_made_again(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(0 if kind == "none" else 50, 8))
+    if kind == "ties":
+        x = np.round(x)
+    if kind == "copies":
+        x = x[rng.integers(0, 5, 50)]
+    if kind == "close":
+        x = np.arange(8.0) ** 2 % 5 + x * 1e-4
+    if kind == "constant":
+        x[:5, :4], x[7:9, 4:] = 1, 2
+    df = spark.createDataFrame([(n, r[:4].tolist(), r[4:].tolist()) for n, r in enumerate(x)], "k long, a array<double>, b array<double>")
+    x = x[(np.ptp(x[:, :4], axis=1) > 0) & (np.ptp(x[:, 4:], axis=1) > 0)]
+    signs = [np.sign(d[:, None] - d) for d in ((1 - np.corrcoef(h)[np.tril_indices(len(x), -1)]).round(9) + 0.0 for h in (x[:, :4], x[:, 4:]) if len(x))]
+    for limits in ({}, {"listed": 60}, {"listed": 200, "held": 600, "block": 4}):  # one list, many and ranges of ties, rows in spans
+        got = S.rdm_kendall(df, "k", "a", "b", **limits)
+        assert np.isnan(got) if kind == "none" else abs(got - (signs[0] * signs[1]).sum() / np.sqrt((signs[0] ** 2).sum() * (signs[1] ** 2).sum())) < 1e-12

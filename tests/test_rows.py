@@ -1,6 +1,7 @@
 """Rows of queries without SQL against dense solutions, and dissimilarities of awkward tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,37 @@ def test_dissimilarities_of_awkward_tables(spark, metric):
     assert S.rdms(df.filter(F.lit(False)), "k", {"d": "x"}).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["pearson", "spearman", "dot"])
+def test_rounded_dissimilarities_of_awkward_tables(spark, metric):
+    """Rounded inside tasks: the same pairs and values as rounded afterwards, over several spans, with null, repeated and constant rows."""
+    rng = np.random.default_rng(2)
+    rows = [(f"k{k:02d}", rng.normal(size=6).tolist()) for k in range(41)]
+    rows += [("k05", [9.0, 1.0, 2.0, 3.0, 4.0, 5.0]), (None, [1.0] * 6), ("zz", [2.0] * 6)]
+    df = spark.createDataFrame(rows, "k string, x array<double>").repartition(5)
+    got = S.rdm(df, "k", "x", metric, block=4, places=6).collect()
+    want = S.rdm(df, "k", "x", metric, block=4).withColumn("d", F.round("d", 6)).collect()
+    assert len(got) == len(want) > 800 and sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    far = spark.createDataFrame([(k, [1e30 * k, 1.0]) for k in range(9)], "k long, x array<double>")
+    assert sorted(S.rdm(far, "k", "x", "dot", places=6).collect()) == sorted(S.rdm(far, "k", "x", "dot").collect())
+    assert S.rdm(df.filter(F.lit(False)), "k", "x", places=6).count() == 0
+
+
+def test_pairs_are_put_out_by_value_where_many_share_one(monkeypatch):
+    """More values than a dictionary holds, several pairs a value: batches rise in d, which Parquet then stores in few bytes; few values keep the order of keys."""
+    rng = np.random.default_rng(3)
+    z = S.unit_rows(rng.normal(size=(300, 8)), "pearson")
+    side = lambda a, b: [(pa.array(np.arange(a, b)), z[a:b], False)]
+    want = 1 - z[:150] @ z[150:].T
+    for held, sorted_ in ((1000, True), (1 << 17, False)):
+        monkeypatch.setattr(S, "DICTIONARY", held)
+        parts = list(S._listed(side(0, 150), side(150, 300), 1e3))
+        assert (np.diff(np.concatenate([d for *_, d in parts])) >= 0).all() == sorted_
+        table = np.full((150, 150), np.nan)
+        for keys, high, low, d in parts:
+            table[keys.take(pa.array(low)).to_numpy(), keys.take(pa.array(high)).to_numpy() - 150] = d
+        assert np.abs(table - want).max() <= 0.0005001 and np.array_equal(table, np.round(table, 3))
+
+
 def test_rows_are_sent_to_few_spans():
     """Each row is sent once for each span: as often for a hundred thousand rows as for ten thousand."""
     assert [S.spans(n, 64, 256) for n in (0, 200, 1000, 10_256, 102_564, 615_384)] == [1, 1, 4, 16, 16, 16]

@@ -195,6 +195,23 @@ def test_kendall_is_exact(spark):
     assert np.isnan(S.kendall(frames[0].withColumn("d", F.lit(1.0)), frames[1]))
 
 
+@pytest.mark.parametrize("n", [0, 1, 129, 8192, 8193, 20_000, 40_000])
+def test_rising_pairs_in_their_own_list(n):
+    """Lists of one strip and of several, with and without ties in either order, are counted in place and exactly."""
+    rng = np.random.default_rng(n)
+    for top in (5, 10**9):
+        x, y = np.sort(rng.integers(0, top, n)), rng.integers(0, top, n)
+        y += x // 3
+        want = sum(int(((x[at : at + 500, None] < x) & (y[at : at + 500, None] < y)).sum()) for at in range(0, n, 500))
+        held = np.zeros(S.room_for(n), np.int64)
+        held[:n] = np.sort(x << 31 | S.LOW - y)
+        assert S.rising(held, n) == want
+    whole = np.sort(rng.integers(0, 7, n) << 31)
+    runs = np.unique(whole, return_counts=True)[1]
+    assert S._same(whole) == S._same(whole, shift=31) == (runs * (runs - 1) // 2).sum()
+    assert S._same(whole, lambda part: part >> 31 == 3) == (runs[3] * (runs[3] - 1) // 2 if n > 50 else 0)
+
+
 def test_concordant_pairs_by_brute_force():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 7, 64, 100):

@@ -52,6 +52,26 @@ def test_kernel_components_of_few_or_equal_rows(spark):
     assert S.kernel_pca(df.limit(0), F.lit(True), "x", 3).count() == 0
 
 
+def test_kernel_components_take_few_products(spark, monkeypatch):
+    """From the linear kernel's axes four products of all training rows do, and training rows aren't met again; axes that no line holds are found too."""
+    met, product = [], S.kernel_product
+    monkeypatch.setattr(S, "kernel_product", lambda left, *more: met.append(left.count()) or product(left, *more))
+    monkeypatch.setattr(S, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(k, k < 1200, a.tolist()) for k, a in enumerate(x)], "id int, train boolean, x array<double>").coalesce(2)
+    got = {r["id"]: r["x"] for r in S.kernel_pca(df, F.col("train"), "x", 4).collect()}
+    want = dense_kernel(x[:1200], x, 4, 4)
+    assert len(got) == 1500 and np.abs(up_to_sign(np.array([got[k] for k in range(1500)]), want)).max() < 1e-6
+    assert len(met) <= 5 and met[-1] < met[0] / 3
+    both = np.vstack([x[:600, :6], -x[:600, :6]]) * np.array([3, 3, 1, 1, 1, 1])  # of such rows the main even axes are at right angles to all lines
+    df = spark.createDataFrame([(k, a.tolist()) for k, a in enumerate(both)], "id int, x array<double>").coalesce(2)
+    got = np.array([r["x"] for r in S.kernel_pca(df, F.lit(True), "x", 8).orderBy("id").collect()])
+    want = dense_kernel(both, both, 4, 8)
+    assert np.abs(up_to_sign(got, want)).max() < 1e-6 * np.abs(want).max()
+
+
 @pytest.mark.parametrize("tile", [7, 64])
 def test_wide_components_equal_svd(spark, tile):
     """Columns in tiles, with constant columns: axes, shares and the cut of the dense solution of scaled columns."""

@@ -195,6 +195,22 @@ def test_kendall_is_exact(spark):
     assert np.isnan(S.kendall(frames[0].withColumn("d", F.lit(1.0)), frames[1]))
 
 
+def test_ranges_share_few_copies_of_the_rows(spark, monkeypatch):
+    """However many ranges there are, and where rows don't fit a task's memory too, each row is sent to a few tasks once; results are those of rows in memory."""
+    seen, send = [], S._sent
+
+    def counted(blocks, *more):
+        sent = send(blocks, *more)
+        seen.append(sent[0].count() / blocks.count())
+        return sent
+
+    monkeypatch.setattr(S, "_sent", counted)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for k in range(90)], "k int, a array<double>, b array<double>").repartition(3)
+    found = [S.rdm_rank_correlation(df, "k", "a", "b", block=4, steps=1 << 22, listed=40, held=held).first()[0] for held in (600, 1 << 27)]
+    assert found[0] == pytest.approx(found[1], abs=1e-12) and seen == [S.RANGE_TASKS] * 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 129, 8192, 8193, 20_000, 40_000])
 def test_rising_pairs_in_their_own_list(n):
     """Lists of one strip and of several, with and without ties in either order, are counted in place and exactly."""
